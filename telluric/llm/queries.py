@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from telluric.llm.chat_format import chat_format
 from telluric.llm.exact_dedup import exact_dedup
-from telluric.llm.shared import ship
+from telluric.llm.shared import folder, ship
+from telluric.llm.simhash_dedup import simhash_dedup
+from telluric.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,11 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark)}/archives"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).where("gap IS NULL").selectExpr(
+        "cast(regexp_extract(record_id, 'page:(-?[0-9]+)', 1) AS long) AS page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "cast(regexp_extract(refers_to, 'page:(-?[0-9]+)', 1) AS long) AS refers_to",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_exact_dedup, op7_chat_format, op9_warc)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -33,4 +56,34 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM k
     """,
+    "op7_chat_format": """
+        WITH t AS (
+            SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+            FROM t GROUP BY conv_id
+        ), p AS (
+            SELECT c.conv_id, g.k, c.turns[1:g.k] AS head FROM c, generate_series(1, 100000) AS g(k) WHERE g.k < c.n_turns
+        ), kept AS (
+            SELECT min(conv_id) AS conv_id, n_turns FROM c
+            WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = c.n_turns AND p.head = c.turns)
+            GROUP BY turns, n_turns
+        )
+        SELECT t.conv_id, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part, n_turns,
+               string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                          ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
+        FROM t JOIN kept USING (conv_id) GROUP BY ALL
+    """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM f
+    """,
 }
