@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from telluric.llm.byte_bpe import bpe_decode, bpe_encode
 from telluric.llm.chat_format import chat_format
 from telluric.llm.exact_dedup import exact_dedup
-from telluric.llm.shared import folder, ship
+from telluric.llm.packing import pack, token_pieces
+from telluric.llm.shared import folder, saved, ship
 from telluric.llm.simhash_dedup import simhash_dedup
 from telluric.llm.warc import read_warc, write_warc
 
@@ -20,6 +24,30 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of op2_best_fit_packing for any documents."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    units = saved(digests.withColumn("unit", F.monotonically_increasing_id()), f"{folder(docs.sparkSession)}/pieces")
+    placed = pack(units.select("unit", "length")).drop("length")
+    return units.join(placed, "unit").drop("unit")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe_encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe_decode(ids, vocabulary).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,7 +68,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op4_exact_dedup, op7_chat_format, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op7_chat_format, op9_warc)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
