@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telluric.llm.shared import folder, saved
+
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -35,7 +37,7 @@ READ_SCHEMA = (
 
 
 def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 100) -> DataFrame:
-    """(record binary, size long): each page's record without the closing blank lines.
+    """(record string): each page's record without the closing blank lines.
 
     Null html counts as empty, a null url or id is left out of the header. Of equal payloads of at least
     revisit_bytes the one with the smallest id is the response (ids null: after all others); the rest refer
@@ -47,7 +49,8 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     ).withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "bytes": F.octet_length("html").cast("long")})
     first = rows.where(F.col("bytes") >= revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    first = first.where("copies > 1 AND first IS NOT NULL").drop("copies")
+    # as a table its size is known, so Spark broadcasts it if it is under its threshold and doesn't shuffle the pages then
+    first = saved(first.where("copies > 1 AND first IS NOT NULL").drop("copies"), f"{folder(pages.sparkSession)}/first")
     known = rows.join(first, F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     block = F.when(revisit, F.lit("")).otherwise(F.col("html"))
@@ -70,14 +73,16 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         F.lit("\r\n"),
         block,
     )
-    return known.select(header.alias("record"), F.octet_length(block).cast("long").alias("size"))
+    return known.select(header.alias("record"))
 
 
 def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, **columns) -> None:
-    """Write pages as .warc files (text parts of Spark's writer) of about archive_bytes below path."""
-    size = pages.select(F.sum(F.octet_length(columns.get("html_col", "html"))).alias("n")).first()["n"] or 0
-    made = records(pages, **columns)
-    made.repartition(max(1, -(-size // archive_bytes))).select("record").write.option("lineSep", END.decode()).text(path)
+    """Write pages as uncompressed archives (text parts of Spark's writer) below path, of archive_bytes at most by the mean page, 8 times that by the longest."""
+    size = F.octet_length(columns.get("html_col", "html"))
+    n = pages.select(F.avg(size).alias("mean"), F.max(size).alias("most")).first()
+    most = max(1, int(min(archive_bytes / max(600, n["mean"] or 0), 8 * archive_bytes / max(600, n["most"] or 0))))
+    made = records(pages, **columns).select("record")
+    made.write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 def _field(header: bytes, name: bytes) -> str | None:
