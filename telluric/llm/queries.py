@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from telluric.llm.byte_bpe import bpe_decode, bpe_encode
 from telluric.llm.chat_format import chat_format
+from telluric.llm.embedding_dedup import embedding_dedup
 from telluric.llm.exact_dedup import exact_dedup
 from telluric.llm.packing import pack, token_pieces
+from telluric.llm.quality import quality
 from telluric.llm.shared import folder, saved, ship
 from telluric.llm.simhash_dedup import simhash_dedup
+from telluric.llm.toxicity import held_out, toxicity, training_rows
 from telluric.llm.warc import read_warc, write_warc
 
 
@@ -52,10 +55,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", F.col("junk").alias("score"), "kept")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark)}/archives"
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -68,7 +79,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op7_chat_format, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity(docs, training_rows(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
