@@ -67,9 +67,6 @@ class Index:
         if not len(sample):
             return
         self.codebooks = [k_means(part, codes) for part in self.parts(sample)]
-        own = {}
-        for k, cell in enumerate(self.cells(sample)):
-            own.setdefault(cell, []).append(k)
         cell = self.cells(sample)
         # the place of a neighbour's cell in a query's order, over the sample's own pairs
         place: list[int] = []
@@ -80,7 +77,7 @@ class Index:
                 order = {c: n for n, c in enumerate(cells_in_order(a[at + q], b[at + q], most_visits))}
                 place += [order.get(cell[m], most_visits) for m in np.flatnonzero(near[q]).tolist() if m != at + q][:50]
         if place:
-            self.visits = int(min(most_visits, np.quantile(place, recall, method="higher") + 1))
+            self.visits = int(min(most_visits, np.quantile(place, recall, method="higher") + 2))
         else:
             self.visits = min(8, most_visits)
 
@@ -110,45 +107,54 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _filed(index: Index):
-    """(node, cell of an entry, -1) and (node, cell visited, query number) with the vector."""
+    """Each vector as an entry of its own cell (role 0, visits: the cells it visits) and as a query in every cell it visits (role 1); own is its cell."""
+    kinds = [("node", pa.int64()), ("copies", pa.int64()), ("cell", pa.int64()), ("role", pa.int32()), ("own", pa.int64()), ("visits", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                v, nodes = part["v"], part["node"].to_pylist()
-                x = np.stack(v.to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros((0, 2))
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                own = index.cells(x)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = np.stack(part["v"].to_numpy(zero_copy_only=False))
+                own = [i << 20 | j for i, j in index.cells(x)]
+                rows: list[tuple] = []
                 for k, cells in enumerate(index.visited(x)):
-                    for role, (i, j) in [(0, own[k]), *((1, c) for c in cells)]:
-                        for column, value in zip(rows, (nodes[k], i << 20 | j, role, k), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), v.take(pa.array(rows[3], pa.int64()))], ["node", "cell", "role", "v"]
-                )
+                    visits = [i << 20 | j for i, j in cells]
+                    rows.append((k, own[k], 0, own[k], visits))
+                    rows += [(k, c, 1, own[k], None) for c in visits]
+                k, cell, role, mine, visits = zip(*rows, strict=True)
+                back = part.take(pa.array(k, pa.int64()))
+                columns = [back["node"], back["copies"], *(pa.array(c, t) for c, (_, t) in zip((cell, role, mine, visits), kinds[2:], strict=False)), back["v"]]
+                yield pa.RecordBatch.from_arrays(columns, [n for n, _ in kinds])
 
     return run
 
 
 def _verified(cosine: float):
-    """Of one block of a cell's entries and one of its queries: n links of each query, and links that connect the same vectors."""
+    """Of one block of a cell's entries and one of its queries: n links of each vector, and links that connect the same vectors.
+
+    A pair that each side finds counts for either where it is the query; where the entry doesn't visit the query's cell, it
+    counts for both here.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         entry, query = rows[rows["role"] == 0], rows[rows["role"] == 1]
         out = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
         if not len(entry) or not len(query):
             return out
-        ids, copies, asked = entry["node"].to_numpy(), entry["copies"].to_numpy(), query["node"].to_numpy()
+        ids, asked = entry["node"].to_numpy(), query["node"].to_numpy()
         x, q = np.stack(entry["v"].to_numpy()), np.stack(query["v"].to_numpy())
         near = (q @ x.T >= cosine) & (asked[:, None] != ids)
-        n = near @ copies
-        i, j = np.nonzero(near)
-        if not len(i):
+        if not near.any():
             return out
-        a, b = forest(asked[i], ids[j])
-        some = n > 0
-        counts = pd.DataFrame({"a": asked[some], "b": asked[some], "n": n[some].astype(np.int64)})
+        to_query, to_entry = near @ entry["copies"].to_numpy(), np.zeros(len(ids), np.int64)
+        visits, own, copies = np.stack(entry["visits"].to_numpy()), query["own"].to_numpy(), query["copies"].to_numpy()
+        for cell in np.unique(own[near.any(axis=1)]):
+            mine = own == cell
+            alone = ~(visits == cell).any(axis=1)
+            to_entry[alone] += copies[mine] @ near[np.ix_(mine, alone)]
+        a, b = forest(*(side[k] for side, k in zip((asked, ids), np.nonzero(near), strict=True)))
+        both, n = np.concatenate([asked, ids]), np.concatenate([to_query, to_entry])
+        counts = pd.DataFrame({"a": both[n > 0], "b": both[n > 0], "n": n[n > 0].astype(np.int64)})
         return pd.concat([counts, pd.DataFrame({"a": a, "b": b, "n": np.zeros(len(a), np.int64)})], ignore_index=True)
 
     return run
@@ -176,8 +182,8 @@ def embedding_dedup(
     if index.codebooks is None:
         found = spark.createDataFrame([], "a long, b long, n long")
     else:
-        filed = nodes.where(F.size("v") == size).select("node", "v").mapInArrow(_filed(index), "node long, cell long, role int, v array<double>")
-        filed = saved(filed.join(nodes.select("node", "copies"), "node"), f"{path}/filed")
+        schema = "node long, copies long, cell long, role int, own long, visits array<long>, v array<double>"
+        filed = saved(nodes.where(F.size("v") == size).select("node", "copies", "v").mapInArrow(_filed(index), schema), f"{path}/filed")
         load = filed.groupBy("cell", "role").agg(F.count("*").alias("n"))
         blocks = load.groupBy("cell").agg(
             F.greatest(F.lit(1), F.ceil(F.max(F.when(F.col("role") == 0, F.col("n"))) / block)).cast("int").alias("eb"),
@@ -188,7 +194,7 @@ def embedding_dedup(
         other = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("qb")).otherwise(F.col("eb")) - 1))
         dealt = filed.join(blocks.where("roles = 2"), "cell").withColumn("mine", mine).withColumn("other", other)
         dealt = dealt.withColumns({"e": F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")), "q": F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("mine"))})
-        found = saved(dealt.select("cell", "e", "q", "role", "node", "copies", "v").groupBy("cell", "e", "q").applyInPandas(_verified(cosine), "a long, b long, n long"), f"{path}/found")
+        found = saved(dealt.select("cell", "e", "q", "role", "node", "copies", "own", "visits", "v").groupBy("cell", "e", "q").applyInPandas(_verified(cosine), "a long, b long, n long"), f"{path}/found")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     label = components(found.where("n = 0").select("a", "b"))
     named = nodes.select("node", "low", "copies").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))

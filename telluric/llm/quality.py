@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,18 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> tuple[np.ndarray, DataFrame]:
+    """(weights of the linear scorer, rows (id, votes, at, value) of all documents)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    seen = saved(rows.mapInArrow(_measured, "id long, votes array<int>, at array<int>, value array<double>"), f"{folder(docs.sparkSession)}/measured")
+    counts = {tuple(r["votes"]): r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers rows
+    share, rate = estimate(counts)
+    part = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
+    picked = seen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).select("votes", "at", "value").limit(sample).collect()
+    target = posterior(np.array([r["votes"] for r in picked], np.int64).reshape(-1, len(LABELLERS)), share, rate)
+    return fit_linear([dict(zip(r["at"], r["value"], strict=True)) for r in picked], target), seen
+
+
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000, reject: float = 0.5) -> DataFrame:
     """One row per row of docs: id_col, junk (probability), votes, kept (junk < reject).
 
@@ -177,25 +190,25 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Null texts count as empty; empty texts and texts of few words get no votes against them. Repeated rows get equal
     results; empty tables give empty ones.
     """
-    path = folder(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    seen = saved(rows.mapInArrow(_measured, "id long, votes array<int>, at array<int>, value array<double>"), f"{path}/measured")
-    counts = {tuple(r["votes"]): r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers rows
-    share, rate = estimate(counts)
-    part = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
-    picked = seen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).select("votes", "at", "value").limit(sample).collect()
-    target = posterior(np.array([r["votes"] for r in picked], np.int64).reshape(-1, len(LABELLERS)), share, rate)
-    weights = fit_linear([dict(zip(r["at"], r["value"], strict=True)) for r in picked], target)
-    table = F.array(*map(F.lit, weights.tolist()))
+    weights, seen = train(docs, id_col=id_col, text_col=text_col, sample=sample)
     z = F.aggregate(F.zip_with("at", "value", lambda a, v: F.element_at(F.col("w"), a + 1) * v), F.lit(0.0), lambda x, y: x + y)
     junk = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
-    scored = seen.withColumn("w", table).select(F.col("id").alias(id_col), junk.alias("junk"), "votes")
+    scored = seen.withColumn("w", F.array(*map(F.lit, weights.tolist()))).select(F.col("id").alias(id_col), junk.alias("junk"), "votes")
     return scored.withColumn("kept", F.col("junk") < reject)
 
 
-def sound(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
-    id_col = options.get("id_col", "doc_id")
-    gone = quality(docs, **options).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def sound(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000, reject: float = 0.5) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, each judged where it is."""
+    weights, _ = train(docs, id_col=id_col, text_col=text_col, sample=sample)
+    limit = float(np.log(reject / (1 - reject)))
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            text = text or ""
+            f = features(text, measures(text))
+            out.append(bool(weights[list(f)] @ list(f.values()) < limit))
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(kept(F.col(text_col)))

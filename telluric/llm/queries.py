@@ -10,6 +10,7 @@ from telluric.llm.byte_bpe import bpe_decode, bpe_encode
 from telluric.llm.chat_format import chat_format
 from telluric.llm.embedding_dedup import embedding_dedup
 from telluric.llm.exact_dedup import exact_dedup
+from telluric.llm.html_text import html_text
 from telluric.llm.packing import pack, token_pieces
 from telluric.llm.quality import quality
 from telluric.llm.shared import folder, saved, ship
@@ -59,6 +60,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", F.col("junk").alias("score"), "kept")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
@@ -85,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,8 +270,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("text", "label")
 
 
-def civil(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
-    id_col = options.get("id_col", "doc_id")
-    gone = toxicity(docs, labelled, **options).where("predicted = 1").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", sample: int = 6_000, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, each judged where it is."""
+    beta, bias, logistic = train(labelled, sample=sample)
+
+    @F.pandas_udf("boolean")
+    def kept(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(beta, bias)
+        for texts in runs:
+            levels = scorer.levels([t or "" for t in texts])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(logistic[0] + levels @ logistic[1:], -500, 500))) < threshold)
+
+    return docs.where(kept(F.col(text_col)))
