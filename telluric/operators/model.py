@@ -1,0 +1,187 @@
+"""Fit of current amplitudes to observations and prediction of the field.
+
+Each pair of a point and a pole is one row of a broadcast nested-loop join, and is summed right above it by
+partial aggregation: neither the transfer tensor nor any pair is stored or shuffled. Poles are broadcast only up to
+MOST_POLES of them; beyond, Spark deals out both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from telluric.functions import sphere, transfer
+from telluric.sources.schemas import CUTOFF, POINT_ALTITUDE, POLE_ALTITUDE, STATION_ALTITUDE
+
+MOST_POLES = 100_000
+
+
+class FitError(ValueError):
+    """Observations that no model can be fitted to."""
+
+
+def pairs(points: DataFrame, poles: DataFrame, point_keys: list[str], pole_keys: list[str], clamp: bool = False) -> DataFrame:
+    """Every point with every pole: the keys, theta and alpha (angle to the pole and its bearing)."""
+    a = sphere.with_trig(points, "p").select(*point_keys, "p_sin", "p_cos", "p_lon")
+    b = sphere.with_trig(poles, "s").select(*pole_keys, "s_sin", "s_cos", "s_lon")
+    small = poles.limit(MOST_POLES + 1).count() <= MOST_POLES
+    joined = a.crossJoin(F.broadcast(b)) if small else a.crossJoin(b)
+    return joined.select(*point_keys, *pole_keys, sphere.angle("p", "s", clamp).alias("theta"), sphere.bearing("p", "s").alias("alpha"))
+
+
+def transfer_rows(points: DataFrame, point_altitude: float, poles: DataFrame, pole_altitude: float, point_keys: list[str], pole_keys: list[str], clamp: bool = False) -> DataFrame:
+    """The keys and t_i, t_j, t_k of every pair."""
+    t = transfer.components(F.col("theta"), F.col("alpha"), point_altitude, pole_altitude)
+    return pairs(points, poles, point_keys, pole_keys, clamp).select(*point_keys, *pole_keys, *(c.alias(n) for c, n in zip(t, ("t_i", "t_j", "t_k"), strict=True)))
+
+
+def without_k(observations: DataFrame) -> DataFrame:
+    """Observations with the vertical component set to 0."""
+    return observations.withColumn("k", F.lit(0.0))
+
+
+def flattened(observations: DataFrame) -> DataFrame:
+    """(frame_id, row, value): the components as one vector by frame; row is three times obs_idx plus 0, 1 or 2."""
+    return observations.select("frame_id", "obs_idx", F.posexplode(F.array("i", "j", "k")).alias("pos", "value")).select(
+        "frame_id", (F.col("obs_idx") * 3 + F.col("pos")).alias("row"), "value"
+    )
+
+
+def fit_single_pole(observations: DataFrame, pole: DataFrame, *, altitude: float = STATION_ALTITUDE, pole_altitude: float = POLE_ALTITUDE) -> DataFrame:
+    """(frame_id, pole_idx, amp) for each pole alone: the pseudo-inverse of one column in closed form, by frame."""
+    t = transfer_rows(observations, altitude, pole, pole_altitude, ["frame_id", "i", "j", "k"], ["pole_idx"])
+    b, square = (reduce(Column.__add__, (F.col(f"t_{c}") * F.col(x) for c, x in zip("ijk", names, strict=True))) for names in ("ijk", ("t_i", "t_j", "t_k")))
+    return t.groupBy("frame_id", "pole_idx").agg((F.sum(b) / F.nullif(F.sum(square), F.lit(0.0))).alias("amp"))
+
+
+def fit_two_poles(observations: DataFrame, first: DataFrame, second: DataFrame, *, altitude: float = STATION_ALTITUDE, pole_altitude: float = POLE_ALTITUDE, cutoff: float = CUTOFF) -> DataFrame:
+    """(frame_id, amp_a, amp_b): the truncated pseudo-inverse of two columns in closed form, by frame.
+
+    first and second have one pole each; the singular values are roots of the 2 x 2 Gram matrix's eigenvalues.
+    """
+    a = sphere.with_trig(first, "a").select("a_sin", "a_cos", "a_lon")
+    b = sphere.with_trig(second, "b").select("b_sin", "b_cos", "b_lon")
+    rows = sphere.with_trig(observations, "p").crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))
+    ta, tb = (transfer.components(sphere.angle("p", s), sphere.bearing("p", s), altitude, pole_altitude) for s in "ab")
+    rows = rows.select("frame_id", "i", "j", "k", *(c.alias(f"{s}{n}") for s, t in (("a", ta), ("b", tb)) for n, c in enumerate(t)))
+
+    def dot(x: list[str], y: list[str]) -> Column:
+        return F.sum(reduce(Column.__add__, (F.col(p) * F.col(q) * F.lit(1e30) for p, q in zip(x, y, strict=True))))
+
+    va, vb, o = ["a0", "a1", "a2"], ["b0", "b1", "b2"], ["i", "j", "k"]
+    g = rows.groupBy("frame_id").agg(dot(va, va).alias("p"), dot(vb, vb).alias("r"), dot(va, vb).alias("q"), (dot(va, o) * 1e-15).alias("x"), (dot(vb, o) * 1e-15).alias("y"))
+    middle, half = (F.col("p") + F.col("r")) / 2, F.sqrt(F.pow((F.col("p") - F.col("r")) / 2, F.lit(2.0)) + F.col("q") * F.col("q"))
+    g = g.withColumns({"l1": middle + half, "l2": middle - half})
+    # the projection on the larger eigenvalue's space is (G - l2) / (l1 - l2), on the smaller one's (l1 - G) / (l1 - l2)
+    gap = F.nullif(F.col("l1") - F.col("l2"), F.lit(0.0))
+    keep = F.when(F.col("l2") >= cutoff * cutoff * F.col("l1"), 1.0 / F.nullif(F.col("l2"), F.lit(0.0))).otherwise(0.0)
+    gx, gy = F.col("p") * F.col("x") + F.col("q") * F.col("y"), F.col("q") * F.col("x") + F.col("r") * F.col("y")
+
+    def amp(v: Column, gv: Column) -> Column:
+        return ((gv - F.col("l2") * v) / gap / F.nullif(F.col("l1"), F.lit(0.0)) + (F.col("l1") * v - gv) / gap * keep) * 1e15
+
+    return g.select("frame_id", amp(F.col("x"), gx).alias("amp_a"), amp(F.col("y"), gy).alias("amp_b"))
+
+
+def transfer_matrix(lat: np.ndarray, lon: np.ndarray, altitude: float, poles: pd.DataFrame, pole_altitude: float) -> np.ndarray:
+    """The (3 n, m) matrix of one batch of stations, rows by station and component; the numeric form of functions.transfer."""
+    p, q = np.radians(lat)[:, None], np.radians(poles["lat"].to_numpy())[None, :]
+    d = np.radians(poles["lon"].to_numpy())[None, :] - np.radians(lon)[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        theta = np.arccos(np.sin(p) * np.sin(q) + np.cos(p) * np.cos(q) * np.cos(d))
+        alpha = np.pi / 2 - np.arctan2(np.cos(q) * np.sin(d), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(d))
+        r, s = altitude + sphere.EARTH_RADIUS, pole_altitude + sphere.EARTH_RADIUS
+        m, c = transfer.MU0_4PI / r, np.cos(theta)
+        x = s / r if altitude > pole_altitude else r / s
+        f = 1 / np.sqrt(1 - 2 * x * c + x * x)
+        if altitude > pole_altitude:
+            radial, along = m * x * (f - 1), -m * ((r - s * c) / np.sqrt(r * r - 2 * r * s * c + s * s) - 1)
+        else:
+            radial, along = m * (f - 1), -m * (f * (x - c) + c)
+        q = along / np.sin(theta)
+        t = np.stack([-q * np.sin(alpha), -q * np.cos(alpha), -radial], axis=1)
+    t[np.broadcast_to((np.sin(theta) == 0)[:, None, :], t.shape)] = 0.0
+    return t.reshape(-1, len(poles))
+
+
+def truncated_solution(gram: np.ndarray, side: np.ndarray, cutoff: float) -> np.ndarray:
+    """Amplitudes from T'T and T'b by eigenvalues of at least (cutoff x the largest singular value) squared; all-zero gives 0.
+
+    Squaring costs half the digits of a singular value, which a cutoff of 1e-6 or more allows.
+    """
+    values, vectors = np.linalg.eigh(gram)
+    top = max(values[-1], 0.0) if len(values) else 0.0
+    keep = (values >= cutoff * cutoff * top) & (values > 0)
+    v = vectors[:, keep]
+    return v @ ((v.T @ side) / values[keep])
+
+
+def pseudo_inverse(t: np.ndarray, cutoff: float) -> np.ndarray:
+    """The truncated pseudo-inverse by singular values, for small cutoffs."""
+    u, s, v = np.linalg.svd(t, full_matrices=False)
+    keep = (s >= cutoff * s.max(initial=0.0)) & (s > 0)
+    return v[keep].T @ (u[:, keep].T / s[keep, None])
+
+
+def fit(
+    observations: DataFrame, poles: DataFrame, *, altitude: float = STATION_ALTITUDE, pole_altitude: float = POLE_ALTITUDE, cutoff: float = CUTOFF, slice_rows: int = 2_000, scale: float = 1e15
+) -> DataFrame:
+    """(frame_id, pole_idx, amp): amplitudes at all poles by frame, by the truncated pseudo-inverse.
+
+    A frame's stations are dealt to slices of bounded size; each gives its part of T'T and T'b, and their sums are solved
+    frame by frame. poles goes to every task, so it has MOST_FIT_POLES rows at most. cutoff below 1e-6 is refused here, see
+    pseudo_inverse. A NaN in the matrix or the values raises FitError.
+    """
+    if cutoff < 1e-6:
+        raise FitError("a cutoff below 1e-6 needs pseudo_inverse")
+    grid = poles.select("pole_idx", "lat", "lon").orderBy("pole_idx").limit(MOST_FIT_POLES + 1).toPandas()
+    if not 0 < len(grid) <= MOST_FIT_POLES:
+        raise FitError(f"a fit needs 1 to {MOST_FIT_POLES} poles")
+    m = len(grid)
+    # repeated stations of a frame are summed first: their rows of T are the same
+    rows = observations.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("frame_id", "lat", "lon").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "ijk"))
+    size = rows.groupBy("frame_id").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+    dealt = rows.join(size, "frame_id").withColumn("slice", F.pmod(F.xxhash64("lat", "lon"), F.col("slices")))
+
+    def part(key: tuple, stations: pd.DataFrame) -> pd.DataFrame:
+        t = transfer_matrix(stations["lat"].to_numpy(), stations["lon"].to_numpy(), altitude, grid, pole_altitude) * scale
+        b = stations[["i", "j", "k"]].to_numpy().reshape(-1)
+        weighted = t * np.repeat(stations["n"].to_numpy(), 3)[:, None]
+        gram, side = weighted.T @ t, t.T @ b
+        if not (np.isfinite(gram).all() and np.isfinite(side).all()):
+            raise FitError(f"frame {key[0]}: NaN in the transfer matrix or the observations")
+        return pd.DataFrame({"frame_id": key[0], "gram": [gram.astype("<f8").tobytes()], "side": [side.astype("<f8").tobytes()]})
+
+    def solve(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, side = np.zeros((m, m)), np.zeros(m)
+        for some in parts:
+            for g, s in zip(some["gram"], some["side"], strict=True):
+                gram += np.frombuffer(g, "<f8").reshape(m, m)
+                side += np.frombuffer(s, "<f8")
+        yield pd.DataFrame({"frame_id": key[0], "pole_idx": grid["pole_idx"], "amp": truncated_solution(gram, side, cutoff) * scale})
+
+    sums = dealt.groupBy("frame_id", "slice").applyInPandas(part, "frame_id long, gram binary, side binary")
+
+    def solved(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return next(solve(key, iter([parts])))
+
+    return sums.groupBy("frame_id").applyInPandas(solved, "frame_id long, pole_idx long, amp double")
+
+
+MOST_FIT_POLES = 4_000
+
+
+def predict(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, *, altitude: float = POINT_ALTITUDE, pole_altitude: float = POLE_ALTITUDE) -> DataFrame:
+    """(frame_id, point_idx, lat, lon, i, j, k): the field at each point and frame.
+
+    points: point_idx, lat, lon; poles: pole_idx, lat, lon; amplitudes: frame_id, pole_idx, amp. Every pole that has an
+    amplitude counts; without any there is no field and no row.
+    """
+    located = poles.join(amplitudes, "pole_idx")
+    t = transfer_rows(points, altitude, located, pole_altitude, ["point_idx", "lat", "lon"], ["frame_id", "pole_idx", "amp"])
+    return t.groupBy("frame_id", "point_idx", "lat", "lon").agg(*(F.sum(F.col("amp") * F.col(f"t_{c}")).alias(c) for c in "ijk"))
