@@ -5,24 +5,27 @@ those that it has not met yet. Once enough are waiting they are encoded together
 array of symbols with links to the next and the previous one, an inverted index leads from each token pair,
 named by the rank of the token it makes, to the positions where it starts, and the merges are replayed in
 rank order on all positions of a pair at once; only the pairs of touched neighbours are entered anew.
-Memory is bounded by the number of distinct matches that a task remembers (``remembered``) and by the
-bytes of text that wait for their merges (``waiting``).
+Memory is bounded by the number of distinct stretches of text that a task remembers (``remembered``) and by
+the bytes of text that it takes at once (``waiting``).
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import re
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telluric.llm.spread import in_runs, written_out
+
 NONE = np.int32(-1)
 
 
@@ -66,8 +69,8 @@ def ranks(path: str) -> Ranks:
         return Ranks(f.read().splitlines())
 
 
-def replay(pieces: list[bytes], v: Ranks) -> list[np.ndarray]:
-    """The ids of each piece (none empty), all merged together in rank order."""
+def replay(pieces: list[bytes], v: Ranks) -> list[bytes]:
+    """The ids of each piece (none empty) as little-endian unsigned 32-bit integers, all merged together in rank order."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     total = int(sizes.sum())
@@ -140,75 +143,70 @@ def replay(pieces: list[bytes], v: Ranks) -> list[np.ndarray]:
         enter(both, made)
     left = np.flatnonzero(alive)
     counts = np.bincount(word[left], minlength=len(pieces))
-    out = np.split(symbol[left], np.cumsum(counts)[:-1])
+    ids, ends = symbol[left].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    out = [ids[b:e] for b, e in zip([0, *ends], ends, strict=False)]
     for k in odd:
-        out[k] = np.array(v.one(pieces[k]), np.int32)
+        out[k] = np.array(v.one(pieces[k]), "<u4").tobytes()
     for k, piece in enumerate(pieces):
         if (whole := v.rank.get(piece)) is not None:
-            out[k] = np.array([whole], np.int32)
+            out[k] = whole.to_bytes(4, "little")
     return out
 
 
 class Encoder:
-    """Encodes texts by rank; remembers the ids of matches as little-endian unsigned 32-bit integers."""
+    """Encodes texts by rank; remembers the ids of stretches of text as little-endian unsigned 32-bit integers."""
 
-    SPACED = re.compile(r"\s ")  # white space before a blank: there the text can't be cut at every blank
+    #: where a text can't be cut at every blank: white space before a blank, or a blank at the start
+    SPACED = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] |\\A "
 
     def __init__(self, vocabulary: Ranks, pattern: str, remembered: int):
         self.v, self.pattern, self.remembered = vocabulary, regex.compile(pattern), remembered
         self.known: dict[str, bytes] = {}
 
-    def stretches(self, text: str) -> list[str]:
-        """The text cut where a match must end: before a blank that follows other than white space; whole if other blanks occur.
-
-        The pattern's alternatives take a blank only as their first character or within a run of white space.
-        """
-        if self.SPACED.search(text) or text.startswith(" "):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else []
-
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Encode stretches that aren't known, all together."""
-        cut = [[m.encode() for m in self.pattern.findall(s)] for s in new]
-        distinct = list(dict.fromkeys(m for c in cut for m in c))
-        ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in replay(distinct, self.v)), strict=True)) if distinct else {}
-        self.known.update((s, b"".join(map(ids.__getitem__, c))) for s, c in zip(new, cut, strict=True))
+        cut = {s: self.pattern.findall(s) for s in new}
+        distinct = list({m for c in cut.values() for m in c})
+        if distinct:
+            ids = dict(zip(distinct, replay([m.encode("utf-8", "surrogatepass") for m in distinct], self.v), strict=True))
+            self.known.update((s, b"".join(map(ids.__getitem__, c))) for s, c in cut.items())
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text; none is null.
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
+        A match ends before a blank that follows other than white space, as the pattern's alternatives take a blank only as
+        their first character or within a run of white space. Texts with other blanks are cut into their matches.
+        """
         if len(self.known) > self.remembered:
-            self.known.clear()
-        cut = [self.stretches(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(set(c).difference(self.known))
-        if new:
-            self.learn(list(new))
-        for c in cut:
-            yield b"".join(map(self.known.__getitem__, c))
+            self.known = dict(itertools.islice(self.known.items(), self.remembered // 2))  # frequent stretches came first
+        odd = pc.match_substring_regex(texts, self.SPACED).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        even = np.flatnonzero(~odd)
+        cut = pc.split_pattern(texts.take(pa.array(even)), " ")
+        coded = cut.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py() if len(even) else np.zeros(1, np.int64)
+        # all but the first of a text follow a blank
+        heads, at = np.unique(index[bounds[:-1]], return_inverse=True)
+        index[bounds[:-1]] = len(words) + at
+        stretches = [" " + w for w in words] + [words[k] for k in heads.tolist()]
+        self.learn(set(stretches).difference(self.known, ("",)))
+        ids, sizes = written_out([self.known[s] if s else b"" for s in stretches], index)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        for k, b, e in zip(even.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = ids[b:e].tobytes()
+        for k in np.flatnonzero(odd).tolist():
+            cut_up = self.pattern.findall(texts[k].as_py())
+            self.learn(set(cut_up).difference(self.known))
+            out[k] = b"".join(map(self.known.__getitem__, cut_up))
+        return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], waiting: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in runs of about so many bytes."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-            ids.append(i)
-            texts.append(t.as_py() or "")
-            size += len(texts[-1])
-            if size >= waiting:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def bpe_encode(
-    docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000, waiting: int = 12 << 20
+    docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", remembered: int = 250_000, waiting: int = 6 << 20
 ) -> DataFrame:
     """(id_col, ids binary): the ids of each whole text as little-endian unsigned 32-bit integers.
 
@@ -219,18 +217,10 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (vocabulary, pattern, remembered)
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(ranks(vocabulary), pattern, remembered))
-        for ids, texts in _texts(batches, waiting):
-            held, size, at = [], 0, 0
-            for out in encoder.encode(texts):
-                held.append(out)
-                size += len(out)
-                if size >= 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(held)], pa.int64()), pa.array(held, pa.binary())], ["id", "ids"])
-                    held, size, at = [], 0, at + len(held)
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:], pa.int64()), pa.array(held, pa.binary())], ["id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        for batch in in_runs(batches, "text", waiting):
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(encoder.encode(batch["text"]), pa.binary())], ["id", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
@@ -241,7 +231,9 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = ranks(vocabulary).token
         for batch in batches:
-            out = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in (y.as_py() for y in batch[ids_col])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in (y.as_py() for y in part[ids_col])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, schema)
