@@ -111,8 +111,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[flo
     """(share of junk, rate[labeller, class]: how often a labeller that votes says junk on junk and on sound documents).
 
     Expectation-maximisation over vote patterns, an abstention telling nothing. It starts from "junk where anyone says so".
-    Junk is of many kinds, so no labeller is taken to see more than 3 in 10 of it, and each is taken to be right on 98 in
-    100 sound documents at least. Without votes it gives the starting point.
+    Junk is of many kinds, so no labeller is taken to see more than 3 in 10 of it, and each is taken to be right on 997 in
+    1000 sound documents at least. Without votes it gives the starting point.
     """
     k = len(LABELLERS)
     if not counts:
@@ -125,7 +125,7 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[flo
         share = float(np.clip((n * post).sum() / n.sum(), 1e-4, 0.5))
         for c, w in enumerate((n * post, n * (1 - post))):
             junk, sound = (((patterns == v) * w[:, None]).sum(axis=0) for v in (1, 0))
-            rate[:, c] = np.clip((junk + 0.1) / (junk + sound + 1), *((0.05, 0.3), (1e-4, 0.02))[c])
+            rate[:, c] = np.clip((junk + 0.1) / (junk + sound + 1), *((0.05, 0.3), (1e-4, 0.003))[c])
         new = posterior(patterns, share, rate)
         if np.abs(new - post).max() < 1e-9:
             break
