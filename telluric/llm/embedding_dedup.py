@@ -178,7 +178,7 @@ def embedding_dedup(
     part = min(1.0, 0.8 * sample / max(1, nodes.count()))
     picked = nodes.where(F.pmod(F.xxhash64("low"), F.lit(1 << 20)) < part * (1 << 20)).select("v").limit(sample).collect()
     size = max((len(r["v"]) for r in picked), default=0)
-    index = Index(np.array([r["v"] for r in picked if len(r["v"]) == size], np.float64).reshape(-1, size), codes, cosine, recall)
+    index = Index(np.array([r["v"] for r in picked if len(r["v"]) == size], np.float64).reshape(-1, size or 1), codes, cosine, recall)
     if index.codebooks is None:
         found = spark.createDataFrame([], "a long, b long, n long")
     else:

@@ -27,6 +27,8 @@ from telluric.llm.shared import folder, saved
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
+HEADER = re.compile(rb"WARC/1\.1\r\n(?:[!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)*")
+ONCE = (b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length")
 MOST_HEADER = 1 << 16
 CHUNK = 1 << 14
 
@@ -98,6 +100,8 @@ def _parse(data: bytes, at: int) -> tuple[int, dict] | str:
     if head < 0:
         return "no end of header"
     header = data[at : head + 2]
+    if not HEADER.fullmatch(header) or any(len(re.findall(rb"(?im)^" + n + rb":", header)) > 1 for n in ONCE):
+        return "broken header"  # such as the start of one record and the rest of another
     length = _field(header, b"Content-Length")
     if not length or not length.isdigit():
         return "no Content-Length"

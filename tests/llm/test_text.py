@@ -1,0 +1,315 @@
+"""Tokenizers, packing, classifiers, page text, archives and chats against the libraries, brute force or held-out labels."""
+
+import base64
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from telluric.llm import html_text as pages
+from telluric.llm import quality, queries, toxicity, warc
+from telluric.llm.byte_bpe import Encoder, bpe_decode, bpe_encode, ranks, replay
+from telluric.llm.chat_format import chat_format
+from telluric.llm.packing import Words, pack, sum_of_squares, token_pieces
+from telluric.llm.spread import in_runs, written_out
+
+SF = "/root/testdata/sf0.001"
+BPE, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+LETTERS = "ab '\ns1é \t日🙂.,\x85\x1cÀ́ΣσςİK&#_-'S!?$"
+FIXED = ["", " ", "  a", "a  b", "x \n y", "a" * 3000, "it's I'll  DON'T", "\x1c \x1cx  ", "trail   ", "0 1 22 333", "　 a 　b", "<|endoftext|> x", "日本語 と 混在"]
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    return FIXED + ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(50))) for _ in range(n)]
+
+
+def texts_of(sf=SF):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf}/documents.parquet").to_pandas()
+
+
+def reference():
+    with open(BPE, "rb") as f:
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+
+
+def test_bpe_equals_library():
+    theirs, encoder = reference(), Encoder(ranks(BPE), public_tokenizers.PATTERN, 500)
+    texts = odd_texts(3000, 1) + texts_of().text.tolist()[:60]
+    for part in (texts, texts[::-1]):  # the second time after forgetting
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(part))] == [theirs.encode_ordinary(t) for t in part]
+
+
+def test_replay_of_overlaps():
+    v, theirs = ranks(BPE), reference()
+    pieces = [b"a" * n for n in range(1, 40)] + [b"ab" * n for n in range(1, 20)] + ["é".encode() * 7]
+    for piece, ids in zip(pieces, replay(pieces, v), strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == v.one(piece) or v.rank.get(piece) == ids[0]
+        assert theirs.decode_bytes(ids) == piece
+
+
+def test_bpe_round_trip(spark):
+    texts = [*odd_texts(50, 2), None]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
+    got = {r.doc_id: bytes(r.bytes) for r in bpe_decode(bpe_encode(rows, BPE, public_tokenizers.PATTERN), BPE).collect()}
+    assert got == {k: (t or "").encode() for k, t in enumerate(texts)}
+    assert bpe_encode(rows.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_word_ids_equal_library():
+    theirs = Tokenizer.from_file(WORDS)
+    theirs.encode_special_tokens = True
+    texts = odd_texts(3000, 3) + texts_of().text.tolist()[:60]
+    words = Words(WORDS, 400)
+    for part in (texts, texts[::-1]):
+        ids, bounds = words.encode(pa.array(part))
+        assert [ids[b:e].tolist() for b, e in zip(bounds, bounds[1:], strict=False)] == [theirs.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_packing_query(spark):
+    theirs, table = Tokenizer.from_file(WORDS), texts_of()
+    theirs.encode_special_tokens = True
+    rows, by, at = queries.QUERIES["op2_best_fit_packing"](spark, SF).collect(), {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(by) == sorted(table.doc_id)
+    for doc_id, text in zip(table.doc_id, table.text, strict=True):
+        ids = [*theirs.encode(text or "", add_special_tokens=False).ids, 1]
+        cut = [ids[k : k + 4096] for k in range(0, len(ids), 4096)]
+        assert sorted(by[doc_id]) == [(n, 4096 * n, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for n, c in enumerate(cut)]
+    for places in at.values():
+        places.sort()
+        assert [p for p, _ in places] == np.cumsum([0, *(n for _, n in places[:-1])]).tolist() and sum(places[-1]) <= 4096
+    assert len(at) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_sum_of_squares_places_all():
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(100, rng.geometric(0.05, 2000))
+    sequence, offset = sum_of_squares(sizes, 100)
+    used = np.bincount(sequence, sizes)
+    assert used.max() <= 100 and len(used) <= -(-sizes.sum() // 100) + 1 and (offset + sizes <= 100).all()
+    assert len(sum_of_squares(np.zeros(0, np.int64), 100)[0]) == 0
+    assert sum_of_squares(np.array([60, 60, 60]), 100)[0].max() == 2
+
+
+def test_packing_shards_share_what_is_left(spark):
+    rows = spark.range(2000).selectExpr("id AS unit", "cast(1 + id % 37 AS long) AS length", "'x' AS full")
+    got = pack(rows, capacity=100, shard=100).collect()
+    used = {}
+    for r in got:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert len(got) == 2000 and max(used.values()) <= 100 and len(used) <= 1.02 * sum(used.values()) / 100 + 2
+    assert pack(rows.limit(0)).count() == 0
+
+
+def test_pieces_of_nulls_and_empty(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a " * 5000)], "doc_id long, text string")
+    got = [(r.doc_id, r.piece, r.length) for r in token_pieces(rows, WORDS).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 0, 1), (2, 0, 1), (2, 0, 1), (None, 0, 4096), (None, 1, 905)]))
+    assert token_pieces(rows.limit(0), WORDS).count() == 0
+
+
+def test_runs_keep_rows():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(k, k + 7)), "text": ["x" * (j * 5) for j in range(7)]}) for k in range(0, 70, 7)]
+    runs = list(in_runs(iter([batches[0].slice(0, 0), *batches]), "text", 60))
+    assert [x for r in runs for x in r["n"].to_pylist()] == list(range(70))
+    assert all(sum(map(len, r["text"].to_pylist())) <= 120 for r in runs)
+    ids, sizes = written_out([b"\x01\0\0\0\x02\0\0\0", b"", b"\x03\0\0\0"], np.array([2, 0, 1, 0]))
+    assert ids.tolist() == [3, 1, 2, 1, 2] and sizes.tolist() == [1, 2, 0, 2]
+
+
+def test_quality_keeps_sound_documents(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in got}
+    good, junk = n.get((1, True), 0), n.get((0, False), 0)
+    assert good >= 0.99 * (good + n.get((1, False), 0))
+    assert junk >= 0.8 * (junk + n.get((0, True), 0))
+
+
+def test_quality_of_odd_documents(spark):
+    rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "one two", 0), (None, "a fine text of quite ordinary words, it is", 0)], "doc_id long, text string, junk int")
+    assert quality.quality(rows).count() == 4 and quality.sound(rows).columns == rows.columns
+    assert quality.quality(rows.limit(0)).count() == 0 and quality.sound(rows.limit(0)).count() == 0
+    share, rate = quality.estimate({(1,) * 7: 10, (0,) * 7: 90})
+    post = quality.posterior(np.array([(1,) * 7, (0,) * 7, (-1,) * 7]), share, rate)
+    assert post[0] > 0.9 and post[1] < 0.05 and abs(post[2] - share) < 1e-6
+
+
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.QUERIES["op10_toxicity"](spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in rows if r.held_out and r.doc_id in label]
+    p, n = ([r.score for r in held if label[r.doc_id] == y] for y in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in p for b in n]) > 0.92
+    assert np.mean([x >= 0.3 for x in n]) < 0.03 and np.mean([x >= 0.3 for x in p]) > 0.85
+
+
+def test_toxicity_tolerates_gaps():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice(("an", "er", "th", "on", "st", "ou", "le")) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    beta, bias = toxicity.fit_words(["worthless", "stupid", "pathetic", "disgusting"], sorted(set(plain)))
+    scorer = toxicity.Scorer(beta, bias)
+    levels = scorer.levels(["you s t u p i d one", "a st-u.pid thing", "so w0rthle55 now", "path_xetic", "another plainer thing on the street", ""])[:, 0]
+    assert (levels[:3] > 0.5).all() and levels[3] > levels[4] and levels[5] == -1
+    assert not toxicity.fit_words([], plain)[0].any()
+
+
+def test_toxicity_without_labels_and_empty(spark):
+    rows = spark.createDataFrame([(1, None, 0), (2, "x", 0), (2, "x", 0)], "doc_id long, text string, score int")
+    none = spark.createDataFrame([], "text string, label int")
+    assert {r.predicted for r in toxicity.toxicity(rows, none).collect()} == {0}
+    assert toxicity.civil(rows, none).count() == 3 and toxicity.toxicity(rows.limit(0), none).count() == 0
+
+
+def text_of(page):
+    found = pages.blocks(page)
+    keep = [t for s, t in found if s == pages.KEEP]
+    return keep or [t for s, t in found if s == pages.OPEN]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("", []),
+        ("plain &amp; simple", ["plain & simple"]),
+        ("<article><h1>T</h1><p>a <b>b</b>\n c<p>d&lt;e&gt;</article><p>outside", ["T", "a b c", "d<e>"]),
+        ("<article>x<nav>menu</nav>y<div class='share-bar'>s</div>z<aside>w</aside></article>", ["x", "y", "z"]),
+        ("<p>a<script>if (a<b) '</p>'</script>b</p><style>p{}</style><!-- <p>no</p> -->", ["ab"]),
+        ("<div id=comments><p>me too</p></div><div role=navigation>m</div><form>f</form><p>yes", ["yes"]),
+        ("<p title='a>b'>c<br>d<br/>e<img src=x>f", ["c", "d", "ef"]),
+        ("<main><header><h1>Head</h1></header><p>text</p><footer>by</footer></main>", ["Head", "text"]),
+        ("<article><p>never closed &copy; <i>x", ["never closed © x"]),
+        ("<body class='has-sidebar'><p>kept</p><div hidden>no</div>", ["kept"]),
+    ],
+)
+def test_blocks(page, text):
+    assert text_of(page) == text
+
+
+def brute_covered(streams, pages_of, least):
+    grams = [{tuple(s[k : k + least]) for k in range(len(s) - least + 1)} for s in streams]
+    out = []
+    for n, s in enumerate(streams):
+        inside = [False] * len(s)
+        for k in range(len(s) - least + 1):
+            if any(tuple(s[k : k + least]) in g for m, g in enumerate(grams) if pages_of[m] != pages_of[n]):
+                inside[k : k + least] = [True] * least
+        out.append(inside)
+    return out
+
+
+def test_suffix_array_finds_shared_substrings():
+    rng = random.Random(6)
+    for _ in range(30):
+        streams = [[rng.randrange(4) for _ in range(rng.randrange(30))] for _ in range(rng.randrange(8))]
+        of = [n // 2 for n in range(len(streams))]
+        assert [c.tolist() for c in pages.covered(streams, of, 4)] == brute_covered(streams, of, 4)
+    x = np.array([rng.randrange(3) for _ in range(200)])
+    assert pages.suffix_array(x).tolist() == sorted(range(200), key=lambda k: x[k:].tolist())
+
+
+def test_hosts_lose_what_they_share(spark):
+    shared = "<div>welcome to the pages of this house of many things</div>"
+    rows = [(k, f"http://a.b/{k}", f"{shared}<div>page {k} tells of {k * 7} things that no other tells {k}</div>", 0) for k in range(40)]
+    rows += [(100, "http://alone/1", shared, 0), (101, None, None, 0), (102, "http://a.b/x", "<article>welcome to the pages of this house of many things</article>", 0)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    for chars in (2_000_000, 3_000):
+        found = {r.page_id: r.text for r in pages.html_text(table, block_chars=chars).collect()}
+        assert all(found[k] == f"page {k} tells of {k * 7} things that no other tells {k}" for k in range(40))
+        assert found[100] == found[102] == "welcome to the pages of this house of many things" and found[101] == ""
+    assert pages.html_text(table.limit(0)).count() == 0
+
+
+RECORD = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s"
+
+
+def record(n, payload):
+    return RECORD % (n, len(payload), payload)
+
+
+def test_salvage_after_damage():
+    good = [record(n, b"payload %d WARC/1.1\r\n in it" % n) + warc.END for n in range(5)]
+    data = b"".join(good)
+    assert [f["record_id"] for _, _, gap, f in warc.salvage(data)] == [f"<urn:page:{n}>" for n in range(5)]
+    for broken in (data.replace(b"<urn:page:2>\r\nContent-Length: 2", b"<urn:page:2>\r\nContent-Length: 9", 1), data[: len(good[0]) + 20] + data[len(good[0]) + len(good[1]) :], b"junk" + data[:-30]):
+        found = list(warc.salvage(broken))
+        gaps = [(b, e) for b, e, gap, _ in found if gap]
+        assert len(gaps) >= 1 and sum(1 for x in found if not x[2]) >= 3
+        assert [b for b, *_ in found] == [0, *(e for _, e, *_ in found[:-1])] and found[-1][1] == len(broken)
+    members = [warc.compressed(record(n, b"text %d" % n)) for n in range(4)]
+    hurt = members[0] + members[1][:12] + b"\0\0\0" + members[1][15:] + members[2] + members[3][:-6]
+    found = list(warc.salvage(hurt))
+    assert [f["record_id"] for _, _, gap, f in found if not gap] == ["<urn:page:0>", "<urn:page:2>"]
+    assert [(b, e) for b, e, gap, _ in found if gap] == [(len(members[0]), len(members[0] + members[1])), (len(members[0] + members[1] + members[2]), len(hurt))]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "<p>é" * 100
+    rows = [(5, "http://a\r\nX: y", long, 1), (3, None, long, 1), (None, "u", long, 1), (7, "v", None, 1), (8, "w", None, 1), (9, "w", "WARC/1.1\r\n\r\n\r\n" * 30, 1), (9, "w", "WARC/1.1\r\n\r\n\r\n" * 30, 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, record int")
+    warc.write_warc(table, f"{tmp_path}/w", archive_bytes=2000)
+    found = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert len(found) == 7 and not any(r.gap for r in found)
+    kinds = sorted((r.record_id or "", r.record_type, r.refers_to, r.payload_bytes) for r in found)
+    assert [k[1] for k in kinds] == ["revisit", "response", "revisit", "response", "response", "response", "response"]
+    assert kinds[2][2] == "<urn:page:3>" and kinds[2][3] == len(long.encode())
+    warc.write_warc(table.limit(0), f"{tmp_path}/none")
+    assert warc.read_warc(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_chat_collapse(spark):
+    turns = {1: "ab", 2: "abc", 3: "abcd", 4: "abcd", 5: "abx", 6: "b", 7: "a" * 200, 8: "a" * 100}
+    rows = [(c, n, "user", t, "x") for c, ts in turns.items() for n, t in enumerate(ts)] + [(2, 0, "user", "a", "x"), (9, None, None, None, "x"), (None, 0, "user", "z", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    found = chat_format(table).collect()
+    assert sorted({r.conv_id for r in found}) == [3, 5, 6, 7, 9]
+    whole = {c: "".join(r.text for r in sorted(found, key=lambda r: r.part) if r.conv_id == c) for c in (3, 7, 9)}
+    line = "<|im_start|>{}\n{}<|im_end|>\n"
+    assert whole[3] == "".join(line.format("user", t) for t in "abcd") and whole[7] == line.format("user", "a") * 200 and whole[9] == line.format("", "")
+    assert sum(r.conv_id == 7 for r in found) == 4
+    assert chat_format(table.limit(0)).count() == 0
+
+
+def test_pipeline_against_its_operators(spark):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF).collect()
+    kept = {r.doc_id for r in rows}
+    assert kept and len(kept) < 200
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = corpus_pipeline.toxicity_stage(spark, corpus_pipeline.quality_stage(spark, docs, SF), SF).toPandas()
+    assert list(left.columns) == docs.columns
+    import re
+
+    best = {}
+    for r in left.itertuples():
+        key = re.sub("[\x20\x09-\x0d]", "", r.text or "")
+        best[key] = min(best.get(key, (1, 1)), (-len(r.text or ""), r.doc_id))
+    once = left[left.doc_id.isin([d for _, d in best.values()])]
+    from telluric.llm.simhash_dedup import fingerprint
+
+    prints = [(r.doc_id, fingerprint((r.text or "").encode())) for r in once.sort_values("doc_id").itertuples()]
+    label = {d: d for d, _ in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in prints:
+            for b, y in prints:
+                if (x ^ y).bit_count() <= 2 and label[a] > label[b]:
+                    label[a], changed = label[b], True
+    assert kept == set(label.values())
+    assert F.col is not None
