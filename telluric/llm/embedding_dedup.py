@@ -59,27 +59,40 @@ def cells_in_order(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, i
 
 
 class Index:
-    """The two codebooks and the number of cells that a query visits."""
+    """The two codebooks and the number of cells that a query visits.
+
+    Both are chosen on the sample: visits is where the wanted share of its near pairs is found. If that takes more than
+    most_visits cells, the codebooks are halved, down to a single cell, which finds everything.
+    """
 
     def __init__(self, sample: np.ndarray, codes: int, cosine: float, recall: float, most_visits: int = 64):
-        self.half = sample.shape[1] // 2 if sample.ndim == 2 and len(sample) else 0
+        self.half = sample.shape[1] // 2
         self.codebooks, self.visits = None, 1
         if not len(sample):
             return
-        self.codebooks = [k_means(part, codes) for part in self.parts(sample)]
-        cell = self.cells(sample)
-        # the place of a neighbour's cell in a query's order, over the sample's own pairs
-        place: list[int] = []
-        a, b = (distances(part, book) for part, book in zip(self.parts(sample), self.codebooks, strict=True))
+        rng = np.random.default_rng(11)
+        pairs: list[tuple[int, list[int]]] = []
         for at in range(0, len(sample), 500):
             near = sample[at : at + 500] @ sample.T >= cosine
             for q in np.flatnonzero(near.sum(axis=1) > 1).tolist():
-                order = {c: n for n, c in enumerate(cells_in_order(a[at + q], b[at + q], most_visits))}
-                place += [order.get(cell[m], most_visits) for m in np.flatnonzero(near[q]).tolist() if m != at + q][:50]
-        if place:
-            self.visits = int(min(most_visits, np.quantile(place, recall, method="higher") + 2))
-        else:
+                found = np.setdiff1d(np.flatnonzero(near[q]), [at + q])
+                pairs.append((at + q, rng.choice(found, min(20, len(found)), replace=False).tolist()))
+        while True:
+            self.codebooks = [k_means(part, codes) for part in self.parts(sample)]
             self.visits = min(8, most_visits)
+            if not pairs:
+                return
+            cell = self.cells(sample)
+            a, b = (distances(part, book) for part, book in zip(self.parts(sample), self.codebooks, strict=True))
+            place: list[int] = []
+            for q, found in pairs:
+                order = {c: n for n, c in enumerate(cells_in_order(a[q], b[q], most_visits))}
+                place += [order.get(cell[m], most_visits) for m in found]
+            need = int(np.quantile(place, recall, method="higher"))
+            if need < most_visits or codes == 1:
+                self.visits = min(most_visits, need + 2)
+                return
+            codes //= 2
 
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]

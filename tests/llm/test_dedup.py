@@ -184,7 +184,6 @@ def test_hot_groups_stay_whole(spark):
     texts = ["same text again and again"] * 500 + [f"other text number {k} of many" for k in range(200)]
     assert exact_dedup(docs(spark, texts)).where("keep_id = 1").count() == 500
     assert simhash_dedup(docs(spark, texts)).where("component_id = 1").count() >= 500
-    hot = vectors(spark, [(k, [1.0, 0.001 * k]) for k in range(300)]
-    # a codebook cell is split into blocks, a vector visits them all)
+    hot = vectors(spark, [(k, [1.0, 0.001 * k]) for k in range(300)])
     assert {(r.n_links, r.component_id) for r in embedding_dedup(hot, block=32).collect()} == {(299, 0)}
     assert struct.calcsize("<I") == 4
