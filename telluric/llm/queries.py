@@ -21,6 +21,8 @@ from telluric.llm.warc import read_warc, write_warc
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    # texts and pages are long: batches of the default 10,000 rows take much memory on both sides
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
