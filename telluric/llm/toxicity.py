@@ -212,14 +212,12 @@ def _decided(beta: np.ndarray, bias: float):
     return run
 
 
-def train(labelled: DataFrame, *, sample: int = 6_000) -> tuple[np.ndarray, float, np.ndarray]:
-    """(triple weights, bias, logistic) from rows (id, text, label 0/1); about sample rows of each label are used at most, spread by hash of their texts."""
+def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+    """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows."""
     spark, path = labelled.sparkSession, folder(labelled.sparkSession)
     # copies of a text tell nothing new
-    rows = labelled.where("label IN (0, 1)").select(F.xxhash64("text").alias("h"), F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    part = F.when(F.col("label") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
-    used = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < part * (1 << 20)).groupBy("h", "label").agg(F.first("text").alias("text"))
+    rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    used = rows.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
     used = saved(used, f"{path}/sample")
     n = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -247,13 +245,13 @@ def train(labelled: DataFrame, *, sample: int = 6_000) -> tuple[np.ndarray, floa
     return beta, bias, fit_logistic(np.array([r["out"] for r in seen]), y)
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 6_000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1), predicted (1 at threshold or more).
 
     labelled has rows (text, label). Only the text enters a score. Null texts count as empty and are scored like them;
     without labels of both kinds every score is the same. Repeated rows get equal scores; empty tables give empty results.
     """
-    beta, bias, logistic = train(labelled, sample=sample)
+    beta, bias, logistic = train(labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(_leveled(beta, bias, logistic), "id long, out double")
     return scored.select(F.col("id").alias(id_col), F.col("out").alias("score"), (F.col("out") >= threshold).cast("int").alias("predicted"))
@@ -264,15 +262,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents that aren't held out."""
-    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("text", "label")
+def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = 6_000) -> DataFrame:
+    """(text, label) of about sample labelled documents of either label, spread by hash of their ids; none is held out.
+
+    The labels are sampled before the documents are read, so only what is used is joined; 3 * sample rows at most are
+    broadcast.
+    """
+    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    size = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    part = F.when(F.col("label") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
+    picked = saved(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).limit(3 * sample), f"{folder(docs.sparkSession)}/picked")
+    return docs.join(F.broadcast(picked), "doc_id").select("text", "label")
 
 
-def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", sample: int = 6_000, threshold: float = 0.3) -> DataFrame:
+def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs that aren't predicted toxic, each judged where it is."""
-    beta, bias, logistic = train(labelled, sample=sample)
+    beta, bias, logistic = train(labelled)
 
     @F.pandas_udf("boolean")
     def kept(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
