@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Folder of each application that names none.
+_OWN: dict[str, str] = {}
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from the place the driver has it."""
     env = spark.sparkContext.environment
@@ -24,8 +28,8 @@ def folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="telluric-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="telluric-"))
     return f"{base.rstrip('/')}/telluric-{uuid.uuid4().hex}"
 
 
