@@ -2,7 +2,7 @@
 
 Each pair of a point and a pole is one row of a broadcast nested-loop join, and is summed right above it by
 partial aggregation: neither the transfer tensor nor any pair is stored or shuffled. Poles are broadcast only up to
-MOST_POLES of them; beyond, Spark deals out both sides.
+MOST_POLES of them (some 30 MB), fewer where each carries the amplitudes of many frames; beyond, Spark deals out both sides.
 """
 
 from __future__ import annotations
@@ -18,26 +18,28 @@ from pyspark.sql import functions as F
 from telluric.functions import sphere, transfer
 from telluric.sources.schemas import CUTOFF, POINT_ALTITUDE, POLE_ALTITUDE, STATION_ALTITUDE
 
-MOST_POLES = 100_000
+MOST_POLES = 500_000
+MOST_FIT_POLES = 4_000
+FRAMES_AT_ONCE = 200
 
 
 class FitError(ValueError):
     """Observations that no model can be fitted to."""
 
 
-def pairs(points: DataFrame, poles: DataFrame, point_keys: list[str], pole_keys: list[str], clamp: bool = False) -> DataFrame:
+def pairs(points: DataFrame, poles: DataFrame, point_keys: list[str], pole_keys: list[str], clamp: bool = False, most: int = MOST_POLES) -> DataFrame:
     """Every point with every pole: the keys, theta and alpha (angle to the pole and its bearing)."""
     a = sphere.with_trig(points, "p").select(*point_keys, "p_sin", "p_cos", "p_lon")
     b = sphere.with_trig(poles, "s").select(*pole_keys, "s_sin", "s_cos", "s_lon")
-    small = poles.limit(MOST_POLES + 1).count() <= MOST_POLES
+    small = poles.limit(most + 1).count() <= most
     joined = a.crossJoin(F.broadcast(b)) if small else a.crossJoin(b)
     return joined.select(*point_keys, *pole_keys, sphere.angle("p", "s", clamp).alias("theta"), sphere.bearing("p", "s").alias("alpha"))
 
 
-def transfer_rows(points: DataFrame, point_altitude: float, poles: DataFrame, pole_altitude: float, point_keys: list[str], pole_keys: list[str], clamp: bool = False) -> DataFrame:
+def transfer_rows(points: DataFrame, point_altitude: float, poles: DataFrame, pole_altitude: float, point_keys: list[str], pole_keys: list[str], clamp: bool = False, most: int = MOST_POLES) -> DataFrame:
     """The keys and t_i, t_j, t_k of every pair."""
     t = transfer.components(F.col("theta"), F.col("alpha"), point_altitude, pole_altitude)
-    return pairs(points, poles, point_keys, pole_keys, clamp).select(*point_keys, *pole_keys, *(c.alias(n) for c, n in zip(t, ("t_i", "t_j", "t_k"), strict=True)))
+    return pairs(points, poles, point_keys, pole_keys, clamp, most).select(*point_keys, *pole_keys, *(c.alias(n) for c, n in zip(t, ("t_i", "t_j", "t_k"), strict=True)))
 
 
 def without_k(observations: DataFrame) -> DataFrame:
@@ -173,7 +175,6 @@ def fit(
     return sums.groupBy("frame_id").applyInPandas(solved, "frame_id long, pole_idx long, amp double")
 
 
-MOST_FIT_POLES = 4_000
 
 
 def predict(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, *, altitude: float = POINT_ALTITUDE, pole_altitude: float = POLE_ALTITUDE) -> DataFrame:
@@ -182,6 +183,10 @@ def predict(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, *, altit
     points: point_idx, lat, lon; poles: pole_idx, lat, lon; amplitudes: frame_id, pole_idx, amp. Every pole that has an
     amplitude counts; without any there is no field and no row.
     """
-    located = poles.join(amplitudes, "pole_idx")
-    t = transfer_rows(points, altitude, located, pole_altitude, ["point_idx", "lat", "lon"], ["frame_id", "pole_idx", "amp"])
-    return t.groupBy("frame_id", "point_idx", "lat", "lon").agg(*(F.sum(F.col("amp") * F.col(f"t_{c}")).alias(c) for c in "ijk"))
+    frames = amplitudes.select("frame_id").agg(F.approx_count_distinct("frame_id")).first()[0]
+    part = F.pmod(F.xxhash64("frame_id"), F.lit(max(1, -(-frames // FRAMES_AT_ONCE))))
+    # the kernel of a pair is the same in all frames: a pole comes once with the amplitudes of some hundred frames
+    given = amplitudes.groupBy("pole_idx", part.alias("part")).agg(F.collect_list(F.struct("frame_id", "amp")).alias("frames"))
+    rows = transfer_rows(points, altitude, poles.join(given, "pole_idx"), pole_altitude, ["point_idx", "lat", "lon"], ["frames"], most=MOST_POLES // 100)
+    t = rows.select("point_idx", "lat", "lon", F.explode("frames").alias("f"), "t_i", "t_j", "t_k")
+    return t.groupBy("f.frame_id", "point_idx", "lat", "lon").agg(*(F.sum(F.col("f.amp") * F.col(f"t_{c}")).alias(c) for c in "ijk"))
