@@ -5,8 +5,8 @@ covers), so that insults with gaps, inserted or lost characters keep most of the
 Classification using String Kernels", 2002); K(s, t) is the product of two such descriptions of unit length by
 the number of characters.
 
-Training. Words of labelled sentences (a sentence has its document's label) are counted on both sides. Words that
-toxic documents have significantly more often are the positive examples, a spread of the others the negative
+Training. Words of labelled sentences (a sentence has its document's label) are counted on both sides, near copies once.
+Words that toxic documents have significantly more often are the positive examples, a spread of the others the negative
 ones; landmarks are drawn from both. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2), then twice more with the
 negative words added that the last fit scored highest, of all the words counted. As the decision function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,35 +95,46 @@ def decide(words: list[str], beta: np.ndarray, bias: float) -> np.ndarray:
 
 
 def describe(words: list[str]) -> np.ndarray:
-    """The words' descriptions over all triples (dense: for landmarks, a few hundred at a time)."""
-    out = np.zeros((len(words), ALPHABET**3), np.float32)
+    """The words' descriptions over all triples, one column each: for landmarks, a few hundred."""
+    out = np.zeros((ALPHABET**3, len(words)), np.float32)
     for index, code, weight in codes(words):
-        for k, row in zip(index, code, strict=True):
-            np.add.at(out[k], row, weight)
+        np.add.at(out, (code, index[:, None]), weight)
     return out
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: int = 300, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """(weight of each triple, bias) of the SVM on Nyström features; empty sides give a function that is never positive."""
+def kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
+    """K(words, landmarks) from the landmarks' descriptions."""
+    out = np.zeros((len(words), marks.shape[1]))
+    for index, code, weight in codes(words):
+        for b in range(0, len(index), 100):
+            np.add.at(out, index[b : b + 100], np.einsum("ntm,t->nm", marks[code[b : b + 100]], weight.astype(np.float32)))
+    return out
+
+
+def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks: int = 320, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """(weight of each triple, bias) of the SVM on Nyström features, from words with their weights as examples.
+
+    The first of either side are the landmarks. Without examples of both sides the function is never positive.
+    """
     if not positive or not negative:
         return np.zeros(ALPHABET**3), -1.0
     half = landmarks // 2
-    marks = positive[:half] + negative[: landmarks - min(half, len(positive))]
-    z = describe(marks)
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    marks = describe([*list(positive)[:half], *list(negative)[: landmarks - min(half, len(positive))]])
+    values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    words = positive + negative
-    x = np.concatenate([describe(words[k : k + 100]) @ z.T for k in range(0, len(words), 100)]) @ root
+    x = kernel([*positive, *negative], marks) @ root
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    share = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative))
+    share = np.array([*positive.values(), *negative.values()], np.float64)
+    for side in (y > 0, y < 0):
+        share[side] *= 0.5 / share[side].sum()
     v, b = np.zeros(x.shape[1]), 0.0
     for k in range(rounds):
         inside = share * (y * (x @ v + b) < 1) * y
-        step = 4.0 / (1 + k / 60)
-        v += step * (x.T @ inside - 1e-4 * v)
+        step = 6.0 / (1 + k / 100)
+        v += step * (x.T @ inside - 2e-5 * v)
         b += step * 0.3 * inside.sum()
-    return (z.T @ (root @ v)).astype(np.float64), float(b)
+    return (marks @ (root @ v)).astype(np.float64), float(b)
 
 
 class Scorer:
@@ -201,6 +213,18 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the lowest and the highest hash of three words in a row."""
+    for batch in batches:
+        low, high = [], []
+        for t in batch["text"]:
+            words = t.as_py().lower().encode("utf-8", "surrogatepass").split()
+            h = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 3])) >> 1 for k in range(max(1, len(words) - 2))]
+            low.append(min(h))
+            high.append(max(h))
+        yield pa.RecordBatch.from_arrays([batch["label"], batch["text"], pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["label", "text", "low", "high"])
+
+
 def _decided(beta: np.ndarray, bias: float):
     """Batches of words with their decision."""
 
@@ -215,10 +239,12 @@ def _decided(beta: np.ndarray, bias: float):
 def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows."""
     spark, path = labelled.sparkSession, folder(labelled.sparkSession)
-    # copies of a text tell nothing new
+    # copies and near copies of a text tell nothing new, but would make chance words look significant: of the texts of one
+    # label that share the lowest or the highest hash of three words in a row, one is used
     rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    used = rows.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"))
-    used = saved(used, f"{path}/sample")
+    rows = rows.mapInArrow(_sketched, "label int, text string, low long, high long")
+    used = rows.groupBy("label", "low").agg(F.min(F.struct("high", "text")).alias("x")).groupBy("label", "x.high").agg(F.min("x.text").alias("text"))
+    used = saved(used.select("label", "text"), f"{path}/sample")
     n = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -231,14 +257,17 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     rate = (F.col("t") + F.col("c")) / float(toxic + clean)
     gain = F.col("t") * F.log((F.col("t") + 1e-9) / (toxic * rate)) + F.col("c") * F.log((F.col("c") + 1e-9) / (clean * rate))
     told = counts.withColumn("gain", F.when(F.col("t") * float(clean) > 8.0 * toxic * F.col("c"), gain).otherwise(0.0))
-    positive = [r["word"] for r in told.where("gain >= 8 AND t >= 4").orderBy(F.desc("gain"), "word").limit(400).collect()]
+    positive = {r["word"]: float(r["t"]) for r in told.where("gain >= 8 AND t >= 4").orderBy(F.desc("gain"), "word").limit(300).collect()}
     other = told.where("c > 0 AND gain < 2").select("word", "c")
-    negative = [r["word"] for r in other.orderBy(F.desc("c"), "word").limit(150).collect()] + [r["word"] for r in other.orderBy(F.xxhash64("word"), "word").limit(1_500).collect()]
+
+    def weights(rows: DataFrame, n: int) -> dict[str, float]:
+        return {r["word"]: float(np.sqrt(r["c"])) for r in rows.limit(n).collect()}
+
+    negative = weights(other.orderBy(F.desc("c"), "word"), 400) | weights(other.orderBy(F.xxhash64("word"), "word"), 1_500)
     beta, bias = fit_words(positive, negative)
     for _ in range(2 if positive else 0):
-        worst = other.select("word", "c").mapInArrow(_decided(beta, bias), "word string, c long, d double").where("d > -1")
-        worst = [r["word"] for r in worst.orderBy(F.desc((F.col("d") + 1) * F.log1p("c")), "word").limit(800).collect()]
-        negative = list(dict.fromkeys([x for pair in zip(worst, negative, strict=False) for x in pair] + worst + negative))
+        decided = other.mapInArrow(_decided(beta, bias), "word string, c long, d double").where("d > -1")
+        negative = weights(decided.orderBy(F.desc((F.col("d") + 1) * F.sqrt("c")), "word"), 1_500) | negative
         beta, bias = fit_words(positive, negative)
     seen = used.select("label", "text").mapInArrow(_leveled(beta, bias, None), "label int, out array<double>").collect()  # two rows of numbers for each row of the sample
     y = np.array([r["label"] for r in seen], np.float64)

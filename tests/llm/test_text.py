@@ -161,11 +161,11 @@ def test_toxicity_on_held_out_documents(spark):
 def test_toxicity_tolerates_gaps():
     rng = random.Random(3)
     plain = ["".join(rng.choice(("an", "er", "th", "on", "st", "ou", "le")) for _ in range(rng.randint(1, 4))) for _ in range(400)]
-    beta, bias = toxicity.fit_words(["worthless", "stupid", "pathetic", "disgusting"], sorted(set(plain)))
+    beta, bias = toxicity.fit_words(dict.fromkeys(["worthless", "stupid", "pathetic", "disgusting"], 1.0), dict.fromkeys(sorted(set(plain)), 1.0))
     scorer = toxicity.Scorer(beta, bias)
     levels = scorer.levels(["you s t u p i d one", "a st-u.pid thing", "so w0rthle55 now", "path_xetic", "another plainer thing on the street", ""])[:, 0]
     assert (levels[:3] > 0.5).all() and levels[3] > levels[4] and levels[5] == -1
-    assert not toxicity.fit_words([], plain)[0].any()
+    assert not toxicity.fit_words({}, {})[0].any()
 
 
 def test_toxicity_without_labels_and_empty(spark):
