@@ -108,15 +108,27 @@ class Index:
             yield cells_in_order(p, q, self.visits)
 
 
+def unit(vector: list | None) -> np.ndarray | None:
+    """The vector at length 1, or None if it is null, empty, zero or holds null or non-finite components."""
+    if not vector or None in vector:
+        return None
+    x = np.array(vector, np.float64)
+    top = np.abs(x).max()
+    if not np.isfinite(top) or top == 0:
+        return None
+    x /= top
+    return x / np.sqrt(x @ x)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([unit(v) for v in batch["v"].to_pylist()], pa.list_(pa.float64()))], ["id", "v"])
+
+
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): vectors of length 1 in double precision; v is null for those that link with nothing."""
-    v = F.col(vector_col).cast("array<double>")
-    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(sound & (top > 0), F.transform(scaled, lambda x: x / norm)).alias("v"))
-    return rows
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.mapInArrow(_units, "id long, v array<double>")
 
 
 def _filed(index: Index):
