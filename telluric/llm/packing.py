@@ -13,52 +13,102 @@ those of other shards.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telluric.llm.shared import folder, saved
+from telluric.llm.spread import in_runs, written_out
 
 _ENCODERS: dict = {}
 
 
 class Words:
-    """Encodes texts by a public tokenizer whose pre-tokenizer drops white space, remembering the ids of what stands between blanks."""
+    """Encodes texts by a public tokenizer that lower-cases, drops white space and marks the last token of a word.
+
+    What stands between two blanks is encoded on its own and remembered. Most of it is lines of a lower-cased run of letters
+    and ASCII punctuation behind it, which the tokenizer separates; such runs are encoded many at a time in one text and
+    told apart by the marks. Anything else goes to the tokenizer as it is.
+    """
+
+    PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, remembered: int):
+        # tasks run side by side already; the library's own threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
         self.remembered = remembered
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def ask(self, words: list[str]) -> None:
+        """Encode words one by one."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
+
+    def ask_together(self, words: list[str], at_once: int = 500) -> None:
+        """Encode words of letters, at_once in a text."""
+        for k in range(0, len(words), 100 * at_once):
+            parts = [words[b : b + at_once] for b in range(k, min(len(words), k + 100 * at_once), at_once)]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+                if len(ends) == len(part):
+                    ids = ids.tobytes()
+                    self.known.update((w, ids[b:e]) for w, b, e in zip(part, [0, *ends], ends, strict=False))
+                else:
+                    self.ask(part)
+
+    def learn(self, new: set[str]) -> None:
+        cut: dict[str, list[str]] = {}
+        odd: list[str] = []
+        for w in new:
+            keys: list[str] = []
+            for line in w.lower().split("\n"):
+                m = self.PLAIN.fullmatch(line)
+                if not m or "\u03a3" in w:  # a capital sigma is lower-cased by its place
+                    odd.append(w)
+                    break
+                keys += [k for k in m.groups() if k]
+            else:
+                cut[w] = keys
+        need = {k for keys in cut.values() for k in keys}.difference(self.known)
+        self.ask_together([k for k in need if k.isalpha()])
+        self.ask([k for k in need if not k.isalpha()] + odd)
+        self.known.update((w, b"".join(map(self.known.__getitem__, keys))) for w, keys in cut.items())
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts in a row, and where each text's begin and the last one's end. No text is null."""
         if len(self.known) > self.remembered:
-            self.known = {"": b""}
-        cut = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(set(c).difference(self.known))
-        order = list(new)
-        for k in range(0, len(order), 20_000):
-            some = order[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            sizes = np.fromiter((len(e) for e in found), np.int64, len(found))
-            ids = np.fromiter((i for e in found for i in e.ids), "<u4", int(sizes.sum())).tobytes()
-            ends = (np.cumsum(sizes) * 4).tolist()
-            self.known.update((w, ids[b:e]) for w, b, e in zip(some, [0, *ends], ends, strict=False))
-        for c in cut:
-            yield b"".join(map(self.known.__getitem__, c))
+            self.known = dict(itertools.islice(self.known.items(), self.remembered // 2))  # frequent words came first
+        # the tokenizer does both itself; done here, fewer words differ. A dotted capital I has two lower-case characters
+        texts = pc.replace_substring(texts, "\n", " ")
+        if not pc.any(pc.match_substring(texts, "\u0130")).as_py():
+            texts = pc.utf8_lower(texts)
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(set(words).difference(self.known))
+        ids, sizes = written_out([self.known[w] for w in words], coded.indices.to_numpy())
+        first = cut.offsets.to_numpy()
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[first - first[0]]
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int = 500_000, waiting: int = 8 << 20
+    docs: DataFrame, vocabulary: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int = 200_000, waiting: int = 6 << 20
 ) -> DataFrame:
     """(id_col, piece, start, length, ids binary): each document's ids, then end_id, cut after every capacity ids.
 
@@ -68,40 +118,19 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (vocabulary, remembered)
         words = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Words(vocabulary, remembered))
-        last, cut = np.array([end_id], "<u4").tobytes(), 4 * capacity
-
-        def pieces(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-            rows, size = ([], [], [], [], []), 0
-            for i, out in zip(ids, words.encode(texts), strict=True):
-                out += last
-                for k in range(0, len(out), cut):
-                    part = out[k : k + cut]
-                    for column, x in zip(rows, (i, k // cut, k // 4, len(part) // 4, part), strict=True):
+        for batch in in_runs(batches, "text", waiting):
+            ids, bounds = words.encode(batch["text"])
+            columns: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            for k, b, e in zip(batch["id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = np.append(ids[b:e], np.uint32(end_id))
+                for n, at in enumerate(range(0, len(own), capacity)):
+                    part = own[at : at + capacity]
+                    for column, x in zip(columns, (k, n, at, len(part), part.tobytes()), strict=True):
                         column.append(x)
-                    size += len(part)
-                if size >= 8 << 20:
-                    yield batch_of(rows)
-                    rows, size = ([], [], [], [], []), 0
-            if rows[0]:
-                yield batch_of(rows)
-
-        def batch_of(rows: tuple) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["id", "piece", "start", "length", "ids"])
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-                ids.append(i)
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= waiting:
-                    yield from pieces(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from pieces(ids, texts)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["id", "piece", "start", "length", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
