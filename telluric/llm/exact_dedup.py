@@ -30,6 +30,10 @@ def normal_form(text: Column) -> Column:
     return out
 
 
+def _sha(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
 def _cell(key: Column, bits: int) -> Column:
     """The leading bits of a key, unsigned."""
     return F.shiftrightunsigned(key, 64 - bits)
@@ -62,7 +66,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     norm = normal_form(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), norm.alias("norm"))
     entries = saved(
-        rows.select("id", "points", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")),
+        rows.select("id", "points", F.xxhash64("norm").alias("key"), _sha(F.col("norm")).alias("sha")),
         f"{path}/entries",
     )
     slots = saved(directory(entries, capacity, max_bits), f"{path}/directory")
@@ -72,7 +76,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         keyed.join(F.broadcast(slots), "cell")
         .groupBy("bucket", "key", "norm")
         .agg(F.max_by("id", "order").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("bucket", "key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size"),
+        .select("bucket", "key", _sha(F.col("norm")).alias("sha"), "keep_id", "group_size"),
         f"{path}/index",
     )
     return entries.join(index, ["key", "sha"], "left").select(
@@ -85,7 +89,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns."""
-    id_col = options.get("id_col", "doc_id")
-    gone = exact_dedup(docs, **options).where("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that exact_dedup keeps, with their columns.
+
+    A verdict holds for an id with a text: another text of the same id, or of another null id, has its own.
+    """
+    id_col, text = options.get("id_col", "doc_id"), F.col(options.get("text_col", "text"))
+    gone = exact_dedup(docs, **options).where("not kept").select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__sha"))
+    return docs.join(gone, (_sha(normal_form(text)) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telluric.llm.components import components, forest
@@ -51,15 +51,22 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x.as_py(), words) for x in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(out.view(np.int64))], ["id", "fp"])
+            rest = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), pa.array(out.view(np.int64))], [*rest, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row, as a signed long. Null texts have no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "id long, fp long")
+def _sha(text_col: str) -> Column:
+    """The SHA-256 of a text; null counts as empty, as in its fingerprint."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sha: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of each row, as a signed long; with sha the text's SHA-256 stands between. Null texts have no words."""
+    also = [_sha(text_col).alias("sha")] if sha else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(words), "id long, sha binary, fp long" if sha else "id long, fp long")
 
 
 def stretches(budget: int) -> list[tuple[int, int]]:
@@ -227,6 +234,18 @@ def links(distinct: DataFrame, *, budget: int = 2, most: int = 4096, step: int =
     return tasks.repartition("task").sortWithinPartitions("task").select("task", "side", "bits", "depth", "diff", "fp").mapInArrow(_join(budget, whole), "a long, b long")
 
 
+def _labelled(docs: DataFrame, budget: int, **options) -> DataFrame:
+    """The rows of fingerprints with component_id."""
+    path = folder(docs.sparkSession)
+    rows = saved(fingerprints(docs, **options), f"{path}/fingerprints")
+    nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("low")), f"{path}/nodes")
+    found = components(links(nodes.select("fp"), budget=budget)).withColumnRenamed("node", "fp")
+    named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = saved(named.join(smallest, "component").select("fp", "component_id"), f"{path}/labels")
+    return rows.join(label, "fp", "left")
+
+
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
@@ -234,18 +253,15 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     like any other; null ids get the component of their fingerprint and are never its name unless all ids in it are null.
     Repeated rows give repeated results; empty tables give empty ones.
     """
-    path = folder(docs.sparkSession)
-    rows = saved(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), f"{path}/fingerprints")
-    nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("low")), f"{path}/nodes")
-    found = components(links(nodes.select("fp"), budget=budget)).withColumnRenamed("node", "fp")
-    named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = saved(named.join(smallest, "component").select("fp", "component_id"), f"{path}/labels")
-    return rows.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _labelled(docs, budget, id_col=id_col, text_col=text_col, words=words)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group of near copies."""
-    id_col = options.get("id_col", "doc_id")
-    gone = simhash_dedup(docs, **options).where(f"{id_col} <> component_id").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of docs whose id names their component: one document of each group of near copies.
+
+    A verdict holds for an id with a text: another text of the same id has its own. Null ids stay where all ids of their component are null.
+    """
+    rows = _labelled(docs, budget, id_col=id_col, text_col=text_col, words=words, sha=True)
+    gone = rows.where("NOT id <=> component_id").select(F.col("id").alias("__gone"), F.col("sha").alias("__sha"))
+    return docs.join(gone, (_sha(text_col) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

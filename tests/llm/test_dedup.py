@@ -61,6 +61,12 @@ def test_exact_ties_nulls_and_empty(spark):
     assert exact_dedup(rows.limit(0)).count() == 0 and without_copies(rows.limit(0)).count() == 0
 
 
+def test_exact_verdict_is_of_id_and_text(spark):
+    rows = spark.createDataFrame([(1, "A"), (1, "B"), (0, "B"), (None, "B"), (None, "C"), (None, "D"), (2, None)], "doc_id long, text string")
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in without_copies(rows).collect())
+    assert left == [(-1, "C"), (-1, "D"), (0, "B"), (1, "A"), (2, "")]
+
+
 def test_exact_splits_buckets(spark):
     texts = [f"text {k % 400}" for k in range(1000)]
     plain = sorted(map(tuple, exact_dedup(docs(spark, texts)).collect()))
@@ -130,6 +136,13 @@ def test_simhash_nulls_and_empty(spark):
     assert simhash_dedup(rows.limit(0)).count() == 0 and one_of_each(rows.limit(0)).count() == 0
 
 
+def test_near_verdict_is_of_id_and_text(spark):
+    a, b, c, d = ("one two three four", "five six seven eight", "nine ten eleven twelve", "red green blue white")
+    rows = spark.createDataFrame([(1, a), (1, b), (0, b.upper()), (None, b), (None, c), (None, d), (2, None)], "doc_id long, text string")
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in one_of_each(rows).collect())
+    assert left == [(-1, c), (-1, d), (0, b.upper()), (1, a), (2, "")]
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(k, k + 1) for k in range(200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, 5000 + k) for k in range(400)]
