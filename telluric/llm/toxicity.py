@@ -6,7 +6,7 @@ Classification using String Kernels", 2002); K(s, t) is the product of two such
 the number of characters.
 
 Training. Words of labelled sentences (a sentence has its document's label) are counted on both sides, near copies once.
-Words that toxic documents have significantly more often are the positive examples, a spread of the others the negative
+All words that toxic documents have significantly more often are the positive examples, a spread of the others the negative
 ones; landmarks are drawn from both. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2), then twice more with the
 negative words added that the last fit scored highest, of all the words counted. As the decision function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
 
@@ -165,14 +165,15 @@ class Scorer:
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 4000) -> np.ndarray:
-    """Logistic regression (bias first), both labels weighing as they occur."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 4000) -> np.ndarray:
+    """Logistic regression (bias first); weight is how many rows each row stands for, 1 if not given."""
     x = np.column_stack([np.ones(len(x)), x])
     w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     w[0] = -2.0
+    share = (np.ones(len(x)) if weight is None else weight) / max(1e-9, len(x) if weight is None else weight.sum())
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        speed = 0.9 * speed - 0.3 * (x.T @ (p - y) / len(x) + 1e-4 * np.r_[0, w[1:]])
+        speed = 0.9 * speed - 0.3 * (x.T @ (share * (p - y)) + 1e-4 * np.r_[0, w[1:]])
         w = w + speed
     return w
 
@@ -222,7 +223,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 3])) >> 1 for k in range(max(1, len(words) - 2))]
             low.append(min(h))
             high.append(max(h))
-        yield pa.RecordBatch.from_arrays([batch["label"], batch["text"], pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["label", "text", "low", "high"])
+        columns = [batch["label"], batch["text"], batch["stands_for"], pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["label", "text", "stands_for", "low", "high"])
 
 
 def _decided(beta: np.ndarray, bias: float):
@@ -237,15 +239,22 @@ def _decided(beta: np.ndarray, bias: float):
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
-    """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows."""
+    """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows.
+
+    A column stands_for says how many labelled documents a row stands for, 1 without it: the logistic function weighs both
+    labels as often as they occur among all labelled documents, so that a score means the same however many were sampled.
+    """
     spark, path = labelled.sparkSession, folder(labelled.sparkSession)
     # copies and near copies of a text tell nothing new, but would make chance words look significant: of the texts of one
     # label that share the lowest or the highest hash of three words in a row, one is used
-    rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.mapInArrow(_sketched, "label int, text string, low long, high long")
-    used = rows.groupBy("label", "low").agg(F.min(F.struct("high", "text")).alias("x")).groupBy("label", "x.high").agg(F.min("x.text").alias("text"))
-    used = saved(used.select("label", "text"), f"{path}/sample")
-    n = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    stands = F.col("stands_for").cast("double") if "stands_for" in labelled.columns else F.lit(1.0)
+    rows = labelled.where("label IN (0, 1)").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"), stands.alias("stands_for"))
+    rows = rows.mapInArrow(_sketched, "label int, text string, stands_for double, low long, high long")
+    used = rows.groupBy("label", "low").agg(F.min(F.struct("high", "text")).alias("x"), F.sum("stands_for").alias("stands_for"))
+    used = used.groupBy("label", "x.high").agg(F.min("x.text").alias("text"), F.sum("stands_for").alias("stands_for"))
+    used = saved(used.select("label", "text", "stands_for"), f"{path}/sample")
+    sizes = used.groupBy("label").agg(F.count("*").alias("n"), F.sum("stands_for").alias("of")).collect()
+    n, weight = {r["label"]: r["n"] for r in sizes}, {r["label"]: round(r["of"]) / r["n"] for r in sizes}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return np.zeros(ALPHABET**3), -1.0, np.array([-4.0 if clean or not toxic else 4.0] + [0.0] * LEVELS)
@@ -257,7 +266,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     rate = (F.col("t") + F.col("c")) / float(toxic + clean)
     gain = F.col("t") * F.log((F.col("t") + 1e-9) / (toxic * rate)) + F.col("c") * F.log((F.col("c") + 1e-9) / (clean * rate))
     told = counts.withColumn("gain", F.when(F.col("t") * float(clean) > 8.0 * toxic * F.col("c"), gain).otherwise(0.0))
-    positive = {r["word"]: float(r["t"]) for r in told.where("gain >= 8 AND t >= 4").orderBy(F.desc("gain"), "word").limit(300).collect()}
+    positive = {r["word"]: float(r["t"]) for r in told.where("gain >= 8 AND t >= 4").orderBy(F.desc("gain"), "word").collect()}
     other = told.where("c > 0 AND gain < 2").select("word", "c")
 
     def weights(rows: DataFrame, n: int) -> dict[str, float]:
@@ -271,13 +280,13 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
         beta, bias = fit_words(positive, negative)
     seen = used.select("label", "text").mapInArrow(_leveled(beta, bias, None), "label int, out array<double>").collect()  # two rows of numbers for each row of the sample
     y = np.array([r["label"] for r in seen], np.float64)
-    return beta, bias, fit_logistic(np.array([r["out"] for r in seen]), y)
+    return beta, bias, fit_logistic(np.array([r["out"] for r in seen]), y, np.array([weight[r["label"]] for r in seen]))
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1), predicted (1 at threshold or more).
 
-    labelled has rows (text, label). Only the text enters a score. Null texts count as empty and are scored like them;
+    labelled has rows (text, label) and may have stands_for, see train. Only the text enters a score. Null texts count as empty and are scored like them;
     without labels of both kinds every score is the same. Repeated rows get equal scores; empty tables give empty results.
     """
     beta, bias, logistic = train(labelled)
@@ -292,16 +301,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = 6_000) -> DataFrame:
-    """(text, label) of about sample labelled documents of either label, spread by hash of their ids; none is held out.
+    """(text, label, stands_for) of about sample labelled documents of either label, spread by hash of their ids; none is held out.
 
-    The labels are sampled before the documents are read, so only what is used is joined; 3 * sample rows at most are
+    stands_for is how many documents of its label a sampled one stands for. The labels are sampled before the documents are read, so only what is used is joined; 3 * sample rows at most are
     broadcast.
     """
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     size = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     part = F.when(F.col("label") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
-    picked = saved(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).limit(3 * sample), f"{folder(docs.sparkSession)}/picked")
-    return docs.join(F.broadcast(picked), "doc_id").select("text", "label")
+    picked = saved(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).withColumn("stands_for", 1 / part).limit(3 * sample), f"{folder(docs.sparkSession)}/picked")
+    return docs.join(F.broadcast(picked), "doc_id").select("text", "label", "stands_for")
 
 
 def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

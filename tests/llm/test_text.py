@@ -168,6 +168,24 @@ def test_toxicity_tolerates_gaps():
     assert not toxicity.fit_words({}, {})[0].any()
 
 
+def test_toxicity_scores_keep_the_label_ratio(spark):
+    rng = np.random.default_rng(5)
+    y = (np.arange(4000) % 10 == 0).astype(float)
+    x = rng.normal(size=(4000, 2)) + y[:, None]
+    cut = (y == 1) | (np.arange(4000) % 9 == 1)  # 400 of either label
+    whole, part = toxicity.fit_logistic(x, y), toxicity.fit_logistic(x[cut], y[cut], np.where(y[cut] == 1, y.sum() / y[cut].sum(), (1 - y).sum() / (1 - y[cut]).sum()))
+    assert abs(whole[0] - part[0]) < 0.4 < 1.5 < abs(whole[0] - toxicity.fit_logistic(x[cut], y[cut])[0])
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', sha2(concat('a', id), 256), sha2(concat('b', id), 256), if(id % 10 = 0, 'stupid', 'kindly'), sha2(concat('c', id), 256)) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 AS int) AS toxic")
+    found = toxicity.training_rows(docs, labels, sample=200)
+    size = {r.label: (r.n, r.of) for r in found.selectExpr("label", "stands_for").groupBy("label").agg(F.count("*").alias("n"), F.sum("stands_for").alias("of")).collect()}
+    assert size[0][0] < 300 and 2000 < size[0][1] < 3400 and 200 < size[1][1] < 400
+    # without telling words a score is the share of toxic labels
+    some = docs.where("doc_id < 40").selectExpr("doc_id", "sha2(text, 256) AS text", "cast(doc_id % 2 AS int) AS label", "if(doc_id % 2 = 1, 1.0, 9.0) AS stands_for")
+    mean = [toxicity.toxicity(some, labelled).agg(F.avg("score")).first()[0] for labelled in (some, some.drop("stands_for"))]
+    assert mean[0] < 0.15 and abs(mean[1] - 0.5) < 0.05
+
+
 def test_toxicity_without_labels_and_empty(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "x", 0), (2, "x", 0)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "text string, label int")
