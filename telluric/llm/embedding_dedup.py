@@ -2,8 +2,8 @@
 
 The halves of the unit vectors get a codebook each (k-means on a bounded sample); a pair of codes is a cell of the
 product grid, and every vector is filed under its cell. Each vector is a query too: the multi-sequence traversal
-visits cells in the order of the summed distance to both codes, as many as the sample needs to reach the wanted
-recall; cosines of what is found are then verified in double precision.
+visits cells in the order of the summed distance to both codes, as many as some queries, whose true neighbours among
+all vectors are known by brute force, need to reach the wanted recall; cosines of what is found are then verified in double precision.
 
 Equal vectors are one entry with a count. A cell's entries are split into blocks, its queries too, so that no task
 holds more than a block of each; a task gives each query's number of links and links enough to keep what they
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telluric.llm.components import components, forest
@@ -27,7 +27,7 @@ from telluric.llm.shared import folder, saved
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """At most k centres of x, by Lloyd's rounds from a random choice of rows."""
-    x = np.unique(x, axis=0)
+    x = np.unique(x, axis=0) if x.shape[1] else x[:1]
     if len(x) <= k:
         return x
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
@@ -61,29 +61,24 @@ def cells_in_order(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, i
 class Index:
     """The two codebooks and the number of cells that a query visits.
 
-    Both are chosen on the sample: visits is where the wanted share of its near pairs is found. If that takes more than
-    most_visits cells, the codebooks are halved, down to a single cell, which finds everything.
+    visits is where the wanted share of near pairs is found. If that takes more than most_visits cells, the codebooks are
+    halved, down to a single cell, which finds everything. near is (queries, vectors, pairs of a query's number and its
+    neighbours' numbers), see neighbours; pairs within the sample if not given. Without any pair most_visits cells are visited.
     """
 
-    def __init__(self, sample: np.ndarray, codes: int, cosine: float, recall: float, most_visits: int = 64):
+    def __init__(self, sample: np.ndarray, codes: int, cosine: float, recall: float, most_visits: int = 64, near: tuple | None = None):
         self.half = sample.shape[1] // 2
         self.codebooks, self.visits = None, 1
         if not len(sample):
             return
-        rng = np.random.default_rng(11)
-        pairs: list[tuple[int, list[int]]] = []
-        for at in range(0, len(sample), 500):
-            near = sample[at : at + 500] @ sample.T >= cosine
-            for q in np.flatnonzero(near.sum(axis=1) > 1).tolist():
-                found = np.setdiff1d(np.flatnonzero(near[q]), [at + q])
-                pairs.append((at + q, rng.choice(found, min(20, len(found)), replace=False).tolist()))
+        asked, other, pairs = near or self.within(sample, cosine)
         while True:
             self.codebooks = [k_means(part, codes) for part in self.parts(sample)]
-            self.visits = min(8, most_visits)
+            self.visits = most_visits
             if not pairs:
                 return
-            cell = self.cells(sample)
-            a, b = (distances(part, book) for part, book in zip(self.parts(sample), self.codebooks, strict=True))
+            cell = self.cells(other)
+            a, b = (distances(part, book) for part, book in zip(self.parts(asked), self.codebooks, strict=True))
             place: list[int] = []
             for q, found in pairs:
                 order = {c: n for n, c in enumerate(cells_in_order(a[q], b[q], most_visits))}
@@ -94,6 +89,18 @@ class Index:
                 return
             codes //= 2
 
+    @staticmethod
+    def within(sample: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[int]]]]:
+        """The near pairs of the sample."""
+        rng = np.random.default_rng(11)
+        pairs: list[tuple[int, list[int]]] = []
+        for at in range(0, len(sample), 500):
+            near = sample[at : at + 500] @ sample.T >= cosine
+            for q in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+                found = np.setdiff1d(np.flatnonzero(near[q]), [at + q])
+                pairs.append((at + q, rng.choice(found, min(20, len(found)), replace=False).tolist()))
+        return sample, sample, pairs
+
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
 
@@ -131,19 +138,53 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(_units, "id long, v array<double>")
 
 
-def _filed(index: Index):
+def neighbours(nodes: DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, most: int = 20) -> dict[int, tuple]:
+    """By length of vectors (queries, vectors, pairs), see Index: the true neighbours of some queries among all nodes, by brute force.
+
+    asked has each length's queries as (nodes, vectors). Of a query's neighbours the most with the lowest hashes are given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}
+        for batch in batches:
+            node, h, size = (batch[n].to_numpy() for n in ("node", "h", "size"))
+            order = np.argsort(h, kind="stable")
+            for d in np.unique(size).tolist():
+                rows = order[size[order] == d]
+                x = np.stack(batch["v"].take(pa.array(rows)).to_numpy(zero_copy_only=False))
+                close = (asked[d][1] @ x.T >= cosine) & (asked[d][0][:, None] != node[rows])
+                for q in np.flatnonzero(close.any(axis=1)).tolist():
+                    some = np.flatnonzero(close[q])[:most]
+                    best[d, q] = sorted([*best.get((d, q), []), *((int(h[rows[k]]), x[k].tolist()) for k in some)])[:most]
+        flat = [(d, q, h, v) for (d, q), some in best.items() for h, v in some]
+        for at in range(0, len(flat), 1000):
+            d, q, h, v = zip(*flat[at : at + 1000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(q, pa.int32()), pa.array(h, pa.int64()), pa.array(v, pa.list_(pa.float64()))], ["d", "q", "h", "v"])
+
+    rows = nodes.select("node", F.xxhash64("v").alias("h"), F.size("v").alias("size"), "v").mapInArrow(run, "d int, q int, h long, v array<double>")
+    first = F.row_number().over(Window.partitionBy("d", "q").orderBy("h", "v"))
+    out: dict[int, tuple] = {d: (x, [], {}) for d, (_, x) in asked.items()}
+    for r in rows.withColumn("k", first).where(F.col("k") <= most).orderBy("d", "q", "k").collect():
+        _, other, pairs = out[r["d"]]
+        pairs.setdefault(r["q"], []).append(len(other))
+        other.append(r["v"])
+    return {d: (x, np.array(other, np.float64).reshape(-1, d), list(pairs.items())) for d, (x, other, pairs) in out.items()}
+
+
+def _filed(indexes: dict[int, Index]):
     """Each vector as an entry of its own cell (role 0, visits: the cells it visits) and as a query in every cell it visits (role 1); own is its cell."""
     kinds = [("node", pa.int64()), ("copies", pa.int64()), ("cell", pa.int64()), ("role", pa.int32()), ("own", pa.int64()), ("visits", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            size = batch["size"].to_numpy()
+            for d, at in ((d, at) for d in np.unique(size).tolist() for at in range(0, int((size == d).sum()), 1000)):
+                part, index = batch.take(pa.array(np.flatnonzero(size == d)[at : at + 1000])), indexes[d]
                 x = np.stack(part["v"].to_numpy(zero_copy_only=False))
-                own = [i << 20 | j for i, j in index.cells(x)]
+                own = [d << 40 | i << 20 | j for i, j in index.cells(x)]
                 rows: list[tuple] = []
                 for k, cells in enumerate(index.visited(x)):
-                    visits = [i << 20 | j for i, j in cells]
+                    visits = [d << 40 | i << 20 | j for i, j in cells]
                     rows.append((k, own[k], 0, own[k], visits))
                     rows += [(k, c, 1, own[k], None) for c in visits]
                 k, cell, role, mine, visits = zip(*rows, strict=True)
@@ -186,29 +227,37 @@ def _verified(cosine: float):
 
 
 def embedding_dedup(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, codes: int = 32, sample: int = 6_000, recall: float = 0.999, block: int = 1024
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, codes: int = 32, sample: int = 6_000, recall: float = 0.999, block: int = 1024, queries: int = 1_000
 ) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
     Two rows link when the cosine of their vectors is at least cosine and the index finds them: copies always, others
-    with the recall that the sample (spread by hash of the ids, at most sample rows, for codebooks and visits only) shows.
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of another
-    length than the longest in the sample. Rows that repeat an id are rows of their own; a null id has a null component
+    with the recall that the true neighbours, among all vectors, of some queries show. Each length of vectors has an index
+    of its own, with codebooks from a sample of about sample vectors, spread by hash; its first ones are the queries.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Rows that repeat an id are rows of their own; a null id has a null component
     unless a link gives it one. Empty tables give empty results.
     """
     spark, path = vectors.sparkSession, folder(vectors.sparkSession)
     rows = saved(unit_vectors(vectors, id_col, vector_col), f"{path}/rows")
     groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     nodes = saved(groups.withColumn("node", F.monotonically_increasing_id()), f"{path}/nodes")
-    part = min(1.0, 0.8 * sample / max(1, nodes.count()))
-    picked = nodes.where(F.pmod(F.xxhash64("low"), F.lit(1 << 20)) < part * (1 << 20)).select("v").limit(sample).collect()
-    size = max((len(r["v"]) for r in picked), default=0)
-    index = Index(np.array([r["v"] for r in picked if len(r["v"]) == size], np.float64).reshape(-1, size or 1), codes, cosine, recall)
-    if index.codebooks is None:
+    sizes = nodes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"))
+    sized = nodes.withColumns({"size": F.size("v"), "h": F.pmod(F.xxhash64("v"), F.lit(1 << 20))}).join(F.broadcast(sizes), "size")
+    # a length with few vectors is taken whole
+    picked = sized.where(F.col("h") < F.when(F.col("n") <= sample, 1.0).otherwise(0.8 * sample / F.col("n")) * (1 << 20)).orderBy("size", "h", "v").select("size", "node", "v").collect()
+    samples: dict[int, tuple[list[int], list[list[float]]]] = {}
+    for r in picked:
+        ids, some = samples.setdefault(r["size"], ([], []))
+        ids.append(r["node"])
+        some.append(r["v"])
+    asked = {d: (np.array(ids[:queries]), np.array(some[:queries], np.float64)) for d, (ids, some) in samples.items()}
+    near = neighbours(nodes, asked, cosine) if asked else {}
+    indexes = {d: Index(np.array(some, np.float64), codes, cosine, recall, near=near[d]) for d, (_, some) in samples.items()}
+    if not indexes:
         found = spark.createDataFrame([], "a long, b long, n long")
     else:
         schema = "node long, copies long, cell long, role int, own long, visits array<long>, v array<double>"
-        filed = saved(nodes.where(F.size("v") == size).select("node", "copies", "v").mapInArrow(_filed(index), schema), f"{path}/filed")
+        filed = saved(nodes.select("node", "copies", "v", F.size("v").alias("size")).mapInArrow(_filed(indexes), schema), f"{path}/filed")
         load = filed.groupBy("cell", "role").agg(F.count("*").alias("n"))
         blocks = load.groupBy("cell").agg(
             F.greatest(F.lit(1), F.ceil(F.max(F.when(F.col("role") == 0, F.col("n"))) / block)).cast("int").alias("eb"),

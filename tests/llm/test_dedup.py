@@ -12,7 +12,7 @@ from compare import assert_same
 
 from telluric.llm import queries
 from telluric.llm.components import components, forest
-from telluric.llm.embedding_dedup import Index, cells_in_order, embedding_dedup
+from telluric.llm.embedding_dedup import Index, cells_in_order, embedding_dedup, neighbours
 from telluric.llm.exact_dedup import directory, exact_dedup, without_copies
 from telluric.llm.simhash_dedup import fingerprint, links, one_of_each, simhash_dedup, traverse
 
@@ -185,6 +185,24 @@ def test_embeddings_that_link_with_nothing(spark):
     assert embedding_dedup(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    x = np.random.default_rng(6).normal(size=(100, 8))
+    rows = [(k, v) for k, v in enumerate(np.concatenate([x, x + 0.02]).tolist())] + [(900, [1.0] * 12), (901, [1.0] * 3), (902, [1.0, 1.0, 1.1]), (903, [2.0]), (904, [-1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(vectors(spark, rows)).collect()}
+    assert all(found[k][0] >= 1 and found[k][1] == found[k + 100][1] for k in range(100))
+    assert found[900] == (0, 900) and found[901] == found[902] == (1, 901) and found[903] == (0, 903) and found[904] == (0, 904)
+
+
+def test_neighbours_are_sought_among_all_vectors(spark):
+    x = np.random.default_rng(8).normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "node long, v array<double>").repartition(3)
+    _, other, pairs = neighbours(table, {6: (np.arange(20), x[:20])}, 0.8, most=400)[6]
+    got = {(q, tuple(other[k])) for q, some in pairs for k in some}
+    assert got == {(q, tuple(x[k])) for q in range(20) for k in range(400) if k != q and x[q] @ x[k] >= 0.8}
+    assert sum(len(some) for _, some in neighbours(table, {6: (np.arange(20), x[:20])}, -1.0, most=3)[6][2]) == 60
+
+
 def test_multi_sequence_order():
     a, b = np.array([0.1, 0.9, 0.4]), np.array([0.3, 0.2])
     got = cells_in_order(a, b, 6)
