@@ -29,7 +29,7 @@ END = b"\r\n\r\n"
 MEMBER = b"\x1f\x8b\x08"
 HEADER = re.compile(rb"WARC/1\.1\r\n(?:[!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\r\n]*\r\n(?:[ \t][^\r\n]*\r\n)*)*")
 ONCE = (b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length")
-MOST_HEADER = 1 << 16
+USUAL_HEADER = 1 << 16
 CHUNK = 1 << 14
 
 READ_SCHEMA = (
@@ -88,15 +88,19 @@ def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, **
 
 
 def _field(header: bytes, name: bytes) -> str | None:
-    found = re.search(rb"(?im)^" + re.escape(name) + rb":[ \t]*(.*?)[ \t]*\r$", header)
-    return found[1].decode("utf-8", "replace") if found else None
+    found = re.search(rb"(?im)^" + re.escape(name) + rb":(.*)\r$", header)
+    return found[1].strip(b" \t").decode("utf-8", "replace") if found else None
 
 
 def _parse(data: bytes, at: int) -> tuple[int, dict] | str:
     """The record at a position as (its end, fields), or what is wrong with it."""
     if not data.startswith(VERSION, at):
         return "no version line"
-    head = data.find(END, at, at + MOST_HEADER)
+    head = data.find(END, at, at + USUAL_HEADER)
+    if head < 0:
+        # long fields: no header goes on beyond the next version line
+        stop = data.find(b"\r\n" + VERSION, at)
+        head = data.find(END, at, len(data) if stop < 0 else stop + 2)
     if head < 0:
         return "no end of header"
     header = data[at : head + 2]

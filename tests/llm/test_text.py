@@ -275,6 +275,18 @@ def test_salvage_after_damage():
     assert [(b, e) for b, e, gap, _ in found if gap] == [(len(members[0]), len(members[0] + members[1])), (len(members[0] + members[1] + members[2]), len(hurt))]
 
 
+def test_warc_keeps_long_urls(spark, tmp_path):
+    html = "<p>" + "same payload " * 20
+    rows = [(1, "data:" + "x" * 200_000, html), (2, "http://a/" + "y " * 50_000, html), (3, "http://a/3", "z"), (4, "q" * 65_400, "short")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    found = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert not any(r.gap for r in found)
+    assert {r.record_id: (r.record_type, r.target_uri) for r in found} == {f"<urn:page:{k}>": ("revisit" if k == 2 else "response", u.strip()) for k, u, _ in rows}
+    # a header without an end is not carried on into the next record
+    data = b"WARC/1.1\r\nWARC-Target-URI: " + b"x" * 100_000 + b"\r\n" + record(7, b"seven") + warc.END
+    assert [(gap, f.get("record_id")) for _, _, gap, f in warc.salvage(data)] == [("no end of header", None), (None, "<urn:page:7>")]
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é" * 100
     rows = [(5, "http://a\r\nX: y", long, 1), (3, None, long, 1), (None, "u", long, 1), (7, "v", None, 1), (8, "w", None, 1), (9, "w", "WARC/1.1\r\n\r\n\r\n" * 30, 1), (9, "w", "WARC/1.1\r\n\r\n\r\n" * 30, 1)]
