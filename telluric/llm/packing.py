@@ -34,12 +34,13 @@ _ENCODERS: dict = {}
 class Words:
     """Encodes texts by a public tokenizer that lower-cases, drops white space and marks the last token of a word.
 
-    What stands between two blanks is encoded on its own and remembered. Most of it is lines of a lower-cased run of letters
-    and ASCII punctuation behind it, which the tokenizer separates; such runs are encoded many at a time in one text and
-    told apart by the marks. Anything else goes to the tokenizer as it is.
+    What stands between two blanks is encoded on its own and remembered, punctuation behind a word apart from it, as the
+    tokenizer separates them. Words of letters are encoded many at a time in one text and told apart by the marks; anything
+    else goes to the tokenizer as it is, and so does the whole of a text with one of the tokenizer's special tokens.
     """
 
-    PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+    #: ASCII punctuation at the end of a word. A dotted capital I has a mark behind it in lower case, which stays with the punctuation
+    BEHIND = r"([^\PL\x{130}])([!-/:-@\[-`{-~]+)( |$)"
 
     def __init__(self, path: str, remembered: int):
         # tasks run side by side already; the library's own threads would each keep memory of their own
@@ -47,7 +48,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -72,39 +73,37 @@ class Words:
                 else:
                     self.ask(part)
 
-    def learn(self, new: set[str]) -> None:
-        cut: dict[str, list[str]] = {}
-        odd: list[str] = []
-        for w in new:
-            keys: list[str] = []
-            for line in w.lower().split("\n"):
-                m = self.PLAIN.fullmatch(line)
-                if not m or "\u03a3" in w:  # a capital sigma is lower-cased by its place
-                    odd.append(w)
-                    break
-                keys += [k for k in m.groups() if k]
-            else:
-                cut[w] = keys
-        need = {k for keys in cut.values() for k in keys}.difference(self.known)
-        self.ask_together([k for k in need if k.isalpha()])
-        self.ask([k for k in need if not k.isalpha()] + odd)
-        self.known.update((w, b"".join(map(self.known.__getitem__, keys))) for w, keys in cut.items())
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that aren't known."""
+        new = [w for w in words if w not in self.known]
+        letters = pc.match_substring_regex(pa.array(new, pa.string()), r"^\pL+$").to_numpy(zero_copy_only=False)
+        self.ask_together([w for w, plain in zip(new, letters, strict=True) if plain])
+        self.ask([w for w, plain in zip(new, letters, strict=True) if not plain])
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of all texts in a row, and where each text's begin and the last one's end. No text is null."""
         if len(self.known) > self.remembered:
             self.known = dict(itertools.islice(self.known.items(), self.remembered // 2))  # frequent words came first
+        special = pc.match_substring_regex(texts, self.special, ignore_case=True) if self.special else None
+        whole: dict[int, np.ndarray] = {}
+        if special is not None and pc.any(special).as_py():
+            whole = {k: np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()}
+            texts = pc.if_else(special, pa.scalar("", texts.type), texts)
         # the tokenizer does both itself; done here, fewer words differ. A dotted capital I has two lower-case characters
         texts = pc.replace_substring(texts, "\n", " ")
         if not pc.any(pc.match_substring(texts, "\u0130")).as_py():
             texts = pc.utf8_lower(texts)
-        cut = pc.split_pattern(texts, " ")
+        cut = pc.split_pattern(pc.replace_substring_regex(texts, self.BEHIND, r"\1 \2\3"), " ")
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(set(words).difference(self.known))
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
         ids, sizes = written_out([self.known[w] for w in words], coded.indices.to_numpy())
         first = cut.offsets.to_numpy()
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[first - first[0]]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[first - first[0]]
+        if whole:
+            parts = [whole.get(k, ids[b:e]) for k, (b, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bounds
 
 
 def token_pieces(

@@ -67,8 +67,7 @@ def test_bpe_round_trip(spark):
 
 def test_word_ids_equal_library():
     theirs = Tokenizer.from_file(WORDS)
-    theirs.encode_special_tokens = True
-    texts = odd_texts(3000, 3) + texts_of().text.tolist()[:60]
+    texts = ["a<|endoftext|>b", "<|StartOfText|> x", "<|startoftext|><|endoftext|>", "x <|endoftext|", *odd_texts(3000, 3)] + texts_of().text.tolist()[:60]
     words = Words(WORDS, 400)
     for part in (texts, texts[::-1]):
         ids, bounds = words.encode(pa.array(part))
@@ -77,7 +76,6 @@ def test_word_ids_equal_library():
 
 def test_packing_query(spark):
     theirs, table = Tokenizer.from_file(WORDS), texts_of()
-    theirs.encode_special_tokens = True
     rows, by, at = queries.QUERIES["op2_best_fit_packing"](spark, SF).collect(), {}, {}
     for r in rows:
         by.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
