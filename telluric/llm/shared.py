@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -39,6 +40,14 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs with one more column, its name): a number of its own for each row, in a table, so that it is the same however often it is read."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), f"{folder(docs.sparkSession)}/numbered"), name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later read needs."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telluric.llm.components import components, forest
-from telluric.llm.shared import folder, saved
+from telluric.llm.shared import folder, numbered, saved
 
 BITS = 64
 
@@ -57,16 +57,11 @@ def _fingerprints(words: int):
     return run
 
 
-def _sha(text_col: str) -> Column:
-    """The SHA-256 of a text; null counts as empty, as in its fingerprint."""
-    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256))
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, sha: bool = False) -> DataFrame:
-    """(id, fp): the fingerprint of each row, as a signed long; with sha the text's SHA-256 stands between. Null texts have no words."""
-    also = [_sha(text_col).alias("sha")] if sha else []
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "id long, sha binary, fp long" if sha else "id long, fp long")
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, row: Column | None = None) -> DataFrame:
+    """(id, row, fp): the fingerprint of each row, as a signed long. Null texts have no words."""
+    also = F.lit(0) if row is None else row
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), also.cast("long").alias("row"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(words), "id long, row long, fp long")
 
 
 def stretches(budget: int) -> list[tuple[int, int]]:
@@ -235,14 +230,14 @@ def links(distinct: DataFrame, *, budget: int = 2, most: int = 4096, step: int =
 
 
 def _labelled(docs: DataFrame, budget: int, **options) -> DataFrame:
-    """The rows of fingerprints with component_id."""
+    """The rows of fingerprints with component (one of its fingerprints) and component_id (its smallest id)."""
     path = folder(docs.sparkSession)
     rows = saved(fingerprints(docs, **options), f"{path}/fingerprints")
     nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("low")), f"{path}/nodes")
     found = components(links(nodes.select("fp"), budget=budget)).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = saved(named.join(smallest, "component").select("fp", "component_id"), f"{path}/labels")
+    label = saved(named.join(smallest, "component").select("fp", "component", "component_id"), f"{path}/labels")
     return rows.join(label, "fp", "left")
 
 
@@ -258,10 +253,13 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group of near copies.
+    """One row of docs, with its columns, for each component of near copies: one with its smallest id, any of them if all ids are null.
 
-    A verdict holds for an id with a text: another text of the same id has its own. Null ids stay where all ids of their component are null.
+    Rows are judged one by one, so ids may be null or repeated, and of repeated rows one stays. Null texts count as empty, and all
+    texts without words are near copies of one another. Empty tables give empty results.
     """
-    rows = _labelled(docs, budget, id_col=id_col, text_col=text_col, words=words, sha=True)
-    gone = rows.where("NOT id <=> component_id").select(F.col("id").alias("__gone"), F.col("sha").alias("__sha"))
-    return docs.join(gone, (_sha(text_col) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    rows, row = numbered(docs)
+    found = saved(_labelled(rows, budget, id_col=id_col, text_col=text_col, words=words, row=F.col(row)).select("id", "row", "component"), f"{folder(docs.sparkSession)}/rows")
+    kept = found.groupBy("component").agg(F.coalesce(F.min_by("row", "id"), F.min("row")).alias("row")).select(F.col("row").alias(row))
+    gone = found.select(F.col("row").alias(row)).join(kept, row, "left_anti")
+    return rows.join(gone, row, "left_anti").drop(row)

@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import struct
 
 import numpy as np
 import pytest
@@ -67,6 +66,13 @@ def test_exact_verdict_is_of_id_and_text(spark):
     assert left == [(-1, "C"), (-1, "D"), (0, "B"), (1, "A"), (2, "")]
 
 
+def test_repeated_rows_leave_one(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = spark.createDataFrame([(1, a, 1)] * 3 + [(2, a, 2), (2, b, 3), (None, b, 4), (None, b, 4)], "doc_id long, text string, __row int")
+    for left in (without_copies(rows), one_of_each(rows)):
+        assert left.columns == rows.columns and sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (2, b)]
+
+
 def test_exact_splits_buckets(spark):
     texts = [f"text {k % 400}" for k in range(1000)]
     plain = sorted(map(tuple, exact_dedup(docs(spark, texts)).collect()))
@@ -217,4 +223,3 @@ def test_hot_groups_stay_whole(spark):
     assert simhash_dedup(docs(spark, texts)).where("component_id = 1").count() >= 500
     hot = vectors(spark, [(k, [1.0, 0.001 * k]) for k in range(300)])
     assert {(r.n_links, r.component_id) for r in embedding_dedup(hot, block=32).collect()} == {(299, 0)}
-    assert struct.calcsize("<I") == 4
