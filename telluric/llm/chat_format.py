@@ -3,11 +3,13 @@
 A logged conversation is often a snapshot of a longer one: its turns are the first turns of the other.
 Every turn gets a hash of its role, text and place; the running combination of these hashes over a
 conversation is a hash of each of its turn prefixes. A conversation whose last prefix hash is a prefix
-hash of a longer conversation is a snapshot; an anti-join leaves the maximal ones, and of equal
-conversations the one with the smallest conv_id. What remains is rendered turn by turn.
+hash of a longer conversation is a snapshot of that one, its witness; of equal conversations the one with the
+smallest conv_id is the others' witness. Turns are compared with the witness's turns one by one, and an
+anti-join leaves the conversations without a witness, the maximal ones, which are rendered turn by turn.
 
 The running hashes are made in two steps, within blocks of ``block`` turns and then over the blocks, so
-that one conversation with very many turns is dealt out to many tasks; it is rendered as several parts.
+that one conversation with very many turns is dealt out to many tasks; its text is put together from its
+blocks' texts in the end, as it is one value.
 """
 
 from __future__ import annotations
@@ -17,17 +19,24 @@ from pyspark.sql import functions as F
 
 from telluric.llm.shared import folder, saved
 
+#: What orders turns, and blocks; a block's turns follow one another in the first order.
+ORDER, BLOCKS = ("turn", "role", "text"), ("part", "of_role", "head")
+
 
 def turns_in_blocks(conversations: DataFrame, block: int) -> DataFrame:
-    """(conv_id, turn, role, text, part, h1, h2): the distinct turns with the two 64-bit hashes of role, text and place.
+    """(conv_id, turn, role, text, part, of_role, head, h1, h2): the distinct turns with the two 64-bit hashes of role, text and place.
 
-    Repeated rows count once. Turns of one conversation are ordered by turn, role and text, nulls first.
+    Repeated rows count once. Turns of one conversation are ordered by turn, role and text, nulls first. Rows without a turn
+    number are blocks by role and the first two characters of the text, so that many of them are no single block either.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where(F.col("conv_id").isNotNull()).distinct()
     place = [F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.coalesce(F.col("role"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("\x00"))]
+    none = F.col("turn").isNull()
     return rows.withColumns(
         {
-            "part": F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long"),
+            "part": F.floor(F.col("turn") / block).cast("long"),
+            "of_role": F.when(none, F.col("role")),
+            "head": F.when(none, F.substring("text", 1, 2)),
             "h1": F.xxhash64(F.lit(1), *place),
             "h2": F.xxhash64(F.lit(2), *place),
         }
@@ -36,45 +45,58 @@ def turns_in_blocks(conversations: DataFrame, block: int) -> DataFrame:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """turns with n (turns so far), p1, p2: the hashes of the conversation's first n turns."""
-    within = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = turns.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+    within = Window.partitionBy("conv_id", *BLOCKS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("conv_id").orderBy(*BLOCKS).rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns.groupBy("conv_id", *BLOCKS).agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
     start = parts.select(
-        "conv_id",
-        "part",
+        F.col("conv_id").alias("c"),
+        *(F.col(b).alias(f"b_{b}") for b in BLOCKS),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
         F.coalesce(F.bit_xor("x1").over(before), F.lit(0)).alias("b1"),
         F.coalesce(F.bit_xor("x2").over(before), F.lit(0)).alias("b2"),
     )
     run = turns.select(
-        "conv_id", "part", "turn", "role", "text",
-        F.count("*").over(within).alias("k"), F.bit_xor("h1").over(within).alias("x1"), F.bit_xor("h2").over(within).alias("x2"),
+        "conv_id", *BLOCKS, *ORDER, F.count("*").over(within).alias("k"), F.bit_xor("h1").over(within).alias("x1"), F.bit_xor("h2").over(within).alias("x2")
     )
-    return run.join(start, ["conv_id", "part"]).select(
-        "conv_id", "part", "turn", "role", "text",
+    same = [F.col("conv_id") == F.col("c"), *(F.col(b).eqNullSafe(F.col(f"b_{b}")) for b in BLOCKS)]
+    return run.join(start, same).select(
+        "conv_id", *BLOCKS, *ORDER,
         (F.col("k") + F.col("n0")).alias("n"), F.col("x1").bitwiseXOR(F.col("b1")).alias("p1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("p2"),
     )
 
 
-def maximal(prefix: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of the conversations that are no prefix of a longer one and have no equal of smaller conv_id."""
-    ends = prefix.groupBy("conv_id").agg(F.max_by(F.struct("p1", "p2"), "n").alias("p"), F.max("n").alias("n_turns"))
-    whole = ends.groupBy("p", "n_turns").agg(F.min("conv_id").alias("conv_id"))
-    inner = prefix.join(ends.select("conv_id", "n_turns"), "conv_id").where("n < n_turns").select(F.struct("p1", "p2").alias("p"), F.col("n").alias("n_turns")).distinct()
-    return whole.join(inner, ["p", "n_turns"], "left_anti").select("conv_id", "n_turns")
+def witnesses(prefix: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, witness): of each conversation a longer one that begins with the same hashes, or else the first equal one if that is another; null if there is none."""
+    last = prefix.groupBy("conv_id").agg(F.max("n").alias("n_turns"))
+    marked = prefix.join(last, "conv_id").select("conv_id", "n", "p1", "p2", "n_turns")
+    key = ["p1", "p2", "n"]
+    known = marked.groupBy(*key).agg(F.min(F.when(F.col("n") < F.col("n_turns"), F.col("conv_id"))).alias("longer"), F.min(F.when(F.col("n") == F.col("n_turns"), F.col("conv_id"))).alias("equal"))
+    found = marked.where("n = n_turns").join(known, key)
+    return found.select("conv_id", "n_turns", F.coalesce("longer", F.when(F.col("equal") < F.col("conv_id"), F.col("equal"))).alias("witness"))
+
+
+def confirmed(prefix: DataFrame, seen: DataFrame) -> DataFrame:
+    """(conv_id) of the conversations all of whose turns are their witness's turns."""
+    of = prefix.join(seen.where("witness IS NOT NULL"), "conv_id").select("conv_id", "n_turns", "witness", "n", *ORDER)
+    there = prefix.select(F.col("conv_id").alias("w"), F.col("n").alias("m"), *(F.col(c).alias(f"w_{c}") for c in ORDER))
+    same = of.join(there, (F.col("witness") == F.col("w")) & (F.col("n") == F.col("m")) & F.expr(" AND ".join(f"{c} <=> w_{c}" for c in ORDER)))
+    return same.groupBy("conv_id", "n_turns").agg(F.count("*").alias("k")).where("k = n_turns").select("conv_id")
 
 
 def chat_format(conversations: DataFrame, *, block: int = 64, open_mark: str = "<|im_start|>", close_mark: str = "<|im_end|>") -> DataFrame:
-    """(conv_id, part, n_turns, text): the maximal conversations, rendered.
+    """(conv_id, n_turns, text): the maximal conversations, rendered, one row each.
 
-    n_turns counts the whole conversation; text holds the turns whose number divided by block gives part (-1: null
-    turn numbers), each as open_mark, role, line feed, text, close_mark and line feed. Null roles and texts render
-    empty, rows without a conv_id are left out, marks inside a text stay as they are. Empty tables give empty results.
+    Each turn is open_mark, role, line feed, text, close_mark and line feed, by turn, role and text (nulls first: rows that share a
+    turn number all count). Null roles and texts render empty, rows without a conv_id are left out, repeated rows count once, marks
+    inside a text stay as they are. Empty tables give empty results; other columns are ignored. A conversation's text is one value, so
+    it has Spark's limit of 2 GB.
     """
     path = folder(conversations.sparkSession)
     prefix = saved(prefixes(turns_in_blocks(conversations, block)), f"{path}/prefixes")
-    kept = saved(maximal(prefix), f"{path}/maximal")
+    seen = saved(witnesses(prefix), f"{path}/witnesses")
+    kept = saved(seen.join(confirmed(prefix, seen), "conv_id", "left_anti").select("conv_id", "n_turns"), f"{path}/maximal")
     line = F.concat(F.lit(open_mark), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(close_mark + "\n"))
-    lines = prefix.select("conv_id", "part", F.struct("n", line.alias("line")).alias("x"))
-    texts = lines.join(kept, "conv_id").groupBy("conv_id", "n_turns", "part").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return texts.select("conv_id", "part", "n_turns", F.array_join(F.col("x.line"), "").alias("text"))
+    lines = prefix.select("conv_id", *BLOCKS, F.struct("n", line.alias("line")).alias("x"))
+    blocks = lines.join(kept, "conv_id").groupBy("conv_id", "n_turns", *BLOCKS).agg(F.sort_array(F.collect_list("x")).alias("x"))
+    texts = blocks.select("conv_id", "n_turns", F.struct(F.col("x")[0]["n"].alias("n"), F.array_join(F.col("x.line"), "").alias("text")).alias("b"))
+    return texts.groupBy("conv_id", "n_turns").agg(F.array_join(F.sort_array(F.collect_list("b"))["text"], "").alias("text"))

@@ -122,7 +122,7 @@ ORACLE_SQL = {
             WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = c.n_turns AND p.head = c.turns)
             GROUP BY turns, n_turns
         )
-        SELECT t.conv_id, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part, n_turns,
+        SELECT t.conv_id, n_turns,
                string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
                           ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
         FROM t JOIN kept USING (conv_id) GROUP BY ALL
