@@ -310,7 +310,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = 6_000) ->
     size = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     part = F.when(F.col("label") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
     picked = saved(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).withColumn("stands_for", 1 / part).limit(3 * sample), f"{folder(docs.sparkSession)}/picked")
-    return docs.join(F.broadcast(picked), "doc_id").select("text", "label", "stands_for")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", "stands_for")
 
 
 def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

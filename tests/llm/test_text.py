@@ -1,6 +1,7 @@
 """Tokenizers, packing, classifiers, page text, archives and chats against the libraries, brute force or held-out labels."""
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from telluric.llm import html_text as pages
 from telluric.llm import quality, queries, toxicity, warc
 from telluric.llm.byte_bpe import Encoder, bpe_decode, bpe_encode, ranks, replay
-from telluric.llm.chat_format import chat_format
+from telluric.llm.chat_format import chat_format, confirmed, prefixes, turns_in_blocks
 from telluric.llm.packing import Words, pack, sum_of_squares, token_pieces
 from telluric.llm.spread import in_runs, written_out
 
@@ -57,6 +58,15 @@ def test_replay_of_overlaps():
         assert theirs.decode_bytes(ids) == piece
 
 
+def test_bpe_query(spark):
+    theirs, table = reference(), texts_of()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op3_byte_bpe"](spark, SF).collect()}
+    for doc_id, text in zip(table.doc_id, table.text, strict=True):
+        ids = np.array(theirs.encode_ordinary(text or ""), "<u4")
+        assert got.pop(doc_id) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    assert not got
+
+
 def test_bpe_round_trip(spark):
     texts = [*odd_texts(50, 2), None]
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
@@ -184,6 +194,14 @@ def test_toxicity_scores_keep_the_label_ratio(spark):
     assert mean[0] < 0.15 and abs(mean[1] - 0.5) < 0.05
 
 
+def test_toxicity_of_clashing_names(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "7 AS label", "'x' AS stands_for", "1.0 AS score", "id AS toxic")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic", "doc_id AS quality")
+    found = toxicity.training_rows(docs, labels)
+    assert found.columns == ["text", "label", "stands_for"] and {r.label for r in found.collect()} == {0, 1}
+    assert toxicity.toxicity(docs, found).count() == 40 and toxicity.civil(docs, found).columns == docs.columns
+
+
 def test_toxicity_without_labels_and_empty(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "x", 0), (2, "x", 0)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "text string, label int")
@@ -302,16 +320,27 @@ def test_warc_round_trip(spark, tmp_path):
 def test_chat_collapse(spark):
     turns = {1: "ab", 2: "abc", 3: "abcd", 4: "abcd", 5: "abx", 6: "b", 7: "a" * 200, 8: "a" * 100}
     rows = [(c, n, "user", t, "x") for c, ts in turns.items() for n, t in enumerate(ts)] + [(2, 0, "user", "a", "x"), (9, None, None, None, "x"), (None, 0, "user", "z", "x")]
+    # many rows without a turn number, and several with the same one
+    rows += [(c, None, "user" if k % 3 else None, f"{k % 50:02d} {k}", "x") for c in (10, 11) for k in range(300 + c)] + [(12, 5, r, t, "x") for r, t in (("b", "y"), ("a", "z"), ("b", "x"))]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
-    found = chat_format(table).collect()
-    assert sorted({r.conv_id for r in found}) == [3, 5, 6, 7, 9]
-    whole = {c: "".join(r.text for r in sorted(found, key=lambda r: r.part) if r.conv_id == c) for c in (3, 7, 9)}
+    found = {r.conv_id: (r.n_turns, r.text) for r in chat_format(table).collect()}
+    assert sorted(found) == [3, 5, 6, 7, 9, 10, 11, 12]
     line = "<|im_start|>{}\n{}<|im_end|>\n"
-    assert whole[3] == "".join(line.format("user", t) for t in "abcd") and whole[7] == line.format("user", "a") * 200 and whole[9] == line.format("", "")
-    assert sum(r.conv_id == 7 for r in found) == 4
+    assert found[3] == (4, "".join(line.format("user", t) for t in "abcd")) and found[7] == (200, line.format("user", "a") * 200) and found[9] == (1, line.format("", ""))
+    assert found[12][1] == line.format("a", "z") + line.format("b", "x") + line.format("b", "y")
+    own = sorted(((r is not None, r or "", t) for c, n, r, t, _ in rows if c == 11), key=lambda x: x)
+    assert found[11] == (311, "".join(line.format(r, t) for _, r, t in own))
+    assert {r.conv_id: r.text for r in chat_format(table, block=3).collect()} == {c: t for c, (_, t) in found.items()}
     assert chat_format(table.limit(0)).count() == 0
 
 
+def test_chat_hashes_are_checked_on_content(spark):
+    rows = [(c, n, "user", t) for c, ts in {1: "ab", 2: "abc", 3: "xy"}.items() for n, t in enumerate(ts)]
+    prefix = prefixes(turns_in_blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 64))
+    seen = spark.createDataFrame([(1, 2, 2), (2, 3, None), (3, 2, 2)], "conv_id long, n_turns long, witness long")
+    assert [r.conv_id for r in confirmed(prefix, seen).collect()] == [1]
+
+
 def test_pipeline_against_its_operators(spark):
     import corpus_pipeline
 
@@ -340,4 +369,3 @@ def test_pipeline_against_its_operators(spark):
                 if (x ^ y).bit_count() <= 2 and label[a] > label[b]:
                     label[a], changed = label[b], True
     assert kept == set(label.values())
-    assert F.col is not None
