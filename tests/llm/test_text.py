@@ -228,6 +228,9 @@ def text_of(page):
         ("<main><header><h1>Head</h1></header><p>text</p><footer>by</footer></main>", ["Head", "text"]),
         ("<article><p>never closed &copy; <i>x", ["never closed © x"]),
         ("<body class='has-sidebar'><p>kept</p><div hidden>no</div>", ["kept"]),
+        ("<div data-class='ad'>x</div><div title='a class=ad'>y</div><div class=sidebarLeft>no</div><div id='respond'>no</div><i class=adsbox>no</i>", ["x", "y"]),
+        ("<article><p class='related-work'>work</p><div class='related-posts'>no</div><p class='ad'>no</p></article>", ["work"]),
+        ("<p>a &am<b>p;</b> b &amp;lt; &lt;<!-- -->br&gt;<![CDATA[&amp;]]>", ["a &amp; b &lt; <br>&amp;"]),
     ],
 )
 def test_blocks(page, text):
@@ -268,6 +271,67 @@ def test_hosts_lose_what_they_share(spark):
     assert pages.html_text(table.limit(0)).count() == 0
 
 
+def brute_pages(rows, least=5, share=0.5, kept_share=0.5, kept_pages=5):
+    """The texts of pages by definition: each block's windows against those of all other distinct pages of the host."""
+    found = []
+    for page_id, url, page in rows:
+        cut = pages.blocks(page or "")
+        kept = any(s == pages.KEEP for s, _ in cut)
+        host = (url or "").split("://")[-1].split("/")[0]
+        found.append((page_id, host, kept, page or "", [t for s, t in cut if s == (pages.KEEP if kept else pages.OPEN)]))
+    on = {}
+    for _, host, kept, page, texts in found:
+        for t in texts:
+            w = t.split(" ")
+            for k in range(len(w) - least + 1):
+                on.setdefault((host, kept, *w[k : k + least]), set()).add(page)
+    n = {}
+    for _, host, kept, page, _ in found:
+        n.setdefault((host, kept), set()).add(page)
+    out = {}
+    for page_id, host, kept, _, texts in found:
+        need = max(kept_pages, int(kept_share * len(n[host, kept])) + 1) if kept else 2
+        left = []
+        for t in texts:
+            w, inside = t.split(" "), set()
+            for k in range(len(w) - least + 1):
+                if len(on[(host, kept, *w[k : k + least])]) >= need:
+                    inside.update(range(k, k + least))
+            if len(inside) <= share * len(w):
+                left.append(t)
+        out[page_id] = "\n\n".join(left)
+    return out
+
+
+def test_pages_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for host, size in (("one", 1), ("few", 6), ("many", 150), ("hot", 600)):
+        notices = [line(rng.randrange(3, 12)) for _ in range(4)]
+        for k in range(size):
+            mine = [rng.choice(notices) if rng.random() < 0.5 else line(rng.randrange(1, 40)) for _ in range(rng.randrange(5))]
+            mine += [notices[0]] * (rng.random() < 0.8) + [line(8) + " " + notices[1]] * (rng.random() < 0.6)
+            body = "".join(f"<div>{t}</div>" for t in mine)
+            rows.append((len(rows), f"http://{host}/{k}", f"<p>outside</p><main>{body}</main>" if k % 2 else body))
+            if rng.random() < 0.1:
+                rows.append((len(rows), f"http://{host}/copy{k}", rows[-1][2]))
+    rows += [(len(rows), None, None), (len(rows) + 1, "http://one/x", "<article></article>")]
+    table, truth = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), brute_pages(rows)
+    assert sum(len(t) for t in truth.values()) < 0.8 * sum(len(" ".join(t for s, t in pages.blocks(r[2] or ""))) for r in rows)
+    for chars in (16_000_000, 30_000, 2_000):
+        assert {r.page_id: r.text for r in pages.html_text(table, block_chars=chars).collect()} == truth
+
+
+def test_pages_query_equals_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    rows = list(pq.read_table(f"{SF}/pages.parquet", columns=["page_id", "url", "html"]).to_pandas().itertuples(index=False, name=None))
+    truth = brute_pages(rows)
+    assert {r.page_id: (r.text, r.n_chars) for r in queries.QUERIES["op6_html_text"](spark, SF).collect()} == {k: (t, len(t)) for k, t in truth.items()}
+
+
 RECORD = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s"
 
 
