@@ -127,6 +127,22 @@ ORACLE_SQL = {
                           ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
         FROM t JOIN kept USING (conv_id) GROUP BY ALL
     """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE x AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_transform(v, lambda c: c / list_aggregate(list_transform(v, lambda b: abs(b)), 'max')) AS s
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM x AS a JOIN x AS b ON a.vec_id <> b.vec_id AND len(a.s) = len(b.s) WHERE list_cosine_similarity(a.s, b.s) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON l.a = r.b
+        ), c AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

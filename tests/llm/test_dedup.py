@@ -37,7 +37,7 @@ def reach(n, pairs):
     return [find(k) for k in range(n)]
 
 
-@pytest.mark.parametrize("name", ["op4_exact_dedup", "op7_chat_format", "op9_warc"])
+@pytest.mark.parametrize("name", ["op4_exact_dedup", "op7_chat_format", "op8_embedding_dedup", "op9_warc"])
 def test_query_equals_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name], SF)
 
@@ -214,7 +214,7 @@ def test_multi_sequence_order():
     got = cells_in_order(a, b, 6)
     assert sorted(got) == [(i, j) for i in range(3) for j in range(2)]
     assert [a[i] + b[j] for i, j in got] == sorted(a[i] + b[j] for i in range(3) for j in range(2))
-    assert Index(np.zeros((0, 2)), 4, 0.9, 0.9).codebooks is None
+    assert Index(np.zeros((0, 2)), 4, 0.9, 0.9, (np.zeros((0, 2)), np.zeros((0, 2)), [])).codebooks is None
 
 
 def test_hot_groups_stay_whole(spark):
