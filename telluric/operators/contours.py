@@ -1,6 +1,6 @@
-"""Contour polygons of scores: rotation, density on a 1° grid, marching squares.
+"""Contour polygons of scores: rotation, density on a grid of whole degrees, marching squares.
 
-The density grid has 360 x 180 cells whatever the input, so all that follows the first aggregation is small.
+The density grid has 360 x 180 cells at most whatever the input, so all that follows the first aggregation is small.
 """
 
 from __future__ import annotations
@@ -27,37 +27,61 @@ def mirrored(scores: DataFrame) -> DataFrame:
     return scores.select("lon", "lat", "score").unionByName(scores.select(lon.alias("lon"), lat.alias("lat"), "score"))
 
 
-def density(scores: DataFrame, *, power: bool = True, bandwidth: float = BANDWIDTH) -> DataFrame:
-    """(x, y, density): the weights of the rotated points in cells of 1°, smoothed by a Gaussian of bandwidth cells, 3 of them wide."""
+def density(scores: DataFrame, *, power: bool = True, bandwidth: float = BANDWIDTH, cell: int = 1) -> DataFrame:
+    """(x, y, density): the weights of the rotated points in cells of so many degrees, smoothed by a Gaussian of bandwidth degrees, 3 of them wide.
+
+    cell divides 180. A cell's density is that of one degree squared.
+    """
+    if cell < 1 or HEIGHT % cell:
+        raise ValueError("cell is a divisor of 180")
+    wide, high, sigma = WIDTH // cell, HEIGHT // cell, bandwidth / cell
     lon, lat = rotations.rotate(F.col("lon"), rotations.shift(F.col("lat")))
     cells = (
         scores.select(lon.alias("lon"), lat.alias("lat"), weight(F.col("score"), power).alias("w"))
         .where("NOT isnan(lon) AND NOT isnan(lat) AND NOT isnan(w) AND w > 0")
-        .groupBy(F.least(F.floor("lon"), F.lit(WIDTH - 1)).alias("cx"), F.least(F.floor(F.col("lat") + 90.0), F.lit(HEIGHT - 1)).alias("cy"))
+        .groupBy(F.least(F.floor(F.col("lon") / cell), F.lit(wide - 1)).alias("cx"), F.least(F.floor((F.col("lat") + 90.0) / cell), F.lit(high - 1)).alias("cy"))
         .agg(F.sum("w").alias("w"))
     )
-    reach = math.ceil(3 * bandwidth)
+    reach = math.ceil(3 * sigma)
     offsets = F.sequence(F.lit(-reach), F.lit(reach))
     spread = cells.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-    kernel = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2.0 * bandwidth * bandwidth)) / (2.0 * math.pi * bandwidth * bandwidth)
+    kernel = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2.0 * sigma * sigma)) / (2.0 * math.pi * bandwidth * bandwidth)
     return (
         spread.select((F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"), (F.col("w") * kernel).alias("w"))
-        .where(f"x BETWEEN 0 AND {WIDTH - 1} AND y BETWEEN 0 AND {HEIGHT - 1}")
+        .where(f"x BETWEEN 0 AND {wide - 1} AND y BETWEEN 0 AND {high - 1}")
         .groupBy("x", "y")
         .agg(F.sum("w").alias("density"))
     )
 
 
-def segments(grid: DataFrame, thresholds: list[float]) -> DataFrame:
+def even_thresholds(top: Column, n: int) -> Column:
+    """About n round values above 0 up to top: multiples of 1, 2 or 5 times a power of ten."""
+    rough = top / float(n)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.when(rough > 0, rough))))
+    error = rough / power
+    step = power * F.when(error >= math.sqrt(50), 10.0).when(error >= math.sqrt(10), 5.0).when(error >= math.sqrt(2), 2.0).otherwise(1.0)
+    k = F.floor(top / step).cast("int")
+    return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: i * step)).otherwise(F.array().cast("array<double>"))
+
+
+def segments(grid: DataFrame, thresholds: list[float] | int, shares: list[float] | None = None) -> DataFrame:
     """(value, x1, y1, x2, y2): marching squares between the cell centres of a density grid; cells that are missing have density 0.
 
+    thresholds are densities, or about how many round ones there are to be; shares of the highest density may be given instead.
     The part above the threshold lies to the left of each segment. Saddles are cut as two corners.
     """
     corners = grid.withColumn("c", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)))))
     squares = corners.groupBy((F.col("x") - F.col("c.dx")).alias("x"), (F.col("y") - F.col("c.dy")).alias("y")).agg(
         *(F.coalesce(F.max(F.when((F.col("c.dx") == dx) & (F.col("c.dy") == dy), F.col("density"))), F.lit(0.0)).alias(f"d{dx}{dy}") for dx in (0, 1) for dy in (0, 1))
     )
-    rows = squares.withColumn("value", F.explode(F.array(*map(F.lit, thresholds))))
+    top = F.broadcast(grid.agg(F.max("density").alias("top")))  # one row
+    if shares is not None:
+        values = F.array(*(F.col("top") * F.lit(float(x)) for x in shares))
+    elif isinstance(thresholds, int):
+        values = even_thresholds(F.col("top"), thresholds)
+    else:
+        values = F.array(*map(F.lit, map(float, thresholds))) if thresholds else F.array().cast("array<double>")
+    rows = squares.crossJoin(top).withColumn("value", F.explode(F.filter(values, lambda x: x > 0)))
     above = sum((F.when(F.col(f"d{dx}{dy}") >= F.col("value"), bit).otherwise(0) for (dx, dy), bit in zip(((0, 0), (1, 0), (1, 1), (0, 1)), (1, 2, 4, 8), strict=True)), F.lit(0))
 
     def cross(a: str, b: str) -> Column:
@@ -103,13 +127,14 @@ def _rings(lines: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"value": [lines["value"].iloc[0]] * len(rings), "ring": range(len(rings)), "points": rings})
 
 
-def contours(scores: DataFrame, thresholds: list[float], *, power: bool = True, mirror: bool = True, bandwidth: float = BANDWIDTH) -> DataFrame:
-    """(value, coordinates): a multipolygon of [lon, lat] for each threshold above 0 that the density reaches."""
-    grid = density(mirrored(scores) if mirror else scores, power=power, bandwidth=bandwidth)
-    lines = segments(grid, [float(t) for t in thresholds if t > 0])
-    rings = lines.groupBy("value").applyInPandas(_rings, "value double, ring long, points array<array<double>>")
+def contours(
+    scores: DataFrame, thresholds: list[float] | int = 20, *, shares: list[float] | None = None, power: bool = True, mirror: bool = True, bandwidth: float = BANDWIDTH, cell: int = 1
+) -> DataFrame:
+    """(value, coordinates): a multipolygon of [lon, lat] for each threshold above 0 that the density reaches; see segments and density."""
+    grid = density(mirrored(scores) if mirror else scores, power=power, bandwidth=bandwidth, cell=cell)
+    rings = segments(grid, thresholds, shares).groupBy("value").applyInPandas(_rings, "value double, ring long, points array<array<double>>")
     vertices = rings.select("value", "ring", F.posexplode("points").alias("n", "p"))
-    lon, lat = rotations.unrotate(F.col("p")[0], F.col("p")[1] - 90.0)
+    lon, lat = rotations.unrotate(F.col("p")[0] * cell, F.col("p")[1] * cell - 90.0)
     vertices = vertices.select("value", "ring", F.struct("n", F.array(lon, rotations.unshift(lat)).alias("v")).alias("v"))
     polygons = vertices.groupBy("value", "ring").agg(F.array(F.sort_array(F.collect_list("v"))["v"]).alias("polygon"))
     return polygons.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("ring", "polygon")))["polygon"].alias("coordinates")).where("value > 0")

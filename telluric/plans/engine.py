@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from telluric.operators.grid import geographical_grid
-from telluric.operators.model import fit, predict, without_k
+from telluric.operators.field import fit, predict, without_k
 from telluric.operators.scoring import encoded, into_scores, merged, zone_weighted
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
 from telluric.sources.store import Store
@@ -16,7 +16,7 @@ class NotFitted(RuntimeError):
 
 
 class Engine:
-    """A model and its latest scores, kept in a Store; observations may hold many frames."""
+    """Fitted amplitudes and the latest scores, kept in a Store; observations may hold many frames."""
 
     def __init__(self, spark: SparkSession, path: str, poles: DataFrame | None = None, points: DataFrame | None = None):
         self.spark, self.state = spark, Store(spark, path)
@@ -47,10 +47,10 @@ class Engine:
         self.state.store("scores_derivative" if derivative else "scores_field", scored)
         return predictions
 
-    def scores(self) -> DataFrame | None:
-        """Codes of the merged scores: those of the field alone if there are no others, none without any of the field."""
+    def scores(self) -> DataFrame:
+        """(frame_id, point_idx, code) by frame and point: codes of the merged scores, those of the field alone if there are no others; no rows without any of the field."""
         field, derivative = self.state.load("scores_field"), self.state.load("scores_derivative")
-        if field is None:
-            return None
         keys = ["frame_id", "point_idx"]
-        return encoded(field if derivative is None else merged(field, derivative, keys), keys)
+        if field is None:
+            return self.spark.createDataFrame([], "frame_id long, point_idx long, code int")
+        return encoded(field if derivative is None else merged(field, derivative, keys), keys).orderBy(*keys)

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores, sphere
-from telluric.operators import contours, grid, model, scoring
+from telluric.operators import contours, field, grid, scoring
 from telluric.plans import workload
-from telluric.sources.schemas import POINT_GRID
+from telluric.sources.schemas import POINT_GRID, POLE_GRID
 
 #: One pole, and two that are near one another, for the closed forms.
 ONE, NEAR = (65.013, -70.017), (61.013, -95.017)
@@ -24,6 +24,11 @@ def _rounded(df: DataFrame, columns: list[str], digits: int = 6, scale: float =
     return df.withColumns({c: F.round(F.col(c) * scale, digits) for c in columns})
 
 
+def _near(df: DataFrame, columns: list[str], digits: int = 6, scale: float = 1.0) -> DataFrame:
+    """As _rounded, in the arithmetic of doubles: quick enough for each pair. Ties, which go to the even digit here, don't occur."""
+    return df.withColumns({c: F.rint(F.col(c) * (scale * 10.0**digits)) / 10.0**digits + 0.0 for c in columns})
+
+
 def _pole(spark: SparkSession, at: tuple[float, float], n: int = 0) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("pole_idx"), F.lit(at[0]).alias("lat"), F.lit(at[1]).alias("lon"))
 
@@ -36,20 +41,20 @@ def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.pairs(workload.points(spark, sf_dir), workload.poles(spark, sf_dir), ["point_idx"], ["pole_idx"])
+    return field.pairs(workload.points(spark, sf_dir), workload.poles(spark, sf_dir), ["point_idx"], ["pole_idx"])
 
 
 def angular_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_pairs(spark, sf_dir).select("point_idx", "pole_idx", "theta"), ["theta"])
+    return _near(_pairs(spark, sf_dir).select("point_idx", "pole_idx", "theta"), ["theta"])
 
 
 def bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_pairs(spark, sf_dir).select("point_idx", "pole_idx", "alpha"), ["alpha"])
+    return _near(_pairs(spark, sf_dir).select("point_idx", "pole_idx", "alpha"), ["alpha"])
 
 
 def _transfer(spark: SparkSession, sf_dir: str, altitude: float, pole_altitude: float) -> DataFrame:
-    rows = model.transfer_rows(workload.points(spark, sf_dir), altitude, workload.poles(spark, sf_dir), pole_altitude, ["point_idx"], ["pole_idx"])
-    return _rounded(rows, ["t_i", "t_j", "t_k"], scale=TESLA)
+    rows = field.transfer_rows(workload.points(spark, sf_dir), altitude, workload.poles(spark, sf_dir), pole_altitude, ["point_idx"], ["pole_idx"])
+    return _near(rows, ["t_i", "t_j", "t_k"], scale=TESLA)
 
 
 def transfer_under(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +66,15 @@ def transfer_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_zero_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(model.without_k(workload.observations(spark, sf_dir)), ["lat", "lon", "i", "j", "k"])
+    return _rounded(field.without_k(workload.observations(spark, sf_dir)), ["lat", "lon", "i", "j", "k"])
 
 
 def obs_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(model.flattened(model.without_k(workload.observations(spark, sf_dir))), ["value"])
+    return _rounded(field.flattened(field.without_k(workload.observations(spark, sf_dir))), ["value"])
 
 
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.fit_single_pole(model.without_k(workload.observations(spark, sf_dir)), _pole(spark, ONE))
+    return field.fit_single_pole(field.without_k(workload.observations(spark, sf_dir)), _pole(spark, ONE))
 
 
 def fit_single_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,19 +82,28 @@ def fit_single_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_two_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = model.fit_two_poles(model.without_k(workload.observations(spark, sf_dir)), _pole(spark, ONE), _pole(spark, NEAR))
+    fitted = field.fit_two_poles(field.without_k(workload.observations(spark, sf_dir)), _pole(spark, ONE), _pole(spark, NEAR))
     return _rounded(fitted, ["amp_a", "amp_b"], 3, 1e-9)
 
 
 def fit_multi_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(model.fit(model.without_k(workload.observations(spark, sf_dir)), workload.poles(spark, sf_dir)), ["amp"], 3, 1e-9)
+    return _rounded(field.fit(field.without_k(workload.observations(spark, sf_dir)), workload.poles(spark, sf_dir)), ["amp"], 3, 1e-9)
+
+
+def fit_predict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard setting at its full size: 2,500 poles fitted to all stations as one frame, the field at 4,810 points, scores and codes."""
+    observations = field.without_k(workload.observations(spark, sf_dir)).withColumn("frame_id", F.lit(1).cast("long"))
+    poles = grid.geographical_grid(spark, *POLE_GRID).withColumnRenamed("idx", "pole_idx")
+    points = grid.geographical_grid(spark, *POINT_GRID).withColumnRenamed("idx", "point_idx")
+    scored = scoring.zone_weighted(scoring.into_scores(field.predict(points, poles, field.fit(observations, poles))))
+    return scored.select("frame_id", "point_idx", "lat", "lon", "i", "j", "k", "score", scores.encode(F.col("score")).alias("code"))
 
 
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions from amplitudes that are given by the poles' numbers."""
     poles = workload.poles(spark, sf_dir)
     amplitudes = poles.select(F.lit(1).cast("long").alias("frame_id"), "pole_idx", ((F.col("pole_idx") * 7919 % 2001 - 1000) * 1e11).alias("amp"))
-    return model.predict(workload.points(spark, sf_dir), poles, amplitudes)
+    return field.predict(workload.points(spark, sf_dir), poles, amplitudes)
 
 
 def predict_fixed_amps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +112,7 @@ def predict_fixed_amps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field of one pole, fitted by frame, at all points."""
-    return model.predict(workload.points(spark, sf_dir), _pole(spark, ONE), _single(spark, sf_dir))
+    return field.predict(workload.points(spark, sf_dir), _pole(spark, ONE), _single(spark, sf_dir))
 
 
 def fit_predict_single_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +161,7 @@ def encode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _values(spark, sf_dir)
-    merged = scoring.merged(scoring.into_scores(values), scoring.into_scores(values.where("obs_idx % 3 > 0"), derivative=True), ["obs_idx"])
+    merged = scoring.merged(scoring.into_scores(values), scoring.into_scores(values, derivative=True), ["obs_idx"])
     return _rounded(merged, ["lat", "lon", "score"])
 
 
@@ -186,15 +200,13 @@ def contour_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contour_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons at five shares of the highest density."""
-    scored = _scored_points(spark, sf_dir)
-    top = contours.density(contours.mirrored(scored)).agg(F.max("density")).first()[0] or 0.0
-    return contours.contours(scored, [top * k / 6 for k in range(1, 6)])
+    return contours.contours(_scored_points(spark, sf_dir), shares=[k / 6 for k in range(1, 6)])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole,
+        grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_predict_grid,
         predict_fixed_amps, fit_predict_single_pole, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
         merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons,
     )
@@ -365,7 +377,7 @@ ORACLE_SQL = {
     "score_weighted": f"WITH d AS (SELECT obs_idx, i, {_flat()} / 1000 AS d FROM ({OBS})) SELECT obs_idx, round({_field_score('i')} * ({_zone('d')}), 6) AS score FROM d",
     "encode_scores": f"SELECT obs_idx, {_code(f'round({_field_score("i")}, 2)')} AS code FROM ({OBS})",
     "merge_max_scores": f"""SELECT obs_idx, round(lat, 6) AS lat, round(lon, 6) AS lon, round(greatest({_field_score('i')}, {_derivative_score('i')}), 6) AS score
-        FROM ({OBS}) WHERE obs_idx % 3 > 0""",
+        FROM ({OBS})""",
     "contour_rotate": _rotation_sql(False),
     "contour_invert": _rotation_sql(True),
     "contour_mirror": f"WITH q AS ({SCORED}), m AS ({_mirrored_sql()}) SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, round(score, 6) AS score FROM m",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from telluric.operators.model import fit, predict, without_k
+from telluric.operators.field import fit, predict, without_k
 from telluric.operators.scoring import into_scores, zone_weighted
 
 

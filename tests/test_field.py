@@ -7,9 +7,10 @@ from compare import assert_same
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores
-from telluric.operators import contours, grid, model, scoring
+from telluric.operators import contours, field, grid, scoring
 from telluric.plans import queries
 from telluric.plans.engine import Engine, NotFitted
+from telluric.sources.schemas import POINT_GRID, POLE_GRID
 from telluric.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
@@ -43,24 +44,24 @@ def test_linspace_and_grid(spark):
     [((0, 0), (0, 90), 1.5708, 0), ((0, 0), (90, 0), 1.5708, 1.5708), ((40.71, -74), (48.85, 2.35), 0.9162, 0.6333), ((34.05, -118.2), (48.85, 2.35), 1.4258, 0.961), ((90, 0), (-90, 0), 3.1416, -1.5708)],
 )
 def test_angles(spark, a, b, theta, alpha):
-    r = model.pairs(places(spark, [a], "p"), places(spark, [b], "s"), ["p"], ["s"]).first()
+    r = field.pairs(places(spark, [a], "p"), places(spark, [b], "s"), ["p"], ["s"]).first()
     assert r.theta == pytest.approx(theta, abs=1e-4) and r.alpha == pytest.approx(alpha, abs=1e-4)
 
 
 def test_transfer_values(spark):
     points, poles = places(spark, [(50, 20), (51, 21)], "p"), places(spark, [(10, 30), (11, 31), (12, 32)], "s")
     r = 6371e3
-    under = model.transfer_rows(points, 3000 - r, poles, 4000 - r, ["p"], ["s"]).where("p = 0").orderBy("s").collect()
+    under = field.transfer_rows(points, 3000 - r, poles, 4000 - r, ["p"], ["s"]).where("p = 0").orderBy("s").collect()
     assert [x.t_i for x in under] == pytest.approx([-3.67250861e-11, -3.67476077e-11, -3.67074095e-11], rel=1e-8)
     assert [x.t_j for x in under] == pytest.approx([9.94787927e-12, 1.11826106e-11, 1.24566687e-11], rel=1e-8)
     assert [x.t_k for x in under] == pytest.approx([-1.76265553e-11, -1.84618364e-11, -1.92994257e-11], rel=1e-8)
-    over = model.transfer_rows(points, 4000 - r, poles, 3000 - r, ["p"], ["s"]).where("p = 0").orderBy("s").collect()
+    over = field.transfer_rows(points, 4000 - r, poles, 3000 - r, ["p"], ["s"]).where("p = 0").orderBy("s").collect()
     assert [x.t_i for x in over] == pytest.approx([1.248881305890098e-11, 1.257667569294579e-11, 1.264169224772104e-11], rel=1e-12)
 
 
 def test_coincident_places_give_zero_or_nan(spark):
     at = [(50, 40), (45, 45), (45.14, 10)]
-    r = {(x.p, x.s): x for x in model.transfer_rows(places(spark, at, "p"), 0.0, places(spark, at, "s"), 110e3, ["p"], ["s"]).collect()}
+    r = {(x.p, x.s): x for x in field.transfer_rows(places(spark, at, "p"), 0.0, places(spark, at, "s"), 110e3, ["p"], ["s"]).collect()}
     for k in range(3):
         t = [r[k, k].t_i, r[k, k].t_j, r[k, k].t_k]
         assert t == [0, 0, 0] or all(map(math.isnan, t)) or all(abs(x) < 1e-6 for x in t)
@@ -69,12 +70,12 @@ def test_coincident_places_give_zero_or_nan(spark):
 def test_single_pole(spark):
     pole = places(spark, [(10, 20)], "pole_idx")
     two = observations(spark, [(40, 50, 1, 3, 5), (50, 60, 2, 4, 6)])
-    for fitted in (model.fit_single_pole(two, pole, pole_altitude=0.0), model.fit(two, pole, pole_altitude=0.0, cutoff=0.05)):
+    for fitted in (field.fit_single_pole(two, pole, pole_altitude=0.0), field.fit(two, pole, pole_altitude=0.0, cutoff=0.05)):
         assert fitted.first().amp == pytest.approx(-1.803280385158305e14, rel=1e-9)
     four = observations(spark, [(40, 50, 1, 3, 5), (50, 60, 2, 4, 6), (60, 70, 6, 8, 10), (70, 80, 7, 9, 11)])
-    amplitudes = model.fit_single_pole(four, pole, pole_altitude=0.0)
+    amplitudes = field.fit_single_pole(four, pole, pole_altitude=0.0)
     points = places(spark, [(40, 50), (50, 60), (60, 70), (70, 80)], "point_idx")
-    got = model.predict(points, pole, amplitudes, altitude=110e3, pole_altitude=0.0).orderBy("point_idx").collect()
+    got = field.predict(points, pole, amplitudes, altitude=110e3, pole_altitude=0.0).orderBy("point_idx").collect()
     assert [(x.i, x.j, x.k) for x in got] == [
         pytest.approx(v, rel=1e-9)
         for v in (
@@ -90,7 +91,7 @@ def test_four_poles(spark):
     poles = places(spark, [(50, 40), (50, 50), (60, 40), (60, 50)], "pole_idx")
     obs = observations(spark, [(40, 50, 100, 300, 5), (50, 60, 200, 400, 6), (60, 70, 600, 800, 10), (70, 80, 700, 900, 11)])
     points = places(spark, [(40, 50), (50, 60), (60, 70), (70, 80)], "point_idx")
-    got = model.predict(points, poles, model.fit(obs, poles, pole_altitude=0.0, cutoff=0.05), altitude=110e3, pole_altitude=0.0).orderBy("point_idx").collect()
+    got = field.predict(points, poles, field.fit(obs, poles, pole_altitude=0.0, cutoff=0.05), altitude=110e3, pole_altitude=0.0).orderBy("point_idx").collect()
     assert [(x.i, x.j, x.k) for x in got] == [
         pytest.approx(v, rel=1e-7)
         for v in (
@@ -107,20 +108,88 @@ def test_fit_equals_pseudo_inverse(spark):
     stations = np.column_stack([rng.uniform(40, 80, 60), rng.uniform(-170, 30, 60), rng.normal(0, 100, (60, 3))])
     pole_rows = [(a, b) for a in (45.5, 55.5, 65.5, 75.5) for b in (-150.5, -100.5, -50.5, 0.5)]
     obs, poles = observations(spark, stations.tolist()), places(spark, pole_rows, "pole_idx")
-    got = [x.amp for x in model.fit(obs, poles, slice_rows=7).orderBy("pole_idx").collect()]
-    t = model.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
-    inverse = model.pseudo_inverse(t, 0.1)
+    got = [x.amp for x in field.fit(obs, poles, slice_rows=7).orderBy("pole_idx").collect()]
+    t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+    inverse = field.pseudo_inverse(t, 0.1)
     assert got == pytest.approx(inverse @ stations[:, 2:].reshape(-1), rel=1e-6)
-    twice = [x.amp for x in model.fit(obs.withColumns({c: F.col(c) * 2 for c in "ijk"}), poles).orderBy("pole_idx").collect()]
+    twice = [x.amp for x in field.fit(obs.withColumns({c: F.col(c) * 2 for c in "ijk"}), poles).orderBy("pole_idx").collect()]
     assert twice == pytest.approx([2 * a for a in got], rel=1e-6)
 
 
+def test_fit_by_either_side_and_by_iteration(spark):
+    rng = np.random.default_rng(7)
+    for n, m in ((5, 40), (90, 40), (30, 60)):
+        stations = np.column_stack([rng.uniform(40, 80, n), rng.uniform(-170, 30, n), rng.normal(0, 100, (n, 3))])
+        pole_rows = list(zip(rng.uniform(45, 85, m), rng.uniform(-170, 35, m), strict=True))
+        obs = observations(spark, [*stations.tolist(), *stations[:2].tolist()])
+        t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+        t, b = np.concatenate([t, t[:6]]), np.concatenate([stations[:, 2:].reshape(-1), stations[:2, 2:].reshape(-1)])
+        want = field.pseudo_inverse(t, 0.1) @ b
+        for options in ({}, {"slice_rows": 11}, {"most_gram": 10, "width": 4, "slice_rows": 40})[: 3 if n == 90 else 1]:
+            got = [x.amp for x in field.fit(obs, places(spark, pole_rows, "pole_idx"), **options).orderBy("pole_idx").collect()]
+            assert got == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
+
+
+def test_frames_share_a_factorisation(spark):
+    rng = np.random.default_rng(8)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(40, 80, 9), rng.uniform(-170, 30, 9), strict=True)]
+    rows = [(frame, k, *at[k], *map(float, rng.normal(0, 100, 3))) for frame in range(6) for k in range(9 if frame < 4 else 7)]
+    obs = spark.createDataFrame(rows, "frame_id long, obs_idx long, lat double, lon double, i double, j double, k double")
+    pole_rows = [(50.5, -100.5), (60.5, -50.5), (70.5, 0.5), (55.5, -20.5)]
+    got = {(r.frame_id, r.pole_idx): r.amp for r in field.fit(obs, places(spark, pole_rows, "pole_idx")).collect()}
+    for frame in range(6):
+        own = np.array([r[2:] for r in rows if r[0] == frame])
+        t = field.transfer_matrix(own[:, 0], own[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+        assert [got[frame, k] for k in range(4)] == pytest.approx(field.pseudo_inverse(t, 0.1) @ own[:, 2:].reshape(-1), rel=1e-6)
+
+
+def test_production_size(spark):
+    """65 stations, 2,500 poles, 4,810 points."""
+    rng = np.random.default_rng(65)
+    stations = np.column_stack([rng.uniform(28, 83, 65), rng.uniform(-150, 352, 65), rng.normal(0, 80, (65, 2)), np.zeros(65)])
+    poles = grid.geographical_grid(spark, *POLE_GRID).withColumnRenamed("idx", "pole_idx")
+    points = grid.geographical_grid(spark, *POINT_GRID).withColumnRenamed("idx", "point_idx")
+    amplitudes = field.fit(observations(spark, stations.tolist()), poles).toPandas().sort_values("pole_idx")["amp"].to_numpy()
+    at = poles.orderBy("pole_idx").toPandas()
+    want = field.pseudo_inverse(field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, at, 110e3), 0.1) @ stations[:, 2:].reshape(-1)
+    assert amplitudes == pytest.approx(want, rel=1e-6, abs=1e-9 * np.abs(want).max())
+    got = field.predict(points, poles, field.fit(observations(spark, stations.tolist()), poles)).orderBy("point_idx").toPandas()
+    t = field.transfer_matrix(got["lat"].to_numpy()[::37], got["lon"].to_numpy()[::37], 110e3, at, 110e3)
+    assert len(got) == 4810 and got[["i", "j", "k"]].to_numpy()[::37].reshape(-1) == pytest.approx(t @ want, rel=1e-5, abs=1e-5)
+
+
+def test_pseudo_inverse_properties():
+    """The identities of a truncated pseudo-inverse, on one column and on four."""
+    rng = np.random.default_rng(12)
+    for m in (1, 4):
+        t = rng.normal(size=(12, m)) @ np.diag([1.0, 0.5, 0.2, 0.01][:m])
+        x = field.pseudo_inverse(t, 0.05)
+        cut = t @ x @ t  # t without its small singular values
+        assert x @ cut @ x == pytest.approx(x) and (t @ x) == pytest.approx((t @ x).T) and (x @ cut) == pytest.approx((x @ cut).T)
+        assert np.linalg.matrix_rank(cut, tol=1e-9) == min(m, 3)
+    column = np.arange(1.0, 13.0)[:, None]
+    assert field.pseudo_inverse(column, 0.05) == pytest.approx(column.T / (column**2).sum())
+
+
+def test_poles_without_amplitude_are_a_typed_error(spark):
+    poles, points = places(spark, [(50, 40), (60, 50)], "pole_idx"), places(spark, [(55, 45)], "point_idx")
+    for rows in ([(1, 0, 1.0)], [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)], [(1, 0, 1.0), (1, 0, 2.0)]):
+        with pytest.raises(field.PoleError):
+            field.predict(points, poles, spark.createDataFrame(rows, "frame_id long, pole_idx long, amp double"))
+    two = spark.createDataFrame([(f, p, float(f + p)) for f in (1, 2) for p in (0, 1)], "frame_id long, pole_idx long, amp double")
+    both = {r.frame_id: r.i for r in field.predict(points, poles, two).collect()}
+    alone = {f: field.predict(points, poles, two.where(f"frame_id = {f}")).first().i for f in (1, 2)}
+    assert both == pytest.approx(alone)
+    with pytest.raises(field.FitError):
+        field.fit_two_poles(observations(spark, [(40, 50, 1, 3, 5)]), poles, poles.where("pole_idx = 0"))
+
+
 def test_nan_is_a_typed_error(spark):
     obs = observations(spark, [(40, 50, float("nan"), 3, 5)])
     with pytest.raises(Exception, match="NaN"):
-        model.fit(obs, places(spark, [(10, 20)], "pole_idx")).collect()
-    with pytest.raises(model.FitError):
-        model.fit(obs, places(spark, [], "pole_idx"))
+        field.fit(obs, places(spark, [(10, 20)], "pole_idx")).collect()
+    with pytest.raises(field.FitError):
+        field.fit(obs, places(spark, [], "pole_idx"))
 
 
 def of(spark, column):
@@ -177,6 +246,24 @@ def test_contours_are_closed_rings(spark):
     assert contours.contours(scored.where("score > 100"), [1.0]).count() == 0
 
 
+def test_contour_thresholds_and_cells(spark):
+    scored = spark.createDataFrame([(10.0, 65.0, 5.0), (12.0, 66.0, 7.0), (40.0, 70.0, 2.0)], "lon double, lat double, score double")
+    top = contours.density(scored).agg(F.max("density")).first()[0]
+    values = of(spark, contours.even_thresholds(F.lit(float(top)), 10))
+    assert 5 <= len(values) <= 20 and 0 < values[0] and values[-1] <= top and values == pytest.approx([values[0] * k for k in range(1, len(values) + 1)])
+    assert of(spark, contours.even_thresholds(F.lit(0.93), 9)) == pytest.approx([0.1 * k for k in range(1, 10)])
+    assert of(spark, contours.even_thresholds(F.lit(0.0), 9)) == []
+    assert sorted(r.value for r in contours.contours(scored, 10, mirror=False).collect()) == pytest.approx([v for v in values if v < top])
+    shares = contours.contours(scored, shares=[0.5, 2.0], mirror=False).collect()
+    assert [r.value for r in shares] == pytest.approx([top / 2])
+    # twice the cell, nearly the same polygon
+    (ring,), (wide,) = shares[0].coordinates, contours.contours(scored, [top / 2], mirror=False, cell=2).first().coordinates
+    centre = lambda r: np.mean(r[0], axis=0)
+    assert centre(wide) == pytest.approx(centre(ring), abs=2)
+    with pytest.raises(ValueError):
+        contours.density(scored, cell=7)
+
+
 def test_merge_keeps_common_points(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (2, 0.0, 0.0, 4.0)], "n long, lat double, lon double, score double")
     b = spark.createDataFrame([(1, 9.0, 9.0, 5.0)], "n long, lat double, lon double, score double")
@@ -185,17 +272,18 @@ def test_merge_keeps_common_points(spark):
 
 def test_engine_order_and_state(spark, tmp_path):
     poles, points = places(spark, [(50, 40), (60, 50)], "pole_idx"), places(spark, [(55, 45), (65, 40)], "point_idx")
-    engine = Engine(spark, f"{tmp_path}/model", poles, points)
+    engine = Engine(spark, f"{tmp_path}/engine", poles, points)
     obs = observations(spark, [(40, 50, 100, 300, 5), (50, 60, 200, 400, 6)])
     for call in (engine.fit_pred, engine.predict, lambda: engine.fit_obs(obs.limit(0))):
         with pytest.raises(NotFitted):
             call()
-    assert engine.scores() is None
+    assert engine.scores().collect() == [] and engine.scores().columns == ["frame_id", "point_idx", "code"]
     assert engine.fit_obs(obs)
     engine.fit_pred()
     assert not engine.fit_obs(obs)
     assert engine.predict().count() == 2
     before = {r.point_idx: r.code for r in engine.scores().collect()}
+    assert list(before) == sorted(before)
     engine.predict(derivative=True)
     after = {r.point_idx: r.code for r in engine.scores().collect()}
     assert all(after[k] >= before[k] and 0 <= after[k] <= 40003 for k in before)
@@ -209,6 +297,12 @@ def test_store_replaces_one_name(spark, tmp_path):
     store.store("b", spark.range(3))
     store.store("a", spark.range(5))
     assert store.load("a").count() == 5 and store.load("b").count() == 3
+    held = store.load("b")
+    store.store("b", held.where("id > 0"))
+    assert held.count() == 3 and store.load("b").count() == 2
+    # a version that wasn't finished doesn't count
+    (tmp_path / "b" / "9").mkdir()
+    assert store.load("b").count() == 2
 
 
 def test_stream_scores_every_frame(spark, tmp_path):
