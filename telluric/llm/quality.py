@@ -2,10 +2,15 @@
 
 Overlapping heuristic labellers each vote on a document: 1 junk, 0 sound, or abstain. The votes of all documents
 are counted by pattern (Spark; at most 3**labellers patterns, so the counts fit anywhere), and
-expectation-maximisation on these counts estimates how often each labeller votes either way on junk and on
-sound documents, and the share of junk. The posterior of a pattern then labels a bounded sample of documents,
-spread evenly by the hash of their ids, and a linear scorer on hashed features of the text is fitted to the
-posteriors. Every document is scored by that scorer on its whole text.
+expectation-maximisation on these counts estimates how often each labeller votes either way. As junk is of many
+kinds, and labellers that see one kind are blind to others, there is a latent class for each kind, which starts from
+the votes of one labeller, and one of sound documents. The posterior of all kinds together labels a bounded sample of
+documents, spread evenly by the hash of their ids, and a linear scorer on hashed features of the text (its measures,
+its words, and triples of character classes) is fitted to the posteriors. Every document is scored by that scorer on
+its whole text.
+
+The labellers' thresholds are plain rules of thumb for prose, with room between both votes: e.g. a word of five that
+repeats the one before it (0.2) never occurs in prose, one of twenty (0.05) may. No label of the given tables enters.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,33 +29,39 @@ from pyspark.sql import functions as F
 
 from telluric.llm.shared import folder, saved
 
-BUCKETS = 1 << 10
+BUCKETS = 1 << 11
 ABSTAIN = -1
 
 
-def measures(text: str) -> dict[str, float]:
-    """What the labellers look at: counts over the whole text. Shares of texts without words are 0."""
-    words = text.split()
-    n = len(words)
+def measures(words: list[str]) -> tuple[dict[str, float], Counter]:
+    """What the labellers look at, from all words of a text, and how often each word occurs. Shares of texts without words are 0."""
+    n, times = len(words), Counter(words)
     if not n:
-        return {"words": 0.0}
-    times = Counter(words)
-    pairs = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    marked = sum(c for w, c in times.items() if not w[-1].isalnum() and len(w) > 2 and not w[-2].isalnum())
-    bare = sum(c for w, c in times.items() if not any(map(str.isalnum, w)))
-    upper = sum(c for w, c in times.items() if len(w) > 1 and w.isupper())
+        return {"words": 0.0}, times
+    pairs = sum(map(str.__eq__, words, words[1:]))
+    marked = bare = upper = digits = letters = once = 0
+    for w, c in times.items():
+        letters += len(w) * c
+        once += c == 1
+        if w[0].isdigit():
+            digits += c
+        if not w[-1].isalnum():
+            marked += c if len(w) > 2 and not w[-2].isalnum() else 0
+            bare += c if not any(map(str.isalnum, w)) else 0
+        if len(w) > 1 and w.isupper():
+            upper += c
     return {
         "words": float(n),
-        "letters": sum(len(w) * c for w, c in times.items()) / n,
+        "letters": letters / n,
         "distinct": len(times) / n,
         "most": max(times.values()) / n,
         "pairs": pairs / n,
         "marked": marked / n,
         "bare": bare / n,
         "upper": upper / n,
-        "digits": sum(c for w, c in times.items() if w[0].isdigit()) / n,
-        "once": sum(c == 1 for c in times.values()) / n,
-    }
+        "digits": digits / n,
+        "once": once / n,
+    }, times
 
 
 @dataclass(frozen=True)
@@ -88,12 +100,22 @@ LABELLERS = (
 )
 
 
-def features(text: str, m: dict[str, float]) -> dict[int, float]:
-    """Hashed features: each measure in steps, and the shares of word shapes. Independent of the words themselves."""
-    out: Counter = Counter()
+@cache
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+#: Character classes by byte: lower case, capital, digit, blank, other white space, other ASCII, beyond ASCII.
+CLASSES = np.array([3 if b == 32 else 4 if 9 <= b <= 13 else 2 if chr(b).isdigit() else 1 if chr(b).isupper() else 0 if chr(b).isalpha() else 5 for b in range(128)] + [6] * 128)
+TRIPLES = np.array([zlib.crc32(f"classes:{k}".encode()) % BUCKETS for k in range(7**3)])
+
+
+def features(text: str, m: dict[str, float], times: Counter) -> np.ndarray:
+    """Hashed features: each measure in steps, shares of words, and shares of triples of character classes."""
+    out = np.zeros(BUCKETS)
 
     def add(name: str, value: float) -> None:
-        out[zlib.crc32(name.encode()) % BUCKETS] += value
+        out[_bucket(name)] += value
 
     add("bias", 1.0)
     add("words:" + str(min(8, int(np.log2(m["words"] + 1)))), 0.2)
@@ -104,83 +126,106 @@ def features(text: str, m: dict[str, float]) -> dict[int, float]:
             if m["words"] < 60:
                 add(f"short:{name}", m[name])
         add(f"letters:{min(15, int(m['letters']))}", 0.3)
+        n = 2 * m["words"]
+        at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in times), np.int64, len(times)) % BUCKETS
+        np.add.at(out, at, np.fromiter(times.values(), np.float64, len(times)) / n)
+        c = CLASSES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        if len(c) > 2:
+            np.add.at(out, TRIPLES, np.bincount((c[:-2] * 7 + c[1:-1]) * 7 + c[2:], minlength=7**3) / (len(c) - 2))
     return out
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(share of junk, rate[labeller, class]: how often a labeller that votes says junk on junk and on sound documents).
+def estimate(counts: dict[tuple[int, ...], int], rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each class, rate[labeller, class]: how often a labeller that votes says junk on it); class 0 is sound, the others are kinds of junk.
 
-    Expectation-maximisation over vote patterns, an abstention telling nothing. It starts from "junk where anyone says so".
-    Junk is of many kinds, so no labeller is taken to see more than 3 in 10 of it, and each is taken to be right on 997 in
-    1000 sound documents at least. Without votes it gives the starting point.
+    Expectation-maximisation over vote patterns, an abstention telling nothing, from "a kind for each labeller, junk where it
+    says so". Nothing bounds the rates. Votes alone can't tell a kind that one labeller sees from errors of that labeller on sound
+    documents, as either explains them equally well; so the sound class has a prior, as heavy as a tenth of all documents, of
+    one wrong vote in a thousand. Without votes the result is the starting point.
     """
     k = len(LABELLERS)
+    share, rate = np.r_[0.9, np.full(k, 0.1 / k)], np.full((k, k + 1), 0.5)
     if not counts:
-        return 0.5, np.tile([0.5, 0.5], (k, 1))
+        return share, rate
     patterns = np.array(list(counts), np.int64)
     n = np.array(list(counts.values()), np.float64)
-    post = np.where((patterns == 1).any(axis=1), 0.95, np.where((patterns == ABSTAIN).all(axis=1), 0.2, 0.02))
-    share, rate = 0.5, np.tile([0.5, 0.5], (k, 1))
+    says = patterns == 1
+    post = np.c_[np.where(says.any(axis=1), 0.05, 0.95), says / np.maximum(says.sum(axis=1), 1)[:, None]]
+    post /= post.sum(axis=1, keepdims=True)
+    weight = np.r_[1 + 0.1 * n.sum(), np.ones(k)]
+    prior = weight * np.c_[np.full(k, 0.001), np.where(np.eye(k, dtype=bool), 0.98, 0.02)]
     for _ in range(rounds):
-        share = float(np.clip((n * post).sum() / n.sum(), 1e-4, 0.5))
-        for c, w in enumerate((n * post, n * (1 - post))):
-            junk, sound = (((patterns == v) * w[:, None]).sum(axis=0) for v in (1, 0))
-            rate[:, c] = np.clip((junk + 0.1) / (junk + sound + 1), *((0.05, 0.3), (1e-4, 0.003))[c])
-        new = posterior(patterns, share, rate)
+        w = post * n[:, None]
+        share = (w.sum(axis=0) + 10 * np.r_[0.9, np.full(k, 0.1 / k)]) / (n.sum() + 10)
+        junk, sound = says.T @ w, (patterns == 0).T @ w
+        rate = (junk + prior) / (junk + sound + weight)
+        new = classes(patterns, share, rate)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
     return share, rate
 
 
-def posterior(patterns: np.ndarray, share: float, rate: np.ndarray) -> np.ndarray:
-    """The probability of junk for each vote pattern."""
-    junk, sound = (np.where(patterns == 1, np.log(rate[:, c]), np.where(patterns == 0, np.log(1 - rate[:, c]), 0.0)).sum(axis=1) for c in (0, 1))
-    return 1 / (1 + np.exp(np.clip(np.log(1 - share) - np.log(share) + sound - junk, -500, 500)))
+def classes(patterns: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The probability of each class for each vote pattern."""
+    z = np.log(share) + (patterns == 1) @ np.log(rate) + (patterns == 0) @ np.log(1 - rate)
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The probability of junk of any kind for each vote pattern."""
+    return 1 - classes(patterns, share, rate)[:, 0]
+
 
+def accuracies(share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """(how often a voting labeller says junk on junk, on sound documents), by labeller."""
+    junk = share[1:] / share[1:].sum()
+    return np.c_[rate[:, 1:] @ junk, rate[:, 0]]
 
-def fit_linear(rows: list[dict[int, float]], target: np.ndarray, rounds: int = 600) -> np.ndarray:
+
+def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, shrink: float = 1e-5) -> np.ndarray:
     """Logistic regression on hashed features with soft targets; gradient descent with momentum, a little shrinkage."""
-    used = np.array(sorted({k for row in rows for k in row}), np.int64)
-    place = {k: n for n, k in enumerate(used.tolist())}
-    x = np.zeros((len(rows), len(used)))
-    for k, row in enumerate(rows):
-        x[k, [place[a] for a in row]] = list(row.values())
-    w, speed = np.zeros(len(used)), np.zeros(len(used))
-    for _ in range(rounds if len(rows) else 0):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        speed = 0.9 * speed - 2.0 * (x.T @ (p - target) / len(rows) + 1e-5 * w)
+    used = np.flatnonzero(x.any(axis=0))
+    x, target = np.ascontiguousarray(x[:, used], np.float32), target.astype(np.float32)
+    w, speed = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
+    for _ in range(rounds if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        speed = np.float32(0.9) * speed - np.float32(2) * ((p - target) @ x / np.float32(len(x)) + np.float32(shrink) * w)
         w = w + speed
     out = np.zeros(BUCKETS)
     out[used] = w
     return out
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes, rows = [], []
+        votes = []
         for t in batch["text"]:
-            text = t.as_py() or ""
-            m = measures(text)
+            m = measures((t.as_py() or "").split())[0]
             votes.append([x.vote(m) for x in LABELLERS])
-            f = features(text, m)
-            rows.append((list(f), list(f.values())))
-        yield pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array(votes, pa.list_(pa.int32())), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-            ["id", "votes", "at", "value"],
-        )
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(votes, pa.list_(pa.int32()))], ["id", "votes"])
+
 
+def junk_of(text: str, weights: np.ndarray) -> tuple[float, list[int]]:
+    """(probability of junk, votes) of a text."""
+    m, times = measures(text.split())
+    z = float(weights @ features(text, m, times))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500))), [x.vote(m) for x in LABELLERS]
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> tuple[np.ndarray, DataFrame]:
-    """(weights of the linear scorer, rows (id, votes, at, value) of all documents)."""
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000) -> np.ndarray:
+    """The weights of the linear scorer."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = saved(rows.mapInArrow(_measured, "id long, votes array<int>, at array<int>, value array<double>"), f"{folder(docs.sparkSession)}/measured")
-    counts = {tuple(r["votes"]): r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers rows
+    seen = saved(rows.mapInArrow(_voted, "id long, votes array<int>").groupBy("votes").agg(F.count("*").alias("n")), f"{folder(docs.sparkSession)}/votes")
+    counts = {tuple(r["votes"]): r["n"] for r in seen.collect()}  # at most 3 ** labellers rows
     share, rate = estimate(counts)
     part = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
-    picked = seen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).select("votes", "at", "value").limit(sample).collect()
-    target = posterior(np.array([r["votes"] for r in picked], np.int64).reshape(-1, len(LABELLERS)), share, rate)
-    return fit_linear([dict(zip(r["at"], r["value"], strict=True)) for r in picked], target), seen
+    picked = [r["text"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).select("text").limit(sample).collect()]
+    measured = [(t, *measures(t.split())) for t in picked]
+    votes = np.array([[x.vote(m) for x in LABELLERS] for _, m, _ in measured], np.int64).reshape(-1, len(LABELLERS))
+    x = np.array([features(*row) for row in measured], np.float32).reshape(-1, BUCKETS)
+    return fit_linear(x, posterior(votes, share, rate))
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000, reject: float = 0.5) -> DataFrame:
@@ -188,27 +233,29 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     sample bounds the documents that the linear scorer is fitted on; the labellers' rates come from all documents.
     Null texts count as empty; empty texts and texts of few words get no votes against them. Repeated rows get equal
-    results; empty tables give empty ones.
+    results; empty tables give empty ones; other columns are ignored.
     """
-    weights, seen = train(docs, id_col=id_col, text_col=text_col, sample=sample)
-    z = F.aggregate(F.zip_with("at", "value", lambda a, v: F.element_at(F.col("w"), a + 1) * v), F.lit(0.0), lambda x, y: x + y)
-    junk = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
-    scored = seen.withColumn("w", F.array(*map(F.lit, weights.tolist()))).select(F.col("id").alias(id_col), junk.alias("junk"), "votes")
-    return scored.withColumn("kept", F.col("junk") < reject)
+    weights = train(docs, id_col=id_col, text_col=text_col, sample=sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [junk_of(t.as_py() or "", weights) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([p for p, _ in found], pa.float64()), pa.array([v for _, v in found], pa.list_(pa.int32()))], ["id", "junk", "votes"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scored = rows.mapInArrow(run, "id long, junk double, votes array<int>")
+    return scored.withColumnRenamed("id", id_col).withColumn("kept", F.col("junk") < reject)
 
 
 def sound(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 5_000, reject: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, each judged where it is."""
-    weights, _ = train(docs, id_col=id_col, text_col=text_col, sample=sample)
-    limit = float(np.log(reject / (1 - reject)))
+    """The rows of docs, with their columns, that the classifier doesn't reject, each judged where it is.
+
+    Null texts count as empty and stay; repeated rows have the same verdict; empty tables give empty results.
+    """
+    weights = train(docs, id_col=id_col, text_col=text_col, sample=sample)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            text = text or ""
-            f = features(text, measures(text))
-            out.append(bool(weights[list(f)] @ list(f.values()) < limit))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([junk_of(t or "", weights)[0] < reject for t in texts], dtype=bool)
 
     return docs.where(kept(F.col(text_col)))
