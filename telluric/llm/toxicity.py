@@ -5,10 +5,14 @@ covers), so that insults with gaps, inserted or lost characters keep most of the
 Classification using String Kernels", 2002); K(s, t) is the product of two such descriptions of unit length by
 the number of characters.
 
-Training. Words of labelled sentences (a sentence has its document's label) are counted on both sides, near copies once.
-All words that toxic documents have significantly more often are the positive examples, a spread of the others the negative
-ones; landmarks are drawn from both. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2), then twice more with the
-negative words added that the last fit scored highest, of all the words counted. As the decision function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
+Training. The examples are labelled sentences (a sentence has its document's label); a sentence is as toxic as its worst word,
+so the SVM is a multiple-instance one (Andrews et al., "Support Vector Machines for Multiple-Instance Learning", 2002): each
+sentence enters by its witness, the word that the present decision function scores highest, and witnesses are chosen anew
+after each fit. The first function comes from words that toxic documents have significantly more often, near copies counted
+once, against a spread of others. Witnesses of clean sentences are negative examples; those of toxic documents' sentences are
+positive ones where the function is positive and the word isn't as common in clean documents. Examples weigh by the number of their
+sentences. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2) with landmarks from both sides. As the decision
+function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
 
 Scoring. Every distinct word of a whole text is scored; a logistic function of the text's highest scores gives the
 result. Letters that stand alone in a row ("i d i o t") are joined to a word first, other characters are taken out.
@@ -198,13 +202,16 @@ def _leveled(beta: np.ndarray, bias: float, logistic: np.ndarray | None):
     return run
 
 
+SENTENCE = re.compile(r"[.!?\n]+")
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, label) once for each labelled document that has it in a sentence."""
     for batch in batches:
         words, labels = [], []
         for t, y in zip(batch["text"], batch["label"].to_pylist(), strict=True):
-            found = {normal(x) for s in re.split(r"[.!?\n]+", t.as_py() or "") for x in tokens(s)}
-            found = [w for w in found if 2 < len(w) <= 3 * WINDOW]
+            found = {normal(x) for s in SENTENCE.split(t.as_py() or "") for x in tokens(s)}
+            found = [w for w in found if len(w) > 2]
             words += found
             labels += [y] * len(found)
             if len(words) > 500_000:
@@ -214,6 +221,25 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
 
 
+def _witnesses(beta: np.ndarray, bias: float):
+    """(word, label, d) of each sentence of labelled documents: its word with the highest decision d, the first of equals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        for batch in batches:
+            bags = [(y, b) for t, y in zip(batch["text"], batch["label"].to_pylist(), strict=True) for s in SENTENCE.split(t.as_py() or "") if (b := {w for x in tokens(s) if len(w := normal(x)) > 2})]
+            new = list(set().union(*(b for _, b in bags)).difference(known))
+            for k in range(0, len(new), 50_000):
+                known.update(zip(new[k : k + 50_000], decide(new[k : k + 50_000], beta, bias).tolist(), strict=True))
+            best = [min(b, key=lambda w: (-known[w], w)) for _, b in bags]
+            columns = [pa.array(best, pa.string()), pa.array([y for y, _ in bags], pa.int32()), pa.array([known[w] for w in best], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "label", "d"])
+            if len(known) > 1_000_000:
+                known.clear()
+
+    return run
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the lowest and the highest hash of three words in a row."""
     for batch in batches:
@@ -227,20 +253,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["label", "text", "stands_for", "low", "high"])
 
 
-def _decided(beta: np.ndarray, bias: float):
-    """Batches of words with their decision."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = decide(batch["word"].to_pylist(), beta, bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "d"])
-
-    return run
-
-
-def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+def train(labelled: DataFrame, *, rounds: int = 2, frequent: int = 400, spread: int = 1_500, witnesses: int = 3_000) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows.
 
+    rounds is how often witnesses are chosen. The bounds of the kernel machine are on distinct words: so many frequent ones and so many
+    spread by hash as the first negative examples, and so many witnesses of most sentences on either side.
+
     A column stands_for says how many labelled documents a row stands for, 1 without it: the logistic function weighs both
     labels as often as they occur among all labelled documents, so that a score means the same however many were sampled.
     """
@@ -272,12 +290,15 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     def weights(rows: DataFrame, n: int) -> dict[str, float]:
         return {r["word"]: float(np.sqrt(r["c"])) for r in rows.limit(n).collect()}
 
-    negative = weights(other.orderBy(F.desc("c"), "word"), 400) | weights(other.orderBy(F.xxhash64("word"), "word"), 1_500)
-    beta, bias = fit_words(positive, negative)
-    for _ in range(2 if positive else 0):
-        decided = other.mapInArrow(_decided(beta, bias), "word string, c long, d double").where("d > -1")
-        negative = weights(decided.orderBy(F.desc((F.col("d") + 1) * F.sqrt("c")), "word"), 1_500) | negative
-        beta, bias = fit_words(positive, negative)
+    start = weights(other.orderBy(F.desc("c"), "word"), frequent) | weights(other.orderBy(F.xxhash64("word"), "word"), spread)
+    beta, bias = fit_words(positive, start)
+    for _ in range(rounds if positive else 0):
+        found = used.select("text", "label").mapInArrow(_witnesses(beta, bias), "word string, label int, d double").groupBy("word", "label").agg(F.count("*").alias("c"), F.max("d").alias("d"))
+        found = saved(found.join(counts, "word").select("word", "label", found["c"].alias("c"), "d", "t", counts["c"].alias("clean")), f"{path}/witnesses{_}")
+        toxic_words = found.where("label = 1 AND d > 0").where(F.col("t") * float(clean) > 8.0 * toxic * F.col("clean")).orderBy(F.desc("c"), "word")
+        more = {r["word"]: float(r["c"]) for r in toxic_words.limit(witnesses).collect()}
+        negative = weights(found.where("label = 0").join(other.select("word"), "word", "left_semi").orderBy(F.desc((F.greatest("d", F.lit(-1.0)) + 1) * F.sqrt("c")), "word"), witnesses)
+        beta, bias = fit_words(positive | {w: max(n, positive.get(w, 0.0)) for w, n in more.items()}, negative | start)
     seen = used.select("label", "text").mapInArrow(_leveled(beta, bias, None), "label int, out array<double>").collect()  # two rows of numbers for each row of the sample
     y = np.array([r["label"] for r in seen], np.float64)
     return beta, bias, fit_logistic(np.array([r["out"] for r in seen]), y, np.array([weight[r["label"]] for r in seen]))
@@ -303,14 +324,15 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, *, sample: int = 6_000) -> DataFrame:
     """(text, label, stands_for) of about sample labelled documents of either label, spread by hash of their ids; none is held out.
 
-    stands_for is how many documents of its label a sampled one stands for. The labels are sampled before the documents are read, so only what is used is joined; 3 * sample rows at most are
+    stands_for is how many documents of its label a sampled one stands for; of rows that repeat an id one text counts. The labels are sampled before the documents are read, so only what is used is joined; 3 * sample rows at most are
     broadcast.
     """
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     size = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     part = F.when(F.col("label") == 1, min(1.0, sample / max(1, size.get(1, 0)))).otherwise(min(1.0, sample / max(1, size.get(0, 0))))
     picked = saved(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).withColumn("stands_for", 1 / part).limit(3 * sample), f"{folder(docs.sparkSession)}/picked")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", "stands_for")
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("stands_for").alias("stands_for")).drop("doc_id")
 
 
 def civil(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

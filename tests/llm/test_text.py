@@ -152,7 +152,36 @@ def test_quality_of_odd_documents(spark):
     assert quality.quality(rows.limit(0)).count() == 0 and quality.sound(rows.limit(0)).count() == 0
     share, rate = quality.estimate({(1,) * 7: 10, (0,) * 7: 90})
     post = quality.posterior(np.array([(1,) * 7, (0,) * 7, (-1,) * 7]), share, rate)
-    assert post[0] > 0.9 and post[1] < 0.05 and abs(post[2] - share) < 1e-6
+    assert post[0] > 0.9 and post[1] < 0.05 and abs(post[2] - share[1:].sum()) < 1e-6
+    long = spark.createDataFrame([(k, t) for k in (1, 1, 2) for t in ("word " * 200_000, "x" * 300_000, "Some sound words, said once. " * 3)], "doc_id long, text string")
+    assert quality.quality(long).count() == 9 and quality.sound(long).where("text LIKE 'word%'").count() in (0, 3)
+
+
+def test_quality_estimates_accuracies():
+    """Votes by known rates on three kinds of junk: EM finds the rates, and nothing stops it at a bound."""
+    rng = np.random.default_rng(4)
+    k, n = len(quality.LABELLERS), 20_000
+    kind = np.where(rng.random(n) < 0.2, rng.integers(1, 4, n), 0)
+    truth = np.full((k, 4), 0.004)
+    truth[0, 1], truth[1, 1], truth[2, 2], truth[3, 3], truth[4, 3] = 0.9, 0.6, 0.85, 0.7, 0.8
+    votes = np.where(rng.random((n, k)) < 0.1, -1, rng.random((n, k)) < truth[:, kind].T).astype(int)
+    patterns, times = np.unique(votes, axis=0, return_counts=True)
+    share, rate = quality.estimate({tuple(p): int(c) for p, c in zip(patterns.tolist(), times, strict=True)})
+    known = [(votes[kind > 0][:, j] == 1).sum() / (votes[kind > 0][:, j] >= 0).sum() for j in range(k)]
+    assert quality.accuracies(share, rate)[:, 0] == pytest.approx(known, abs=0.06) and (rate[:, 0] < 0.02).all()
+    right = lambda s, r: np.mean((quality.posterior(votes, s, r) > 0.5) == (kind > 0))
+    assert right(share, rate) > right(np.array([0.8, 0.2 / 3, 0.2 / 3, 0.2 / 3]), truth) - 0.01  # errors on sound documents are partly the prior's
+
+
+def test_quality_query_equals_brute_force(spark):
+    table = texts_of()
+    rows = [(t or "", *quality.measures((t or "").split())) for t in table.text]
+    votes = [tuple(x.vote(m) for x in quality.LABELLERS) for _, m, _ in rows]
+    share, rate = quality.estimate({v: votes.count(v) for v in votes})
+    weights = quality.fit_linear(np.array([quality.features(*r) for r in rows]), quality.posterior(np.array(votes), share, rate))
+    want = {d: quality.junk_of(r[0], weights)[0] for d, r in zip(table.doc_id, rows, strict=True)}
+    got = {r.doc_id: (r.score, r.kept) for r in queries.QUERIES["op5_quality"](spark, SF).collect()}
+    assert {d: p for d, (p, _) in got.items()} == pytest.approx(want, abs=0.02) and all(k == (p < 0.5) for p, k in got.values())
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -202,6 +231,39 @@ def test_toxicity_of_clashing_names(spark):
     assert toxicity.toxicity(docs, found).count() == 40 and toxicity.civil(docs, found).columns == docs.columns
 
 
+def test_toxicity_kernel_by_definition():
+    """The kernel of two words is the product of their subsequences' descriptions of unit length."""
+
+    def described(word):
+        word, out = f"^{word}$", {}
+        for a in range(len(word)):
+            for b in range(a + 1, len(word)):
+                for c in range(b + 1, len(word)):
+                    if c - a < toxicity.REACH:
+                        out[word[a] + word[b] + word[c]] = out.get(word[a] + word[b] + word[c], 0.0) + toxicity.DECAY ** (c - a + 1)
+        at = [(a, c) for a in range(len(word)) for b in range(a + 1, len(word)) for c in range(b + 1, len(word)) if c - a < toxicity.REACH]
+        length = sum(toxicity.DECAY ** (2 * (c - a + 1)) for a, c in at) ** 0.5
+        return {k: v / length for k, v in out.items()}
+
+    words = ["stupid", "stxupid", "sutpid", "banana", "an", "worthless"]
+    want = [[sum(x * described(b).get(k, 0.0) for k, x in described(a).items()) for b in words] for a in words]
+    assert toxicity.kernel(words, toxicity.describe(words)) == pytest.approx(np.array(want), abs=1e-5)
+    assert want[0][1] > 0.5 > want[0][3]
+
+
+def test_toxicity_learns_from_sentences(spark):
+    rng = random.Random(2)
+    calm = ["".join(rng.choice(("an", "er", "th", "on", "st", "ou", "le")) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(calm) for _ in range(n))
+    rows = [(f"{say(8)}. {say(5)} {rng.choice(('zgrumpf', 'vokzit', 'wubbix'))} {say(2)}! {say(7)}.", 1) if k % 8 == 0 else (f"{say(9)}. {say(9)}. {say(4)}", 0) for k in range(800)]
+    table = spark.createDataFrame(rows, "text string, label int")
+    test = spark.createDataFrame([(1, say(20)), (2, f"{say(20)} zgr.umpf {say(9)}"), (3, f"{say(20)} v o k z i t"), (4, f"{say(9)} wuxbbix"), (5, say(40)), (6, None)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(test, table).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+    found = table.mapInArrow(toxicity._witnesses(*toxicity.train(table)[:2]), "word string, label int, d double").where("label = 1 AND d > 0").select("word").distinct().collect()
+    assert {r.word for r in found} == {"zgrumpf", "vokzit", "wubbix"}
+
+
 def test_toxicity_without_labels_and_empty(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "x", 0), (2, "x", 0)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "text string, label int")
