@@ -1,43 +1,14 @@
-"""Tables in the folder that driver and executors share, and the workers' import path."""
+"""What the modules of this subpackage share: the library's intermediate tables, and rows with a number."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-#: Folder of each application that names none.
-_OWN: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place the driver has it."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+from telluric.shipping import ship
+from telluric.sources.scratch import folder, remove, saved
 
-
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="telluric-"))
-    return f"{base.rstrip('/')}/telluric-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet to a shared folder and read again: its lineage ends there and it is computed once."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "numbered", "remove", "saved", "ship"]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -46,9 +17,3 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     while name in docs.columns:
         name += "_"
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), f"{folder(docs.sparkSession)}/numbered"), name
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later read needs."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
