@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folder of each application that names none.
 _OWN: dict[str, str] = {}
+#: Folders made within each open temporary().
+_OPEN: list[list[str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,7 +23,10 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="telluric-"))
-    return f"{base.rstrip('/')}/telluric-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/telluric-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
@@ -32,3 +39,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that no later read needs."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete in the end the folders that are made within: for a step whose result has been written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
