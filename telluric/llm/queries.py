@@ -19,10 +19,15 @@ from telluric.llm.toxicity import held_out, toxicity, training_rows
 from telluric.llm.warc import read_warc, write_warc
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow's batches: texts and pages are long, and 10,000 rows of them, the default, take much memory on both sides."""
     ship(spark)
-    # texts and pages are long: batches of the default 10,000 rows take much memory on both sides
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,7 +36,7 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The rows of op2_best_fit_packing for any documents."""
+    """The rows of op2_best_fit_packing for any documents: null and empty texts are one piece of one id, repeated rows are packed each; none give none."""
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     units = saved(digests.withColumn("unit", F.monotonically_increasing_id()), f"{folder(docs.sparkSession)}/pieces")

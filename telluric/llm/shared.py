@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telluric.shipping import ship
-from telluric.sources.scratch import folder, remove, saved
+from telluric.sources.scratch import folder, remove, saved, temporary
 
-__all__ = ["folder", "numbered", "remove", "saved", "ship"]
+__all__ = ["folder", "numbered", "remove", "saved", "ship", "temporary"]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:

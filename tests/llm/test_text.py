@@ -495,3 +495,29 @@ def test_pipeline_against_its_operators(spark):
                 if (x ^ y).bit_count() <= 2 and label[a] > label[b]:
                     label[a], changed = label[b], True
     assert kept == set(label.values())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = {k: f"Row {k} tells {' '.join(hashlib.sha256(f'{k} {j}'.encode()).hexdigest()[:7] for j in range(12))} of its own." for k in range(40)}
+    rows = [(k, t) for k, t in texts.items()] + [(5, texts[5]), (5, texts[5]), (6, "x " + texts[7][1:]), (None, texts[8]), (None, "quite another text that has no id at all"), (77, None), (78, ""), (79, " ")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "n") for i, t in rows], "doc_id long, text string, label int, quality int, toxic int, __row string")
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(30)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        table.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        left = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, sf)
+            assert left.columns == docs.columns
+        left = left.collect()
+        got = corpus_pipeline.run(spark, sf).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in left)
+        if name == "none":
+            assert not got
+            continue
+        kept = [(r.doc_id, (r.text or "").strip()) for r in left]
+        assert len(kept) == len(set(kept)) and {t for _, t in kept if t} == {t for _, t in rows if t and t.strip()} and sum(not t for _, t in kept) == 1
+        assert (8, texts[8]) in kept and (None, texts[8]) not in kept
