@@ -371,7 +371,7 @@ def html_text(
     share: float = 0.5,
     kept_share: float = 0.5,
     kept_pages: int = 5,
-    block_chars: int = 16_000_000,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """One row per row of pages: id_col, url_col, text (blocks joined by two line feeds; empty if none).
 
