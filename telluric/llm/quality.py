@@ -207,6 +207,14 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array(votes, pa.list_(pa.int32()))], ["id", "votes"])
 
 
+def _pictured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(votes, features) of each text."""
+    for batch in batches:
+        rows = [(t, *measures(t.split())) for t in batch["text"].to_pylist()]
+        votes = [[x.vote(m) for x in LABELLERS] for _, m, _ in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), pa.array([features(*r).astype("<f4").tobytes() for r in rows], pa.binary())], ["votes", "x"])
+
+
 def junk_of(text: str, weights: np.ndarray) -> tuple[float, list[int]]:
     """(probability of junk, votes) of a text."""
     m, times = measures(text.split())
@@ -221,10 +229,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     counts = {tuple(r["votes"]): r["n"] for r in seen.collect()}  # at most 3 ** labellers rows
     share, rate = estimate(counts)
     part = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
-    picked = [r["text"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).select("text").limit(sample).collect()]
-    measured = [(t, *measures(t.split())) for t in picked]
-    votes = np.array([[x.vote(m) for x in LABELLERS] for _, m, _ in measured], np.int64).reshape(-1, len(LABELLERS))
-    x = np.array([features(*row) for row in measured], np.float32).reshape(-1, BUCKETS)
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).limit(sample)
+    found = picked.mapInArrow(_pictured, "votes array<int>, x binary").collect()  # sample rows of BUCKETS numbers at most
+    votes = np.array([r["votes"] for r in found], np.int64).reshape(-1, len(LABELLERS))
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in found], np.float32).reshape(-1, BUCKETS)
     return fit_linear(x, posterior(votes, share, rate))
 
 
