@@ -82,7 +82,9 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark)}/archives"
     write_warc(table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).where("gap IS NULL").selectExpr(
+    # what has just been written has no gaps
+    lost = F.raise_error(F.concat(F.lit("lost bytes of "), "archive", F.lit(": "), "gap")).cast("boolean")
+    return read_warc(spark, path).where(F.when(F.col("gap").isNull(), True).otherwise(lost)).selectExpr(
         "cast(regexp_extract(record_id, 'page:(-?[0-9]+)', 1) AS long) AS page_id",
         "payload_bytes",
         "payload_digest",

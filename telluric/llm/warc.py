@@ -79,7 +79,10 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, **columns) -> None:
-    """Write pages as uncompressed archives (text parts of Spark's writer) below path, of archive_bytes at most by the mean page, 8 times that by the longest."""
+    """Write pages as uncompressed archives (text parts of Spark's writer) below path, of archive_bytes at most by the mean page, 8 times that by the longest.
+
+    A longer page has an archive of its own. Archives are read whole by one task each, so none may exceed Spark's limit for a value, 2 GB.
+    """
     size = F.octet_length(columns.get("html_col", "html"))
     n = pages.select(F.avg(size).alias("mean"), F.max(size).alias("most")).first()
     most = max(1, int(min(archive_bytes / max(600, n["mean"] or 0), 8 * archive_bytes / max(600, n["most"] or 0))))
