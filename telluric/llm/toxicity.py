@@ -5,13 +5,13 @@ covers), so that insults with gaps, inserted or lost characters keep most of the
 Classification using String Kernels", 2002); K(s, t) is the product of two such descriptions of unit length by
 the number of characters.
 
-Training. The examples are labelled sentences (a sentence has its document's label); a sentence is as toxic as its worst word,
-so the SVM is a multiple-instance one (Andrews et al., "Support Vector Machines for Multiple-Instance Learning", 2002): each
-sentence enters by its witness, the word that the present decision function scores highest, and witnesses are chosen anew
-after each fit. The first function comes from words that toxic documents have significantly more often, near copies counted
-once, against a spread of others. Witnesses of clean sentences are negative examples; those of toxic documents' sentences are
-positive ones where the function is positive and the word isn't as common in clean documents. Examples weigh by the number of their
-sentences. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2) with landmarks from both sides. As the decision
+Training. The examples are labelled sentences; a sentence is as toxic as its worst word, and a document as its worst sentence,
+so the SVM is a multiple-instance one (Andrews et al., "Support Vector Machines for Multiple-Instance Learning", 2002): a toxic
+document enters by the witness of its worst sentence, the word that the present decision function scores highest, and witnesses
+are chosen anew after each fit. The first function comes from words that toxic documents have significantly more often, near copies counted
+once, against a spread of others. Witnesses are positive examples where the function is positive
+and the word isn't as common in clean documents; in a clean sentence every word is a negative one, and those that the function
+scores highest are added in each round. Positive examples weigh by the number of their documents. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2) with landmarks from both sides. As the decision
 function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
 
 Scoring. Every distinct word of a whole text is scored; a logistic function of the text's highest scores gives the
@@ -222,17 +222,17 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _witnesses(beta: np.ndarray, bias: float):
-    """(word, label, d) of each sentence of labelled documents: its word with the highest decision d, the first of equals."""
+    """(word, label, d) of each labelled document's worst sentence: its word with the highest decision d, the first of equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            bags = [(y, b) for t, y in zip(batch["text"], batch["label"].to_pylist(), strict=True) for s in SENTENCE.split(t.as_py() or "") if (b := {w for x in tokens(s) if len(w := normal(x)) > 2})]
-            new = list(set().union(*(b for _, b in bags)).difference(known))
+            bags = [{w for s in SENTENCE.split(t.as_py() or "") for x in tokens(s) if len(w := normal(x)) > 2} for t in batch["text"]]
+            new = list(set().union(*bags).difference(known))
             for k in range(0, len(new), 50_000):
                 known.update(zip(new[k : k + 50_000], decide(new[k : k + 50_000], beta, bias).tolist(), strict=True))
-            best = [min(b, key=lambda w: (-known[w], w)) for _, b in bags]
-            columns = [pa.array(best, pa.string()), pa.array([y for y, _ in bags], pa.int32()), pa.array([known[w] for w in best], pa.float64())]
+            best = [(min(b, key=lambda w: (-known[w], w)), y) for b, y in zip(bags, batch["label"].to_pylist(), strict=True) if b]
+            columns = [pa.array([w for w, _ in best], pa.string()), pa.array([y for _, y in best], pa.int32()), pa.array([known[w] for w, _ in best], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["word", "label", "d"])
             if len(known) > 1_000_000:
                 known.clear()
@@ -253,11 +253,22 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["label", "text", "stands_for", "low", "high"])
 
 
-def train(labelled: DataFrame, *, rounds: int = 2, frequent: int = 400, spread: int = 1_500, witnesses: int = 3_000) -> tuple[np.ndarray, float, np.ndarray]:
+def _decided(beta: np.ndarray, bias: float):
+    """Batches of words with their decision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = decide(batch["word"].to_pylist(), beta, bias)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "d"])
+
+    return run
+
+
+def train(labelled: DataFrame, *, rounds: int = 2, frequent: int = 400, spread: int = 1_500, hard: int = 1_500, witnesses: int = 3_000) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, bias, logistic) from all rows (text, label 0/1); their number is to be bounded by the caller, see training_rows.
 
     rounds is how often witnesses are chosen. The bounds of the kernel machine are on distinct words: so many frequent ones and so many
-    spread by hash as the first negative examples, and so many witnesses of most sentences on either side.
+    spread by hash as the first negative examples, so many hard ones more in each round, and so many witnesses of most sentences.
 
     A column stands_for says how many labelled documents a row stands for, 1 without it: the logistic function weighs both
     labels as often as they occur among all labelled documents, so that a score means the same however many were sampled.
@@ -290,15 +301,15 @@ def train(labelled: DataFrame, *, rounds: int = 2, frequent: int = 400, spread:
     def weights(rows: DataFrame, n: int) -> dict[str, float]:
         return {r["word"]: float(np.sqrt(r["c"])) for r in rows.limit(n).collect()}
 
-    start = weights(other.orderBy(F.desc("c"), "word"), frequent) | weights(other.orderBy(F.xxhash64("word"), "word"), spread)
-    beta, bias = fit_words(positive, start)
+    negative = weights(other.orderBy(F.desc("c"), "word"), frequent) | weights(other.orderBy(F.xxhash64("word"), "word"), spread)
+    beta, bias = fit_words(positive, negative)
     for _ in range(rounds if positive else 0):
-        found = used.select("text", "label").mapInArrow(_witnesses(beta, bias), "word string, label int, d double").groupBy("word", "label").agg(F.count("*").alias("c"), F.max("d").alias("d"))
-        found = saved(found.join(counts, "word").select("word", "label", found["c"].alias("c"), "d", "t", counts["c"].alias("clean")), f"{path}/witnesses{_}")
-        toxic_words = found.where("label = 1 AND d > 0").where(F.col("t") * float(clean) > 8.0 * toxic * F.col("clean")).orderBy(F.desc("c"), "word")
-        more = {r["word"]: float(r["c"]) for r in toxic_words.limit(witnesses).collect()}
-        negative = weights(found.where("label = 0").join(other.select("word"), "word", "left_semi").orderBy(F.desc((F.greatest("d", F.lit(-1.0)) + 1) * F.sqrt("c")), "word"), witnesses)
-        beta, bias = fit_words(positive | {w: max(n, positive.get(w, 0.0)) for w, n in more.items()}, negative | start)
+        found = used.where("label = 1").select("text", "label").mapInArrow(_witnesses(beta, bias), "word string, label int, d double").where("d > 0")
+        rare = counts.where(F.col("t") * float(clean) > 8.0 * toxic * F.col("c")).where("t >= 2").select("word", "t")
+        seen = found.groupBy("word").agg(F.count("*").alias("n")).join(rare, "word").orderBy(F.desc("n"), "word").limit(witnesses).collect()
+        decided = other.mapInArrow(_decided(beta, bias), "word string, c long, d double").where("d > -1")
+        negative = weights(decided.orderBy(F.desc((F.col("d") + 1) * F.sqrt("c")), "word"), hard) | negative
+        beta, bias = fit_words(positive | {r["word"]: float(r["t"]) for r in seen}, negative)
     seen = used.select("label", "text").mapInArrow(_leveled(beta, bias, None), "label int, out array<double>").collect()  # two rows of numbers for each row of the sample
     y = np.array([r["label"] for r in seen], np.float64)
     return beta, bias, fit_logistic(np.array([r["out"] for r in seen]), y, np.array([weight[r["label"]] for r in seen]))
