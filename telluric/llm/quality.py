@@ -208,11 +208,17 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pictured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(votes, features) of each text."""
+    """(votes, at, value) of each text: the features that aren't 0, as little-endian unsigned 16-bit places and 32-bit floats."""
     for batch in batches:
-        rows = [(t, *measures(t.split())) for t in batch["text"].to_pylist()]
-        votes = [[x.vote(m) for x in LABELLERS] for _, m, _ in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), pa.array([features(*r).astype("<f4").tobytes() for r in rows], pa.binary())], ["votes", "x"])
+        votes, places, values = [], [], []
+        for t in batch["text"].to_pylist():
+            m, times = measures(t.split())
+            f = features(t, m, times)
+            at = np.flatnonzero(f)
+            votes.append([x.vote(m) for x in LABELLERS])
+            places.append(at.astype("<u2").tobytes())
+            values.append(f[at].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["votes", "at", "value"])
 
 
 def junk_of(text: str, weights: np.ndarray) -> tuple[float, list[int]]:
@@ -230,9 +236,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     share, rate = estimate(counts)
     part = min(1.0, 0.8 * sample / max(1, sum(counts.values())))
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part * (1 << 20)).limit(sample)
-    found = picked.mapInArrow(_pictured, "votes array<int>, x binary").collect()  # sample rows of BUCKETS numbers at most
+    found = picked.mapInArrow(_pictured, "votes array<int>, at binary, value binary").collect()  # sample rows of BUCKETS numbers at most
     votes = np.array([r["votes"] for r in found], np.int64).reshape(-1, len(LABELLERS))
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in found], np.float32).reshape(-1, BUCKETS)
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for k, r in enumerate(found):
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f4")
     return fit_linear(x, posterior(votes, share, rate))
 
 
