@@ -186,16 +186,13 @@ def accuracies(share: np.ndarray, rate: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, shrink: float = 1e-5) -> np.ndarray:
     """Logistic regression on hashed features with soft targets; gradient descent with momentum, a little shrinkage."""
-    used = np.flatnonzero(x.any(axis=0))
-    x, target = np.ascontiguousarray(x[:, used], np.float32), target.astype(np.float32)
-    w, speed = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
+    x, target = np.ascontiguousarray(x, np.float32), target.astype(np.float32)
+    w, speed = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         speed = np.float32(0.9) * speed - np.float32(2) * ((p - target) @ x / np.float32(len(x)) + np.float32(shrink) * w)
         w = w + speed
-    out = np.zeros(BUCKETS)
-    out[used] = w
-    return out
+    return w.astype(np.float64)
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,8 +110,8 @@ def kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
     """K(words, landmarks) from the landmarks' descriptions."""
     out = np.zeros((len(words), marks.shape[1]))
     for index, code, weight in codes(words):
-        for b in range(0, len(index), 100):
-            np.add.at(out, index[b : b + 100], np.einsum("ntm,t->nm", marks[code[b : b + 100]], weight.astype(np.float32)))
+        for b in range(0, len(index), 50):
+            np.add.at(out, index[b : b + 50], np.einsum("ntm,t->nm", marks[code[b : b + 50]], weight.astype(np.float32)))
     return out
 
 
@@ -138,7 +138,8 @@ def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks:
         step = 6.0 / (1 + k / 100)
         v += step * (x.T @ inside - 2e-5 * v)
         b += step * 0.3 * inside.sum()
-    return (marks @ (root @ v)).astype(np.float64), float(b)
+    # in single precision: marks is the largest array, and would be copied to doubles
+    return (marks @ (root @ v).astype(np.float32)).astype(np.float64), float(b)
 
 
 class Scorer:
