@@ -15,6 +15,7 @@ from telluric.llm.packing import pack, token_pieces
 from telluric.llm.quality import quality
 from telluric.llm.shared import folder, saved, ship
 from telluric.llm.simhash_dedup import simhash_dedup
+from telluric.llm.substring_dedup import substring_dedup
 from telluric.llm.toxicity import held_out, toxicity, training_rows
 from telluric.llm.warc import read_warc, write_warc
 
@@ -99,7 +100,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity, op11_substring_dedup)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -161,4 +167,22 @@ ORACLE_SQL = {
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f
     """,
+    "op11_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS passage FROM d, unnest(range(1, len(words) - 33)) AS t(i)
+        ), r AS (
+            SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY passage) AS n FROM w) WHERE n > 1
+        ), c AS (
+            SELECT DISTINCT doc_id, j FROM r, unnest(range(i, i + 35)) AS t(j)
+        ), k AS (
+            SELECT d.doc_id, count(x.word) AS n_words, count(c.j) AS n_removed,
+                   coalesce(string_agg(x.word, ' ' ORDER BY x.j) FILTER (WHERE c.j IS NULL), '') AS kept
+            FROM d LEFT JOIN (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM d) AS x USING (doc_id)
+            LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j
+            GROUP BY d.doc_id
+        )
+        SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
+    """,
 }
