@@ -12,6 +12,7 @@ from telluric.llm.embedding_dedup import embedding_dedup
 from telluric.llm.exact_dedup import exact_dedup
 from telluric.llm.html_text import html_text
 from telluric.llm.packing import pack, token_pieces
+from telluric.llm.periodic_runs import periodic_runs
 from telluric.llm.quality import quality
 from telluric.llm.shared import folder, saved, ship
 from telluric.llm.simhash_dedup import simhash_dedup
@@ -105,7 +106,31 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity, op11_substring_dedup)}
+def repeating(docs: DataFrame) -> DataFrame:
+    """docs with the words of a tenth of the texts, by the checksum h of their id, replaced by repetitions of a part of their own."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    parts = docs.withColumn("__h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("__words", F.when(F.col("__h") % 10 == 0, words))
+    where = {"n": "cast(size(__words) AS long)", "g": "(__h div 10)"}
+    where |= {"a": "({g} % {n})".format(**where)}
+    where |= {"p": "(1 + ({n} - {a}) div (3 + {g} % 8))".format(**where)}
+    again = "array_join(transform(sequence(0, {n} - 1), i -> get(__words, cast(if(i < {a}, i, {a} + (i - {a}) % {p}) AS int))), ' ')".format(**where)
+    return parts.withColumn("text", F.expr(f"CASE WHEN size(__words) > 0 THEN {again} ELSE text END")).drop("__h", "__words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeating(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the exponents a / b and c / d in whole numbers: a * d against c * b
+    ahead = "array_sort(runs, (x, y) -> cast(sign(y.length * x.period - x.length * y.period) AS int))"
+    text = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(text, F.lit("\n"))).otherwise("")
+    return found.withColumn("top", F.expr(f"get({ahead}, 0)")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity, op11_substring_dedup, op12_periodic_runs)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -185,4 +210,42 @@ ORACLE_SQL = {
         )
         SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
     """,
+    "op12_periodic_runs": r"""
+        WITH RECURSIVE bytes AS (
+            SELECT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents
+        ), crc(doc_id, s, k, c) AS (
+            SELECT doc_id, s, 0, CAST(4294967295 AS BIGINT) FROM bytes
+            UNION ALL
+            SELECT doc_id, s, k + 1, CASE WHEN k % 9 = 0 THEN xor(c, ascii(s[k // 9 + 1])) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+            FROM crc WHERE k < 9 * len(s)
+        ), hash AS (
+            SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE k = 9 * len(s)
+        ), d AS (
+            SELECT doc_id, h % 10 = 0 AS again, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents JOIN hash USING (doc_id)
+        ), e AS (
+            SELECT *, CASE WHEN len(words) > 0 THEN g % len(words) END AS a FROM d
+        ), f AS (
+            SELECT *, 1 + (len(words) - a) // (3 + g % 8) AS p FROM e
+        ), w AS MATERIALIZED (
+            SELECT doc_id, i, words[CASE WHEN again AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM f, unnest(range(len(words))) AS t(i)
+        ), pairs AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+            FROM w AS x JOIN w AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+        ), stretches AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM pairs GROUP BY doc_id, q, island
+        ), runs AS MATERIALIZED (
+            SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+        ), gone AS (
+            SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + period, start + length)) AS t(i)
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        ), r AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+                   first({'start': start, 'length': length, 'period': period} ORDER BY length / period DESC, start, period) AS top
+            FROM runs GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
