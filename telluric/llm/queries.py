@@ -11,6 +11,7 @@ from telluric.llm.chat_format import chat_format
 from telluric.llm.embedding_dedup import embedding_dedup
 from telluric.llm.exact_dedup import exact_dedup
 from telluric.llm.html_text import html_text
+from telluric.llm.lexical_search import lexical_search
 from telluric.llm.packing import pack, token_pieces
 from telluric.llm.periodic_runs import periodic_runs
 from telluric.llm.quality import quality
@@ -130,7 +131,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity, op11_substring_dedup, op12_periodic_runs)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_quality, op6_html_text, op7_chat_format, op8_embedding_dedup, op9_warc, op10_toxicity, op11_substring_dedup, op12_periodic_runs, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -248,4 +253,26 @@ ORACLE_SQL = {
                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
         FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), c AS (
+            SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0
+        ), i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), p AS (
+            SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term
+        ), t AS (
+            SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l)))) AS BIGINT) AS score
+            FROM i JOIN p USING (term) JOIN t USING (term), c GROUP BY item_id, doc_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
