@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,8 +106,48 @@ def segments(grid: DataFrame, thresholds: list[float] | int, shares: list[float]
     return rows.withColumn("code", above).where("code BETWEEN 1 AND 14").withColumn("s", F.explode(out)).select("value", "s.*")
 
 
-def _rings(lines: pd.DataFrame) -> pd.DataFrame:
-    """Closed rings of one threshold's segments; each begins where the next one of its ends leads."""
+def signed_area(ring: np.ndarray) -> float:
+    """The area of a closed ring of (x, y), positive if it turns to the left."""
+    x, y = (ring - ring[0]).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2
+
+
+def within(at: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """For each place whether it lies within a closed ring: a line from there to the right crosses it an odd number of times."""
+    (x1, y1), (x2, y2) = ring[:-1].T, ring[1:].T
+    x, y = at[:, :1], at[:, 1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crosses = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) / (y2 - y1) * (x2 - x1))
+    return crosses.sum(axis=1) % 2 == 1
+
+
+def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Polygons, each an outer ring (turning to the left) and its holes: those that lie in it and in no smaller outer ring.
+
+    Rings without area are left out. A hole may touch a ring at some vertices; the others decide, or the middles of its edges.
+    """
+    areas = [signed_area(r) for r in rings]
+    outer = sorted((k for k, a in enumerate(areas) if a > 0), key=lambda k: areas[k])
+    held: dict[int, list[np.ndarray]] = {k: [] for k in outer}
+    corners = {k: (rings[k].min(axis=0), rings[k].max(axis=0)) for k in outer}
+    for hole, area in zip(rings, areas, strict=True):
+        if area >= 0:
+            continue
+        low, high = hole.min(axis=0), hole.max(axis=0)
+        for k in outer:
+            if areas[k] <= -area or (low < corners[k][0]).any() or (high > corners[k][1]).any():
+                continue
+            places = np.concatenate([hole[:-1], (hole[:-1] + hole[1:]) / 2])
+            shared = (places[:, None, :] == rings[k][None, :-1, :]).all(axis=2).any(axis=1)
+            free = places[~shared][:1]
+            if len(free) and within(free, rings[k])[0]:
+                held[k].append(hole)
+                break
+    return [[rings[k], *held[k]] for k in outer]
+
+
+def _polygons(lines: pd.DataFrame) -> pd.DataFrame:
+    """The polygons of one threshold's segments; each segment of a ring begins where the one before it ends."""
     key = lambda x, y: (round(x, 9), round(y, 9))
     following: dict[tuple, list] = {}
     for s in lines.sort_values(["x1", "y1", "x2", "y2"]).itertuples():
@@ -123,18 +164,46 @@ def _rings(lines: pd.DataFrame) -> pd.DataFrame:
             at = nxt
             if at == start:
                 break
-        rings.append([[float(x), float(y)] for x, y in ring])
-    return pd.DataFrame({"value": [lines["value"].iloc[0]] * len(rings), "ring": range(len(rings)), "points": rings})
+        rings.append(np.array(ring))
+    found = [[r.tolist() for r in p] for p in nested(rings)]
+    return pd.DataFrame({"value": [lines["value"].iloc[0]] * len(found), "polygon": range(len(found)), "rings": found})
+
+
+RINGS = "array<array<array<double>>>"
+
+
+def polygons(grid: DataFrame, thresholds: list[float] | int = 20, shares: list[float] | None = None) -> DataFrame:
+    """(value, polygon, rings): the polygons of each threshold in cells of a density grid, each an outer ring and its holes; see segments.
+
+    The segments of one threshold are brought together: the grid bounds them.
+    """
+    return segments(grid, thresholds, shares).groupBy("value").applyInPandas(_polygons, f"value double, polygon long, rings {RINGS}")
+
+
+def ring_areas(found: DataFrame) -> DataFrame:
+    """(value, polygon, hole, vertices, area, outer_area) of each ring of polygons, areas in cells; holes have negative ones."""
+
+    def area(ring: Column) -> Column:
+        n = F.size(ring) - 1
+        parts = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: a[0] * b[1] - b[0] * a[1])
+        return F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / 2.0
+
+    rows = found.select("value", "polygon", "rings", F.posexplode("rings").alias("n", "ring"))
+    return rows.select("value", "polygon", (F.col("n") > 0).alias("hole"), (F.size("ring") - 1).alias("vertices"), area(F.col("ring")).alias("area"), area(F.col("rings")[0]).alias("outer_area"))
 
 
 def contours(
     scores: DataFrame, thresholds: list[float] | int = 20, *, shares: list[float] | None = None, power: bool = True, mirror: bool = True, bandwidth: float = BANDWIDTH, cell: int = 1
 ) -> DataFrame:
-    """(value, coordinates): a multipolygon of [lon, lat] for each threshold above 0 that the density reaches; see segments and density."""
+    """(value, coordinates): a multipolygon of [lon, lat] for each threshold above 0 that the density reaches; see segments and density.
+
+    Each polygon is its outer ring and then the rings of its holes.
+    """
     grid = density(mirrored(scores) if mirror else scores, power=power, bandwidth=bandwidth, cell=cell)
-    rings = segments(grid, thresholds, shares).groupBy("value").applyInPandas(_rings, "value double, ring long, points array<array<double>>")
-    vertices = rings.select("value", "ring", F.posexplode("points").alias("n", "p"))
-    lon, lat = rotations.unrotate(F.col("p")[0] * cell, F.col("p")[1] * cell - 90.0)
-    vertices = vertices.select("value", "ring", F.struct("n", F.array(lon, rotations.unshift(lat)).alias("v")).alias("v"))
-    polygons = vertices.groupBy("value", "ring").agg(F.array(F.sort_array(F.collect_list("v"))["v"]).alias("polygon"))
-    return polygons.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("ring", "polygon")))["polygon"].alias("coordinates")).where("value > 0")
+
+    def place(p: Column) -> Column:
+        lon, lat = rotations.unrotate(p[0] * cell, p[1] * cell - 90.0)
+        return F.array(lon, rotations.unshift(lat))
+
+    placed = polygons(grid, thresholds, shares).withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, place)))
+    return placed.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("polygon", "rings")))["rings"].alias("coordinates")).where("value > 0")

@@ -203,12 +203,18 @@ def contour_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contours.contours(_scored_points(spark, sf_dir), shares=[k / 6 for k in range(1, 6)])
 
 
+def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ring of those polygons in the density grid: whether it is a hole, its vertices, its area, and that of the outer ring it belongs to."""
+    found = contours.polygons(contours.density(contours.mirrored(_scored_points(spark, sf_dir))), shares=[k / 6 for k in range(1, 6)])
+    return _rounded(contours.ring_areas(found).drop("polygon"), ["value", "area", "outer_area"], 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_predict_grid,
         predict_fixed_amps, fit_predict_single_pole, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
-        merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons,
+        merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons, contour_rings,
     )
 }
 
@@ -325,16 +331,51 @@ def _mirrored_sql() -> str:
     return f"SELECT lon, lat, score FROM q UNION ALL SELECT degrees(atan2({y}, {x})), degrees(asin(greatest(-1, least(1, {z})))), score FROM q"
 
 
-def _density_sql() -> str:
+def _density_sql(density: str = "round({}, 6)") -> str:
     lon, lat = _turned("lon", SHIFT.format("lat"), False)
     k = "exp(-(dx * dx + dy * dy) / CAST(8 AS DOUBLE)) / (CAST(8 AS DOUBLE) * pi())"
     return f"""WITH q AS ({SCORED}), m AS ({_mirrored_sql()}), r AS (SELECT {lon} AS lon, {lat} AS lat, pow(score, 1.5) AS w FROM m WHERE score > 0),
         c AS (SELECT least(CAST(floor(lon) AS BIGINT), 359) AS cx, least(CAST(floor(lat + 90) AS BIGINT), 179) AS cy, sum(w) AS w FROM r GROUP BY ALL)
-        SELECT cx + dx AS x, cy + dy AS y, round(sum(w * {k}), 6) AS density
+        SELECT cx + dx AS x, cy + dy AS y, {density.format(f'sum(w * {k})')} AS density
         FROM c, generate_series(-6, 6) AS a(dx), generate_series(-6, 6) AS b(dy)
         WHERE cx + dx BETWEEN 0 AND 359 AND cy + dy BETWEEN 0 AND 179 GROUP BY ALL"""
 
 
+def _rings_sql(doublings: int = 14) -> str:
+    """Marching squares over the density; a segment's ring is the smallest number among the segments that follow it, found by doubling (2^doublings of them at most)."""
+    corner = "(SELECT density FROM g WHERE g.x = s.x + {} AND g.y = s.y + {})"
+    at = {
+        "b": "(x + 0.5 + (value - d00) / (d10 - d00), y + 0.5)", "r": "(x + 1.5, y + 0.5 + (value - d10) / (d11 - d10))",
+        "t": "(x + 0.5 + (value - d01) / (d11 - d01), y + 1.5)", "l": "(x + 0.5, y + 0.5 + (value - d00) / (d01 - d00))",
+    }
+    cases = {1: "bl", 2: "rb", 3: "rl", 4: "tr", 5: "bltr", 6: "tb", 7: "tl", 8: "lt", 9: "bt", 10: "rblt", 11: "rt", 12: "lr", 13: "br", 14: "lb"}
+
+    def line(a: str, b: str) -> str:
+        (ax, ay), (bx, by) = (p[1:-1].rsplit(", ", 1) for p in (at[a], at[b]))
+        return "{" + f"'x1': round({ax}, 9), 'y1': round({ay}, 9), 'x2': round({bx}, 9), 'y2': round({by}, 9)" + "}"
+
+    lines = " ".join(f"WHEN {code} THEN [{', '.join(line(*edges[k : k + 2]) for k in range(0, len(edges), 2))}]" for code, edges in cases.items())
+    doubled = "".join(
+        f""", n{k + 1} AS MATERIALIZED (SELECT a.id, least(a.ring, b.ring) AS ring, b.nxt FROM n{k} AS a JOIN n{k} AS b ON b.id = a.nxt)""" for k in range(doublings)
+    )
+    return f"""WITH g AS MATERIALIZED (SELECT x, y, density FROM ({_density_sql("{}")})),
+        s AS (SELECT DISTINCT x - dx AS x, y - dy AS y FROM g, generate_series(0, 1) AS a(dx), generate_series(0, 1) AS b(dy)),
+        d AS (SELECT x, y, {', '.join(f"coalesce({corner.format(*k)}, 0) AS d{k}" for k in ('00', '10', '11', '01'))} FROM s),
+        v AS (SELECT d.*, top * {_d(1.0)} * k / 6 AS value FROM d, (SELECT max(density) AS top FROM g), generate_series(1, 5) AS c(k)),
+        e AS (SELECT *, (d00 >= value)::INT + 2 * (d10 >= value)::INT + 4 * (d11 >= value)::INT + 8 * (d01 >= value)::INT AS code FROM v),
+        u AS (SELECT value, unnest(CASE code {lines} END, recursive := true) FROM e WHERE code BETWEEN 1 AND 14),
+        l AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY value, x1, y1) AS id FROM u),
+        n0 AS MATERIALIZED (SELECT a.id, a.id AS ring, b.id AS nxt FROM l AS a JOIN l AS b ON a.value = b.value AND a.x2 = b.x1 AND a.y2 = b.y1){doubled},
+        q AS MATERIALIZED (SELECT l.*, ring FROM l JOIN n{doublings} USING (id)),
+        z AS (SELECT value, ring, count(*) AS vertices, sum(x1 * y2 - x2 * y1) / 2 AS area, arg_min(x1, id) AS x, arg_min(y1, id) AS y FROM q GROUP BY value, ring),
+        i AS (SELECT h.ring, o.ring AS outside, any_value(o.area) AS area
+              FROM z AS h JOIN z AS o ON h.value = o.value AND h.area < 0 AND o.area > 0 JOIN q ON q.value = o.value AND q.ring = o.ring
+              WHERE (q.y1 > h.y) <> (q.y2 > h.y) AND h.x < q.x1 + (h.y - q.y1) / (q.y2 - q.y1) * (q.x2 - q.x1)
+              GROUP BY h.ring, o.ring HAVING count(*) % 2 = 1),
+        m AS (SELECT ring, min(area) AS outer_area FROM i GROUP BY ring)
+        SELECT round(value, 5) AS value, area < 0 AS hole, CAST(vertices AS INTEGER) AS vertices, round(area, 5) AS area, round(coalesce(outer_area, area), 5) AS outer_area FROM z LEFT JOIN m USING (ring)"""
+
+
 def _two_pole_sql() -> str:
     both = "u AS (SELECT t.frame_id, t.i, t.j, t.t_i AS ai, t.t_j AS aj, t.t_k AS ak, w.t_i AS bi, w.t_j AS bj, w.t_k AS bk FROM t JOIN w USING (frame_id, obs_idx))"
     s = _d(1e30)
@@ -383,4 +424,5 @@ ORACLE_SQL = {
     "contour_mirror": f"WITH q AS ({SCORED}), m AS ({_mirrored_sql()}) SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, round(score, 6) AS score FROM m",
     "contour_weight": f"SELECT point_idx, round(pow(score, 1.5), 6) AS weight, round({SHIFT.format('lat')}, 6) AS shifted, round(lat, 6) AS lat FROM ({SCORED})",
     "contour_density": _density_sql(),
+    "contour_rings": _rings_sql(),
 }

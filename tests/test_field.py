@@ -236,6 +236,55 @@ def test_to_south_pole(spark, at, to):
     assert tuple(spark.range(1).select(*rotations.to_south_pole(F.lit(float(at[0])), F.lit(float(at[1])))).first()) == pytest.approx(to, abs=1e-5)
 
 
+def _circle(n, radius, x=0.0, y=0.0, left=True):
+    a = np.linspace(0, 2 * np.pi, n + 1) * (1 if left else -1)
+    return np.column_stack([x + radius * np.cos(a), y + radius * np.sin(a)])[[*range(n), 0]]
+
+
+def test_holes_go_to_the_smallest_ring_around_them():
+    disc, hole, island, pond, other = _circle(40, 9), _circle(30, 7, left=False), _circle(20, 5), _circle(10, 2, left=False), _circle(12, 1, 30)
+    found = contours.nested([pond, other, hole, island, disc])
+    assert sorted((len(p), round(sum(map(contours.signed_area, p)))) for p in found) == sorted((n, round(contours.signed_area(a) + b)) for n, a, b in [(1, other, 0), (2, island, contours.signed_area(pond)), (2, disc, contours.signed_area(hole))])
+    assert contours.nested([]) == [] and contours.nested([np.array([[1.0, 1.0], [2.0, 2.0], [1.0, 1.0]])]) == []
+    square = np.array([[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], float)
+    touching = np.array([[0, 0], [1, 2], [2, 1], [0, 0]], float)  # a hole that shares a corner with its outer ring
+    assert [len(p) for p in contours.nested([touching, square])] == [2]
+
+
+def test_nested_rings_of_random_grids(spark):
+    """Areas and the numbers of rings agree with the segments and with counts over squares of cells."""
+    rng = np.random.default_rng(21)
+    for turn in range(3):
+        cells = [(x, y, float(v)) for x in range(14) for y in range(11) for v in [rng.random()] if v > 0.1]
+        grid_ = spark.createDataFrame(cells, "x long, y long, density double")
+        lines = contours.segments(grid_, [0.5]).toPandas()
+        rows = contours.ring_areas(contours.polygons(grid_, [0.5])).collect()
+        assert sum(r.area for r in rows) == pytest.approx((lines.x1 * lines.y2 - lines.x2 * lines.y1).sum() / 2)
+        assert sum(r.vertices for r in rows) == len(lines)
+        above = np.zeros((16, 13), bool)
+        for x, y, v in cells:
+            above[x + 1, y + 1] = v >= 0.5
+        a, b, c, d = above[:-1, :-1], above[1:, :-1], above[:-1, 1:], above[1:, 1:]
+        n = a.astype(int) + b + c + d
+        euler = ((n == 1).sum() - (n == 3).sum() + 2 * ((n == 2) & (a == d)).sum()) // 4
+        assert sum(not r.hole for r in rows) - sum(r.hole for r in rows) == euler
+        assert all((r.area < 0) == r.hole and r.outer_area >= abs(r.area) for r in rows)
+        # a place is above the threshold just where the outermost polygon around it doesn't have it in a hole
+        polygons = [[np.array(ring) for ring in r.rings] for r in contours.polygons(grid_, [0.5]).collect()]
+        centres = np.array([(x + 0.5, y + 0.5) for x, y, _ in cells])
+        covered = sum((contours.within(centres, p[0]) & ~np.any([contours.within(centres, h) for h in p[1:]], axis=0) if p[1:] else contours.within(centres, p[0])).astype(int) for p in polygons)
+        assert covered.tolist() == [int(v >= 0.5) for _, _, v in cells]
+
+
+def test_an_annulus_is_one_polygon_of_two_rings(spark):
+    ring = [(20.0 * math.cos(a), 55.0 + 20.0 * math.sin(a), 5.0) for a in np.linspace(0, 2 * math.pi, 120, endpoint=False)]
+    for rows, shape in ((ring, [2]), ([*ring, (0.0, 55.0, 40.0)], [1, 2])):
+        scored = spark.createDataFrame(rows, "lon double, lat double, score double")
+        (found,) = contours.contours(scored, shares=[0.01], mirror=False, bandwidth=1.0).collect()
+        assert sorted(map(len, found.coordinates)) == shape
+        assert all(r[0] == r[-1] for p in found.coordinates for r in p)
+
+
 def test_contours_are_closed_rings(spark):
     scored = spark.createDataFrame([(10.0, 65.0, 5.0), (12.0, 66.0, 7.0), (40.0, 70.0, 2.0)], "lon double, lat double, score double")
     top = contours.density(scored).agg(F.max("density")).first()[0]
