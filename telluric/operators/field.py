@@ -5,34 +5,39 @@ partial aggregation: neither the transfer tensor nor any pair is stored or shuff
 of pairs that they make. Poles are broadcast only up to MOST_POLES of them (some 30 MB), fewer where each carries the
 amplitudes of many frames; beyond, Spark deals out both sides.
 
-A fit factors each set of stations once, however many frames it has: by the Gram matrix of the smaller side, stations or
-poles, or by subspace iteration where both are large.
+A fit factors each set of stations once, however many frames it has (operators.factors). Its frames are coordinates in the bases of
+their sets, and so are predicted: the kernel is brought to a basis once, not to each frame.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telluric.functions import sphere, transfer
+from telluric.operators.factors import CELLS, FitError, Stations, binary, factored, grouped, in_tree, matrix, pseudo_inverse, summed, transfer_matrix
 from telluric.sources.schemas import CUTOFF, POINT_ALTITUDE, POLE_ALTITUDE, STATION_ALTITUDE
 from telluric.sources.scratch import folder, saved
+from telluric.sources.store import Store
+
+__all__ = ["FitError", "PoleError", "Fitted", "fit", "fit_single_pole", "fit_two_poles", "fitted", "flattened", "pairs", "predict", "pseudo_inverse", "transfer_matrix", "transfer_rows", "without_k"]
 
 MOST_POLES = 500_000
 MOST_GRAM = 4_000
 FRAMES_AT_ONCE = 200
+SETS_AT_ONCE = 32
+ROWS_AT_ONCE = 200_000
 PAIRS_AT_ONCE = 1_000_000
 
 
-class FitError(ValueError):
-    """Observations that nothing can be fitted to."""
-
-
 class PoleError(ValueError):
     """Amplitudes that don't belong to the poles."""
 
@@ -107,159 +112,95 @@ def fit_two_poles(observations: DataFrame, first: DataFrame, second: DataFrame,
     return g.select("frame_id", amp(F.col("x"), gx).alias("amp_a"), amp(F.col("y"), gy).alias("amp_b"))
 
 
-def transfer_matrix(lat: np.ndarray, lon: np.ndarray, altitude: float, poles: pd.DataFrame, pole_altitude: float) -> np.ndarray:
-    """The (3 n, m) matrix of one batch of stations, rows by station and component; the numeric form of functions.transfer."""
-    p, q = np.radians(lat)[:, None], np.radians(poles["lat"].to_numpy())[None, :]
-    d = np.radians(poles["lon"].to_numpy())[None, :] - np.radians(lon)[:, None]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        theta = np.arccos(np.sin(p) * np.sin(q) + np.cos(p) * np.cos(q) * np.cos(d))
-        alpha = np.pi / 2 - np.arctan2(np.cos(q) * np.sin(d), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(d))
-        r, s = altitude + sphere.EARTH_RADIUS, pole_altitude + sphere.EARTH_RADIUS
-        m, c = transfer.MU0_4PI / r, np.cos(theta)
-        x = s / r if altitude > pole_altitude else r / s
-        f = 1 / np.sqrt(1 - 2 * x * c + x * x)
-        if altitude > pole_altitude:
-            radial, along = m * x * (f - 1), -m * ((r - s * c) / np.sqrt(r * r - 2 * r * s * c + s * s) - 1)
-        else:
-            radial, along = m * (f - 1), -m * (f * (x - c) + c)
-        q = along / np.sin(theta)
-        t = np.stack([-q * np.sin(alpha), -q * np.cos(alpha), -radial], axis=1)
-    t[np.broadcast_to((np.sin(theta) == 0)[:, None, :], t.shape)] = 0.0
-    return t.reshape(-1, len(poles))
-
-
-def pseudo_inverse(t: np.ndarray, cutoff: float) -> np.ndarray:
-    """The truncated pseudo-inverse by singular values, for small cutoffs."""
-    u, s, v = np.linalg.svd(t, full_matrices=False)
-    keep = (s >= cutoff * s.max(initial=0.0)) & (s > 0)
-    return v[keep].T @ (u[:, keep].T / s[keep, None])
+@dataclass(frozen=True)
+class Fitted:
+    """Fitted frames, as coordinates in the basis of each one's set of stations.
 
-
-def kept_space(gram: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """(values, vectors) of a Gram matrix for eigenvalues of at least (cutoff x the largest singular value) squared; none if all are 0.
-
-    Squaring costs half the digits of a singular value, which a cutoff of 1e-6 or more allows.
+    frames: frame_id, set_id, chunk, side; factors: set_id, basis. grid has the poles in the order of the bases' rows; made is the number
+    of sets that were factored for this fit.
     """
-    values, vectors = np.linalg.eigh(gram)
-    keep = (values >= cutoff * cutoff * max(values[-1], 0.0)) & (values > 0) if len(values) else np.zeros(0, bool)
-    return values[keep], vectors[:, keep]
-
-
-def _binary(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x, "<f8").tobytes()
-
-
-class _Stations:
-    """The weighted matrix S of stations at some poles: rows of T times the root of how often a station occurs. Rows come in batches of bounded size."""
-
-    def __init__(self, grid: pd.DataFrame, altitude: float, pole_altitude: float, scale: float, cells: int = 4_000_000):
-        self.grid, self.altitude, self.pole_altitude, self.scale = grid, altitude, pole_altitude, scale
-        self.rows = max(1, cells // (3 * len(grid)))
-
-    def batches(self, stations: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
-        """(rows of stations, T)."""
-        for at in range(0, len(stations), self.rows):
-            some = slice(at, at + self.rows)
-            part = stations.iloc[some]
-            t = transfer_matrix(part["lat"].to_numpy(), part["lon"].to_numpy(), self.altitude, self.grid, self.pole_altitude) * self.scale
-            if not np.isfinite(t).all():
-                raise FitError("NaN in the transfer matrix")
-            yield some, t
-
-    def weighted(self, stations: pd.DataFrame) -> Iterator[np.ndarray]:
-        for some, t in self.batches(stations):
-            yield t * np.repeat(np.sqrt(stations["n"].to_numpy()[some]), 3)[:, None]
-
-
-def _by_stations(make: _Stations, cutoff: float):
-    """The basis of a set of few stations: with S S' = U L U', it is S' U / L."""
-
-    def run(stations: pd.DataFrame) -> pd.DataFrame:
-        s = np.concatenate(list(make.weighted(stations)))
-        values, u = kept_space(s @ s.T, cutoff)
-        return pd.DataFrame({"set_id": stations["set_id"].iloc[:1], "basis": [_binary(s.T @ u / values)]})
-
-    return run
-
-
-def _gram_parts(make: _Stations, block: int):
-    """S'S of a slice of a set's stations, in blocks of rows."""
-
-    def run(stations: pd.DataFrame) -> pd.DataFrame:
-        gram = sum(s.T @ s for s in make.weighted(stations))
-        parts = [(n, _binary(gram[at : at + block])) for n, at in enumerate(range(0, len(gram), block))]
-        return pd.DataFrame({"set_id": stations["set_id"].iloc[0], "block": [n for n, _ in parts], "gram": [g for _, g in parts]})
-
-    return run
-
 
-def _summed(parts: pd.DataFrame) -> pd.DataFrame:
-    total = reduce(np.add, (np.frombuffer(g, "<f8") for g in parts["gram"]))
-    return pd.DataFrame({"set_id": parts["set_id"].iloc[:1], "block": parts["block"].iloc[:1], "gram": [_binary(total)]})
-
-
-def _by_poles(m: int, cutoff: float):
-    """The basis V / sqrt(L) of a set, with S'S = V L V'."""
-
-    def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        gram = np.concatenate([np.frombuffer(g, "<f8").reshape(-1, m) for g in blocks.sort_values("block")["gram"]])
-        values, v = kept_space(gram, cutoff)
-        return pd.DataFrame({"set_id": blocks["set_id"].iloc[:1], "basis": [_binary(v / np.sqrt(values))]})
-
-    return run
-
-
-def _improved(m: int, cutoff: float, seed: int):
-    """One round of subspace iteration: from Q and Y = S'S Q (summed over slices) to the basis, if it has converged, or the next Q."""
-
-    def run(parts: pd.DataFrame) -> pd.DataFrame:
-        q = np.frombuffer(parts["q"].iloc[0], "<f8").reshape(m, -1)
-        y = reduce(np.add, (np.frombuffer(g, "<f8") for g in parts["y"])).reshape(m, -1)
-        values, z = np.linalg.eigh(q.T @ y)
-        x = q @ z
-        top = max(values[-1], 0.0)
-        keep = (values >= cutoff * cutoff * top) & (values > 0)
-        error = np.linalg.norm(y @ z - x * values, axis=0)
-        wide = not keep.all() or q.shape[1] == m
-        if wide and (error[keep] <= 1e-11 * top).all():
-            return pd.DataFrame({"set_id": parts["set_id"].iloc[:1], "q": [None], "basis": [_binary(x[:, keep] / np.sqrt(values[keep]))]})
-        if not wide:
-            y = np.concatenate([y, top * np.random.default_rng(seed).normal(size=(m, min(q.shape[1], m - q.shape[1])))], axis=1)
-        return pd.DataFrame({"set_id": parts["set_id"].iloc[:1], "q": [_binary(np.linalg.qr(y)[0])], "basis": [None]})
-
-    return run
-
-
-def _by_iteration(stations: DataFrame, make: _Stations, cutoff: float, width: int, rounds: int = 200) -> DataFrame:
-    """(set_id, basis) of sets with many stations at many poles: no matrix is made, only products with a few columns, slice by slice."""
-    path, m = folder(stations.sparkSession), len(make.grid)
-    rng = np.random.default_rng(3)
-    start = np.linalg.qr(rng.normal(size=(m, min(width, m))))[0]
-    stations = saved(stations, f"{path}/stations")
-    slices = saved(stations.select("set_id", "slice").distinct(), f"{path}/slices")
-    state = slices.select("set_id").distinct().select("set_id", F.lit(bytearray(_binary(start))).alias("q"), F.lit(None).cast("binary").alias("basis"))
-    done = None
-
-    def product(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        q = np.frombuffer(held["q"].iloc[0], "<f8").reshape(m, -1)
-        y = sum(s.T @ (s @ q) for s in make.weighted(own))
-        return pd.DataFrame({"set_id": [key[0]], "q": [held["q"].iloc[0]], "y": [_binary(y)]})
-
-    for turn in range(rounds):
-        held = slices.join(state.select("set_id", "q"), "set_id")
-        parts = stations.groupBy("set_id", "slice").cogroup(held.groupBy("set_id", "slice")).applyInPandas(product, "set_id long, q binary, y binary")
-        state = saved(parts.groupBy("set_id").applyInPandas(_improved(m, cutoff, turn), "set_id long, q binary, basis binary"), f"{path}/{turn}")
-        ready = state.where("q IS NULL").select("set_id", "basis")
-        done = ready if done is None else done.union(ready)
-        state = state.where("q IS NOT NULL")
-        slices = slices.join(state.select("set_id"), "set_id", "left_semi")
-        stations = stations.join(state.select("set_id"), "set_id", "left_semi")
-        if state.isEmpty():
-            return done
-    raise FitError(f"no convergence in {rounds} rounds")
-
-
-def fit(
+    frames: DataFrame
+    factors: DataFrame
+    grid: pd.DataFrame
+    pole_altitude: float
+    scale: float
+    made: int = 0
+
+    def _parts(self) -> int:
+        return min(20_000, 2 * max(1, self.frames.select("set_id", "chunk").distinct().count()))
+
+    def amplitudes(self) -> DataFrame:
+        """(frame_id, pole_idx, amp) at all poles."""
+        m, grid, scale, parts = len(self.grid), self.grid, self.scale, self._parts()
+
+        def run(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(own):
+                return pd.DataFrame({"frame_id": [], "pole_idx": [], "amp": []})
+            amp = matrix(b"".join(own["side"]), len(own["side"].iloc[0]) // 8) @ np.frombuffer(held["basis"].iloc[0], "<f8").reshape(m, -1).T * scale
+            return pd.DataFrame({"frame_id": np.repeat(own["frame_id"].to_numpy(), m), "pole_idx": np.tile(grid["pole_idx"].to_numpy(), len(own)), "amp": amp.reshape(-1)})
+
+        spread = self.factors.join(self.frames.select("set_id", F.col("chunk").alias("chunk")).distinct(), "set_id")
+        found = grouped(self.frames, parts, "set_id", "chunk").cogroup(grouped(spread, parts, "set_id", "chunk"))
+        return found.applyInPandas(run, "frame_id long, pole_idx long, amp double")
+
+    def predict(self, points: DataFrame, *, altitude: float = POINT_ALTITUDE) -> DataFrame:
+        """(frame_id, point_idx, lat, lon, i, j, k): the field at points (point_idx, lat, lon) in all frames.
+
+        The kernel at a point is computed once for every SETS_AT_ONCE sets and brought to each one's basis, which has a few dozen columns; a frame then costs a
+        product with its coordinates, however many poles there are. Points or frames that are missing give no rows.
+        """
+        m, path, scale = len(self.grid), folder(points.sparkSession), self.scale
+        make = Stations(self.grid, altitude, self.pole_altitude, scale)
+        n, sets, frames = points.count(), self.factors.count(), self.frames.count()
+        blocks = max(1, -(-n * m // CELLS), -(-n * min(frames, FRAMES_AT_ONCE) // ROWS_AT_ONCE))
+        groups = max(1, -(-sets // SETS_AT_ONCE))
+        every = lambda df, name, k: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        placed = every(points.select("point_idx", "lat", "lon", F.pmod(F.xxhash64("point_idx"), F.lit(blocks)).cast("int").alias("block")), "group", groups)
+        spread = every(self.factors.withColumn("group", F.pmod(F.xxhash64("set_id"), F.lit(groups)).cast("int")), "block", blocks)
+
+        def project(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(held):
+                return pd.DataFrame({"set_id": [], "block": [], "ids": [], "lat": [], "lon": [], "projected": []})
+            bases = [np.frombuffer(b, "<f8").reshape(m, -1) for b in held["basis"]]
+            parts = [[t @ b for b in bases] for _, t in make.batches(own, finite=False)]
+            projected = [binary(np.concatenate([p[k] for p in parts])) for k in range(len(bases))]
+            same = {name: [own[c].to_numpy()] * len(bases) for name, c in (("ids", "point_idx"), ("lat", "lat"), ("lon", "lon"))}
+            return pd.DataFrame({"set_id": held["set_id"], "block": key[0], **same, "projected": projected})
+
+        parts = min(20_000, 2 * blocks * groups)
+        kind = "set_id string, block int, ids array<long>, lat array<double>, lon array<double>, projected binary"
+        found = grouped(placed, parts, "block", "group").cogroup(grouped(spread, parts, "block", "group")).applyInPandas(project, kind)
+        found = saved(found, f"{path}/projected")
+        chunks = every(self.frames.groupBy("set_id", "chunk").agg(F.collect_list(F.struct("frame_id", "side")).alias("frames")), "block", blocks)
+        parts = min(20_000, 2 * blocks * max(1, sets))
+        units = found.repartition(parts, "set_id", "block").join(chunks.repartition(parts, "set_id", "block"), ["set_id", "block"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = batch.slice(at, 1)
+                    ids, lat, lon = (row[c].flatten() for c in ("ids", "lat", "lon"))
+                    frame = row["frames"][0].as_py()
+                    sides = np.stack([np.frombuffer(x["side"], "<f8") for x in frame], axis=1)
+                    values = np.frombuffer(row["projected"][0].as_buffer(), "<f8").reshape(3 * len(ids), -1) @ sides
+                    yield _field_rows(frame, ids, lat, lon, values.reshape(len(ids), 3, -1))
+
+        return units.select("ids", "lat", "lon", "projected", "frames").mapInArrow(run, FIELD)
+
+
+FIELD = "frame_id long, point_idx long, lat double, lon double, i double, j double, k double"
+
+
+def _field_rows(frames: list[dict], ids: pa.Array, lat: pa.Array, lon: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+    """Rows of FIELD of values by point, component and frame."""
+    n = len(frames)
+    at = pa.array(np.tile(np.arange(len(ids)), n))
+    columns = [pa.array(np.repeat(np.array([x["frame_id"] for x in frames], np.int64), len(ids))), *(c.take(at) for c in (ids, lat, lon))]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, k].T.reshape(-1)) for k in range(3))], ["frame_id", "point_idx", "lat", "lon", "i", "j", "k"])
+
+
+def fitted(
     observations: DataFrame,
     poles: DataFrame,
     *,
@@ -270,103 +211,125 @@ def fit(
     scale: float = 1e15,
     most_gram: int = MOST_GRAM,
     width: int = 96,
-) -> DataFrame:
-    """(frame_id, pole_idx, amp): amplitudes at all poles by frame, by the truncated pseudo-inverse.
-
-    Frames with the same stations, each as often, share a factorisation: of the stations' Gram matrix if that is the smaller
-    one, of the poles' (summed over slices of slice_rows stations, block by block), or, where both are larger than most_gram,
-    by subspace iteration with width columns to begin with. Observations at one place in a frame are added up first.
-    The poles go to every task, MOST_POLES of them at most. cutoff below 1e-6 is refused here, see pseudo_inverse. A NaN in
-    the matrix or the values raises FitError. Rows without a place are left out.
+    store: Store | None = None,
+) -> Fitted:
+    """Frames fitted at all poles by the truncated pseudo-inverse.
+
+    Frames with the same stations, each as often, share a factorisation, see operators.factors. With a store, factorisations are kept there
+    by what they follow from (places of the stations and how often each occurs, poles, both altitudes, cutoff), and those that it has are not made
+    again. Observations at one place in a frame are added up first. The poles go to every task, MOST_POLES of them at most. A NaN in the
+    matrix or the values raises FitError. Rows without a place or a frame are left out.
     """
-    if cutoff < 1e-6:
-        raise FitError("a cutoff below 1e-6 needs pseudo_inverse")
+    spark = observations.sparkSession
     grid = poles.select("pole_idx", "lat", "lon").orderBy("pole_idx").limit(MOST_POLES + 1).toPandas()
     if not 0 < len(grid) <= MOST_POLES:
         raise FitError(f"a fit needs 1 to {MOST_POLES} poles")
-    m, path = len(grid), folder(observations.sparkSession)
-    make = _Stations(grid, altitude, pole_altitude, scale)
+    m, path = len(grid), folder(spark)
+    make = Stations(grid, altitude, pole_altitude, scale)
     # repeated stations of a frame are summed first: their rows of T are the same
-    rows = observations.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("frame_id", "lat", "lon").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "ijk"))
-    rows = saved(rows, f"{path}/rows")
-    place = ("lat", "lon", "n")
-    frames = rows.groupBy("frame_id").agg(F.count("*").alias("stations"), F.bit_xor(F.xxhash64(F.lit(1), *place)).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), *place)).alias("y"))
-    frames = frames.select("frame_id", "stations", F.xxhash64("stations", "x", "y").alias("set_id"))
+    rows = observations.where("frame_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    rows = saved(rows.groupBy("frame_id", "lat", "lon").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "ijk")), f"{path}/rows")
+    place, setting = ("lat", "lon", "n"), hashlib.sha256(grid.to_numpy("<f8").tobytes() + repr((altitude, pole_altitude, cutoff, scale)).encode()).hexdigest()
+    frames = rows.groupBy("frame_id").agg(F.count("*").alias("stations"), *(F.bit_xor(F.xxhash64(F.lit(k), *place)).alias(f"x{k}") for k in (1, 2, 3)))
+    frames = frames.select("frame_id", "stations", F.sha2(F.concat_ws(":", "stations", "x1", "x2", "x3", F.lit(setting)), 256).alias("set_id"))
     firsts = frames.groupBy("set_id", "stations").agg(F.min("frame_id").alias("frame_id"), F.ceil(F.count("*") / FRAMES_AT_ONCE).cast("int").alias("chunks"))
     frames = saved(frames.join(firsts.select("set_id", "chunks"), "set_id").withColumn("chunk", F.pmod(F.xxhash64("frame_id"), F.col("chunks")).cast("int")), f"{path}/frames")
+    firsts = saved(firsts, f"{path}/sets")
     part = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("stations") / slice_rows)).cast("int").alias("slice")
-    stations = rows.join(firsts, "frame_id").select("set_id", "stations", part, "lat", "lon", "n")
-
-    # groups are few and large: with a partition for each, none waits for another one
-    parts = min(20_000, 2 * (firsts.agg(F.sum(F.ceil(F.col("stations") / slice_rows) * F.col("chunks"))).first()[0] or 1))
-
-    def grouped(df: DataFrame, *keys: str):
-        return df.repartition(parts, *keys).groupBy(*keys)
-
-    kind, few = "set_id long, basis binary", 3 * F.col("stations") <= min(m, most_gram)
-    factors = grouped(stations.where(few), "set_id").applyInPandas(_by_stations(make, cutoff), kind)
-    many = stations.where(~few)
-    if m <= most_gram:
-        sums = grouped(many, "set_id", "slice").applyInPandas(_gram_parts(make, max(1, (1 << 18) // m)), "set_id long, block int, gram binary")
-        sums = grouped(sums, "set_id", "block").applyInPandas(_summed, "set_id long, block int, gram binary")
-        factors = factors.union(grouped(sums, "set_id").applyInPandas(_by_poles(m, cutoff), kind))
-    elif not many.isEmpty():
-        factors = factors.union(_by_iteration(many, make, cutoff, width))
-    factors = saved(factors, f"{path}/factors")
+    units, slices = firsts.agg(F.sum(F.ceil(F.col("stations") / slice_rows) * F.col("chunks")), F.max(F.ceil(F.col("stations") / slice_rows))).first()
+    parts = min(20_000, 2 * (units or 1))
+
+    known = store.parts("factors") if store else None
+    missing = firsts if known is None else saved(firsts.join(known, "set_id", "left_anti"), f"{path}/missing")
+    made = missing.count()
+    if made or known is None:
+        stations = rows.join(missing, "frame_id").select("set_id", "stations", part, "lat", "lon", "n")
+        new = factored(stations, make, cutoff, slices=int(slices or 1), tasks=parts, most_gram=most_gram, width=width)
+        if store:
+            known = store.add("factors", new)
+        else:
+            factors = saved(new, f"{path}/factors")
+    if store:
+        # the same set may have been added by two writers at once
+        factors = saved(known.join(firsts.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), f"{path}/factors")
 
     def sides(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """Each frame's coordinates in its set's basis, of one slice of its stations."""
         if not len(own):
-            return pd.DataFrame({"frame_id": [], "side": []})
+            return pd.DataFrame({"frame_id": [], "slice": [], "side": []})
         basis = np.frombuffer(held["basis"].iloc[0], "<f8").reshape(m, -1)
         out = []
         for frame, some in own.groupby("frame_id", sort=False):
             b = some[["i", "j", "k"]].to_numpy().reshape(-1)
             if not np.isfinite(b).all():
                 raise FitError(f"frame {frame}: NaN in the observations")
-            out.append((frame, _binary(sum((t @ basis).T @ b[3 * at.start : 3 * at.stop] for at, t in make.batches(some)))))
-        return pd.DataFrame(out, columns=["frame_id", "side"])
+            out.append((frame, int(own["slice"].iloc[0]), binary(sum((t @ basis).T @ b[3 * at.start : 3 * at.stop] for at, t in make.batches(some)))))
+        return pd.DataFrame(out, columns=["frame_id", "slice", "side"])
 
-    def amplitudes(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"frame_id": [], "pole_idx": [], "amp": []})
-        basis = np.frombuffer(held["basis"].iloc[0], "<f8").reshape(m, -1)
-        out = [pd.DataFrame({"frame_id": frame, "pole_idx": grid["pole_idx"], "amp": basis @ reduce(np.add, (np.frombuffer(x, "<f8") for x in some["side"])) * scale}) for frame, some in own.groupby("frame_id")]
-        return pd.concat(out, ignore_index=True)
-
-    chunk = ["set_id", "chunk"]
+    chunk, kind = ["set_id", "chunk"], "frame_id long, slice int, side binary"
     seen = rows.join(frames, "frame_id").select(*chunk, part, "frame_id", "lat", "lon", "i", "j", "k")
     spread = firsts.join(factors, "set_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    slices = spread.withColumn("slice", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("stations") / slice_rows) - 1).cast("int"))))
-    found = grouped(seen, *chunk, "slice").cogroup(grouped(slices, *chunk, "slice")).applyInPandas(sides, "frame_id long, side binary")
-    held = found.join(frames, "frame_id").select(*chunk, "frame_id", "side")
-    return grouped(held, *chunk).cogroup(grouped(spread, *chunk)).applyInPandas(amplitudes, "frame_id long, pole_idx long, amp double")
+    cut = spread.withColumn("slice", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("stations") / slice_rows) - 1).cast("int"))))
+    found = grouped(seen, parts, *chunk, "slice").cogroup(grouped(cut, parts, *chunk, "slice")).applyInPandas(sides, kind)
+    found = in_tree(found, ["frame_id"], summed("side"), kind, int(slices or 1), parts).drop("slice")
+    frames = saved(found.join(frames, "frame_id").select("frame_id", *chunk, "side"), f"{path}/sides")
+    return Fitted(frames, factors, grid, pole_altitude, scale, made)
 
 
-def _check_poles(poles: DataFrame, amplitudes: DataFrame) -> None:
-    """Every frame has one amplitude for each pole, and for no other."""
+def fit(observations: DataFrame, poles: DataFrame, **options) -> DataFrame:
+    """(frame_id, pole_idx, amp): amplitudes at all poles by frame; see fitted."""
+    return fitted(observations, poles, **options).amplitudes()
+
+
+def _check_poles(poles: DataFrame, amplitudes: DataFrame) -> int:
+    """The number of poles; every frame has one amplitude for each of them, and for no other."""
     n = poles.count()
     known = amplitudes.join(poles.select("pole_idx", F.lit(1).alias("known")), "pole_idx", "left")
     wrong = known.groupBy("frame_id").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("known") == 1, F.col("pole_idx"))).alias("k")).where(f"n <> {n} OR k <> {n}").first()
     if wrong:
         raise PoleError(f"frame {wrong['frame_id']}: {wrong['n']} amplitudes, {wrong['k']} of them of the {n} poles")
+    return n
+
+
+def _at_once(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, frames: int, m: int, altitude: float, pole_altitude: float) -> DataFrame:
+    """predict for many frames: blocks of points against the amplitudes of some frames, as products of matrices."""
+    grid = poles.select("pole_idx", "lat", "lon").orderBy("pole_idx").toPandas()
+    make = Stations(grid, altitude, pole_altitude, 1.0)
+    chunks = -(-frames // max(1, min(FRAMES_AT_ONCE, CELLS // m)))
+    n = points.count()
+    blocks = max(1, -(-n * m // CELLS), -(-n * -(-frames // chunks) // ROWS_AT_ONCE))
+    by = F.struct("point_idx", "lat", "lon")
+    placed = points.groupBy(F.pmod(F.xxhash64("point_idx"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(by).alias("points"))
+    # pole by pole in the order of the grid, which _check_poles has made sure of
+    rows = amplitudes.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pole_idx", "amp"))), lambda x: x["amp"]).alias("amp"))
+    given = rows.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("frame_id", "amp")).alias("frames"))
+    parts = min(20_000, 2 * blocks * chunks)
+    left = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(parts, "block", "chunk")
+    right = given.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "block", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, frame = batch["points"].slice(at, 1).flatten(), batch["frames"].slice(at, 1).flatten()
+                amp = frame.field("amp").flatten().to_numpy().reshape(len(frame), m).T
+                place = pd.DataFrame({"lat": own.field("lat").to_numpy(), "lon": own.field("lon").to_numpy()})
+                values = np.concatenate([t @ amp for _, t in make.batches(place, finite=False)])
+                yield _field_rows([{"frame_id": x.as_py()} for x in frame.field("frame_id")], own.field("point_idx"), own.field("lat"), own.field("lon"), values.reshape(len(own), 3, -1))
+
+    return left.join(right, ["block", "chunk"]).select("points", "frames").mapInArrow(run, FIELD)
 
 
 def predict(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, *, altitude: float = POINT_ALTITUDE, pole_altitude: float = POLE_ALTITUDE) -> DataFrame:
     """(frame_id, point_idx, lat, lon, i, j, k): the field at each point and frame.
 
-    points: point_idx, lat, lon; poles: pole_idx, lat, lon; amplitudes: frame_id, pole_idx, amp. A frame whose amplitudes aren't
-    those of the poles, one each, raises PoleError; without any frame there is no field and no row.
+    points: point_idx, lat, lon; poles: pole_idx, lat, lon; amplitudes: frame_id, pole_idx, amp, which are computed once. A frame whose amplitudes aren't
+    those of the poles, one each, raises PoleError; without any frame there is no field and no row. Frames that were fitted here are
+    predicted at less cost by Fitted.predict.
     """
-    _check_poles(poles, amplitudes)
-    frames = amplitudes.select("frame_id").distinct()
-    n = frames.count()
-    if n == 1:
-        given, keys, amp = amplitudes.select("pole_idx", "frame_id", "amp"), ["frame_id", "amp"], MOST_POLES
-    else:
-        part = F.pmod(F.xxhash64("frame_id"), F.lit(max(1, -(-n // FRAMES_AT_ONCE))))
-        # the kernel of a pair is the same in all frames: a pole comes once with the amplitudes of some hundred frames
-        given, keys, amp = amplitudes.groupBy("pole_idx", part.alias("part")).agg(F.collect_list(F.struct("frame_id", "amp")).alias("frames")), ["frames"], MOST_POLES // 100
-    rows = transfer_rows(points, altitude, poles.join(given, "pole_idx"), pole_altitude, ["point_idx", "lat", "lon"], keys, most=amp)
-    t = rows if n == 1 else rows.select("point_idx", "lat", "lon", F.explode("frames").alias("f"), "t_i", "t_j", "t_k").select("point_idx", "lat", "lon", "f.frame_id", "f.amp", "t_i", "t_j", "t_k")
-    return t.groupBy("frame_id", "point_idx", "lat", "lon").agg(*(F.sum(F.col("amp") * F.col(f"t_{c}")).alias(c) for c in "ijk"))
+    amplitudes = saved(amplitudes.select("frame_id", "pole_idx", "amp"), f"{folder(points.sparkSession)}/amplitudes")
+    m = _check_poles(poles, amplitudes)
+    n = amplitudes.select("frame_id").distinct().count()
+    if n > 1 and m <= MOST_POLES:
+        return _at_once(points, poles, amplitudes, n, m, altitude, pole_altitude)
+    rows = transfer_rows(points, altitude, poles.join(amplitudes, "pole_idx"), pole_altitude, ["point_idx", "lat", "lon"], ["frame_id", "amp"])
+    return rows.groupBy("frame_id", "point_idx", "lat", "lon").agg(*(F.sum(F.col("amp") * F.col(f"t_{c}")).alias(c) for c in "ijk"))
