@@ -161,7 +161,7 @@ class Fitted:
 
         def project(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(own) or not len(held):
-                return pd.DataFrame({"set_id": [], "block": [], "ids": [], "lat": [], "lon": [], "projected": []})
+                return pd.DataFrame({"set_id": [], "block": [], "ids": [], "lat": [], "lon": [], "projected": []}, dtype=object)
             bases = [np.frombuffer(b, "<f8").reshape(m, -1) for b in held["basis"]]
             parts = [[t @ b for b in bases] for _, t in make.batches(own, finite=False)]
             projected = [binary(np.concatenate([p[k] for p in parts])) for k in range(len(bases))]

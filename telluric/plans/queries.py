@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores, sphere
-from telluric.operators import contours, field, grid, scoring
+from telluric.operators import contours, factors, field, grid, scoring
 from telluric.plans import workload
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
 
 #: One pole, and two that are near one another, for the closed forms.
 ONE, NEAR = (65.013, -70.017), (61.013, -95.017)
 TESLA = 1e15
+SMALL = 1e-10
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 6, scale: float = 1.0) -> DataFrame:
@@ -90,12 +91,37 @@ def fit_multi_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(field.fit(field.without_k(workload.observations(spark, sf_dir)), workload.poles(spark, sf_dir)), ["amp"], 3, 1e-9)
 
 
+def _two_poles(spark: SparkSession) -> DataFrame:
+    return _pole(spark, ONE).union(_pole(spark, NEAR, 1))
+
+
+def fit_small_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two poles by the general fit, with a cutoff that singular values themselves are needed for."""
+    return _near(field.fit(field.without_k(workload.observations(spark, sf_dir)), _two_poles(spark), cutoff=SMALL), ["amp"], 3, 1e-9)
+
+
+def pseudo_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-inverse of each frame's matrix at two poles: weights of every row."""
+    rows = field.transfer_rows(workload.observations(spark, sf_dir), 0.0, _two_poles(spark), 110e3, ["frame_id", "obs_idx"], ["pole_idx"])
+    both = rows.groupBy("frame_id", "obs_idx").agg(*(F.array(*(F.max(F.when(F.col("pole_idx") == n, F.col(c))) * TESLA for n in (0, 1))).alias(c) for c in ("t_i", "t_j", "t_k")))
+    flat = both.select("frame_id", F.col("obs_idx"), F.posexplode(F.array("t_i", "t_j", "t_k")).alias("pos", "cells"))
+    found = factors.inverse_rows(flat.select(F.col("frame_id").alias("set_id"), (F.col("obs_idx") * 3 + F.col("pos")).alias("row"), "cells"), 0.1)
+    out = found.select(F.col("set_id").cast("long").alias("frame_id"), "row", F.col("weights")[0].alias("weight_a"), F.col("weights")[1].alias("weight_b"))
+    return _near(out, ["weight_a", "weight_b"], 3, 1e9)
+
+
+def fit_predict_two_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field of two poles, fitted by frame, at all points through the bases of the fit."""
+    fitted = field.fitted(field.without_k(workload.observations(spark, sf_dir)), _two_poles(spark))
+    return _near(fitted.predict(workload.points(spark, sf_dir)).drop("lat", "lon"), ["i", "j", "k"], 4)
+
+
 def fit_predict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard setting at its full size: 2,500 poles fitted to all stations as one frame, the field at 4,810 points, scores and codes."""
     observations = field.without_k(workload.observations(spark, sf_dir)).withColumn("frame_id", F.lit(1).cast("long"))
     poles = grid.geographical_grid(spark, *POLE_GRID).withColumnRenamed("idx", "pole_idx")
     points = grid.geographical_grid(spark, *POINT_GRID).withColumnRenamed("idx", "point_idx")
-    scored = scoring.zone_weighted(scoring.into_scores(field.predict(points, poles, field.fit(observations, poles))))
+    scored = scoring.zone_weighted(scoring.into_scores(field.fitted(observations, poles).predict(points)))
     return scored.select("frame_id", "point_idx", "lat", "lon", "i", "j", "k", "score", scores.encode(F.col("score")).alias("code"))
 
 
@@ -117,9 +143,8 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_predict_single_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: fit by frame, predict, score, weight, encode."""
-    predicted = _predicted(spark, sf_dir).withColumns({c: F.round(c, 6) for c in "ijk"})
-    scored = scoring.zone_weighted(scoring.into_scores(predicted))
-    out = scored.withColumn("score", F.round("score", 5)).withColumn("code", scores.encode(F.round(F.col("score"), 2)))
+    scored = scoring.zone_weighted(scoring.into_scores(_near(_predicted(spark, sf_dir), ["i", "j", "k"])))
+    out = _near(scored, ["score"], 5).withColumn("code", scores.encode(F.floor(F.col("score") * 100.0 + 0.5) / 100.0))
     return out.select("frame_id", "point_idx", "i", "j", "k", "score", "code")
 
 
@@ -212,7 +237,7 @@ def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_predict_grid,
+        grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_small_cutoff, pseudo_inverse, fit_predict_two_pole, fit_predict_grid,
         predict_fixed_amps, fit_predict_single_pole, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
         merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons, contour_rings,
     )
@@ -376,16 +401,38 @@ def _rings_sql(doublings: int = 14) -> str:
         SELECT round(value, 5) AS value, area < 0 AS hole, CAST(vertices AS INTEGER) AS vertices, round(area, 5) AS area, round(coalesce(outer_area, area), 5) AS outer_area FROM z LEFT JOIN m USING (ring)"""
 
 
-def _two_pole_sql() -> str:
-    both = "u AS (SELECT t.frame_id, t.i, t.j, t.t_i AS ai, t.t_j AS aj, t.t_k AS ak, w.t_i AS bi, w.t_j AS bj, w.t_k AS bk FROM t JOIN w USING (frame_id, obs_idx))"
+def _two_pole_ctes(cutoff: float = 0.1) -> str:
+    """Up to f: by frame the sums over both columns and the observations, and the eigenvalues."""
+    both = "u AS MATERIALIZED (SELECT t.frame_id, obs_idx, t.i, t.j, t.t_i AS ai, t.t_j AS aj, t.t_k AS ak, w.t_i AS bi, w.t_j AS bj, w.t_k AS bk FROM t JOIN w USING (frame_id, obs_idx))"
     s = _d(1e30)
     return f"""WITH o AS ({OBS}), {_column(ONE, 't')}, {_column(NEAR, 'w')}, {both},
         g AS (SELECT frame_id, sum((ai * ai + aj * aj + ak * ak) * {s}) AS p, sum((bi * bi + bj * bj + bk * bk) * {s}) AS r, sum((ai * bi + aj * bj + ak * bk) * {s}) AS q,
                      sum((ai * i + aj * j) * {_d(1e15)}) AS x, sum((bi * i + bj * j) * {_d(1e15)}) AS y FROM u GROUP BY frame_id),
         e AS (SELECT *, (p + r) / 2 + sqrt(((p - r) / 2) ** 2 + q * q) AS l1, (p + r) / 2 - sqrt(((p - r) / 2) ** 2 + q * q) AS l2 FROM g),
-        f AS (SELECT *, CASE WHEN l2 >= {_d(0.1 * 0.1)} * l1 THEN 1 / l2 ELSE 0 END AS keep, p * x + q * y AS gx, q * x + r * y AS gy FROM e)
-        SELECT frame_id, round(((gx - l2 * x) / (l1 - l2) / l1 + (l1 * x - gx) / (l1 - l2) * keep) * {_d(1e15)} * {_d(1e-9)}, 3) AS amp_a,
-               round(((gy - l2 * y) / (l1 - l2) / l1 + (l1 * y - gy) / (l1 - l2) * keep) * {_d(1e15)} * {_d(1e-9)}, 3) AS amp_b FROM f"""
+        f AS (SELECT *, CASE WHEN l2 >= {_d(cutoff * cutoff)} * l1 THEN 1 / l2 ELSE 0 END AS keep, p * x + q * y AS gx, q * x + r * y AS gy FROM e)"""
+
+
+def _inverse(v: str, gv: str) -> str:
+    """One component of the inverse, on the kept space, times a vector with that component v; gv: of the Gram matrix times it."""
+    return f"((({gv}) - l2 * {v}) / (l1 - l2) / l1 + (l1 * {v} - ({gv})) / (l1 - l2) * keep)"
+
+
+def _two_pole_sql(cutoff: float = 0.1) -> str:
+    amp = f"* {_d(1e15)} * {_d(1e-9)}"
+    return f"{_two_pole_ctes(cutoff)} SELECT frame_id, round({_inverse('x', 'gx')} {amp}, 3) AS amp_a, round({_inverse('y', 'gy')} {amp}, 3) AS amp_b FROM f"
+
+
+def _inverse_rows_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT frame_id, obs_idx * 3 + {n} AS row, a{c} * {_d(1e15)} AS a, b{c} * {_d(1e15)} AS b FROM u" for n, c in enumerate("ijk"))
+    return f"""{_two_pole_ctes()}, c AS ({rows}) SELECT frame_id, row, round({_inverse('a', 'p * a + q * b')} * {_d(1e9)}, 3) AS weight_a,
+        round({_inverse('b', 'q * a + r * b')} * {_d(1e9)}, 3) AS weight_b FROM c JOIN f USING (frame_id)"""
+
+
+def _predict_two_pole_sql() -> str:
+    at = " UNION ALL ".join(f"SELECT {n} AS pole_idx, {_d(x)} AS lat, {_d(y)} AS lon" for n, (x, y) in enumerate((ONE, NEAR)))
+    return f"""{_two_pole_ctes()}, pt AS ({POINTS}), pa AS (SELECT point_idx, pole_idx, {_angles('pt')} FROM pt, ({at}) AS s), k AS (SELECT point_idx, pole_idx, {_t(110e3, 110e3)} FROM pa),
+        amp AS (SELECT frame_id, 0 AS pole_idx, {_inverse('x', 'gx')} * {_d(1e15)} AS amp FROM f UNION ALL SELECT frame_id, 1, {_inverse('y', 'gy')} * {_d(1e15)} FROM f)
+        SELECT frame_id, point_idx, round(sum(amp * t_i), 4) AS i, round(sum(amp * t_j), 4) AS j, round(sum(amp * t_k), 4) AS k FROM amp JOIN k USING (pole_idx) GROUP BY frame_id, point_idx"""
 
 
 ORACLE_SQL = {
@@ -403,6 +450,9 @@ ORACLE_SQL = {
         UNION ALL SELECT frame_id, obs_idx * 3 + 1, round(j, 6) FROM o UNION ALL SELECT frame_id, obs_idx * 3 + 2, {_d(0.0)} FROM o""",
     "fit_single_pole": f"WITH {SINGLE} SELECT frame_id, CAST(0 AS BIGINT) AS pole_idx, round(amp * {_d(1e-9)}, 3) AS amp FROM fit",
     "fit_two_pole": _two_pole_sql(),
+    "fit_small_cutoff": " UNION ALL ".join(f"SELECT frame_id, CAST({n} AS BIGINT) AS pole_idx, amp_{c} AS amp FROM ({_two_pole_sql(SMALL)})" for n, c in enumerate("ab")),
+    "pseudo_inverse": _inverse_rows_sql(),
+    "fit_predict_two_pole": _predict_two_pole_sql(),
     "predict_fixed_amps": f"""WITH p AS ({POINTS}), s AS ({POLES}), a AS (SELECT point_idx, p.lat, p.lon, (pole_idx * 7919 % 2001 - 1000) * {_d(1e11)} AS amp, {_angles()} FROM p, s),
         t AS (SELECT point_idx, lat, lon, amp, {_t(110e3, 110e3)} FROM a)
         SELECT point_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, round(sum(amp * t_i), 4) AS i, round(sum(amp * t_j), 4) AS j, round(sum(amp * t_k), 4) AS k FROM t GROUP BY point_idx, lat, lon""",

@@ -7,7 +7,7 @@ from compare import assert_same
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores
-from telluric.operators import contours, field, grid, scoring
+from telluric.operators import contours, factors, field, grid, scoring
 from telluric.plans import queries
 from telluric.plans.engine import Engine, NotFitted
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
@@ -158,6 +158,93 @@ def test_production_size(spark):
     assert len(got) == 4810 and got[["i", "j", "k"]].to_numpy()[::37].reshape(-1) == pytest.approx(t @ want, rel=1e-5, abs=1e-5)
 
 
+def _inverse_of(spark, t, cutoff, **options):
+    rows = spark.createDataFrame([("x", n, [float(v) for v in r]) for n, r in enumerate(t)], "set_id string, row long, cells array<double>")
+    return np.array([r.weights for r in factors.inverse_rows(rows, cutoff, **options).orderBy("row").collect()]).T
+
+
+@pytest.mark.parametrize("columns", [1, 4])
+def test_inverse_of_rows_by_a_tree_of_triangles(spark, columns):
+    """A hundred rows in slices of two to five: seven levels of values down to 1e-9 of the largest, kept and cut."""
+    rng = np.random.default_rng(columns)
+    u, _, v = np.linalg.svd(rng.normal(size=(100, columns)), full_matrices=False)
+    d = 10.0 ** -np.arange(0, 3 * columns, 3)
+    t = u * d @ v
+    for cutoff in (1e-10, 1e-4):
+        keep = d >= cutoff
+        got, want = _inverse_of(spark, t, cutoff, slice_rows=3), v[keep].T / d[keep] @ u[:, keep].T
+        assert np.linalg.norm(got - want) <= 1e-5 * np.linalg.norm(want)
+    assert factors.inverse_rows(spark.createDataFrame([], "set_id string, row long, cells array<double>"), 0.1).collect() == []
+
+
+def test_fit_with_a_small_cutoff(spark):
+    """Both sides' small case, and slices joined in a tree, against the singular values of the whole matrix."""
+    rng = np.random.default_rng(31)
+    for n, m in ((4, 30), (60, 8)):
+        stations = np.column_stack([rng.uniform(40, 80, n), rng.uniform(-170, 30, n), rng.normal(0, 100, (n, 3))])
+        pole_rows = list(zip(rng.uniform(45, 85, m), rng.uniform(-170, 35, m), strict=True))
+        t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+        want = field.pseudo_inverse(t, 1e-10) @ stations[:, 2:].reshape(-1)
+        got = [x.amp for x in field.fit(observations(spark, stations.tolist()), places(spark, pole_rows, "pole_idx"), cutoff=1e-10, slice_rows=5).orderBy("pole_idx").collect()]
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-5 * np.abs(want).max())
+
+
+def test_prediction_through_the_basis(spark, monkeypatch):
+    rng = np.random.default_rng(33)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(40, 80, 12), rng.uniform(-170, 30, 12), strict=True)]
+    rows = [(f, k, *at[k], *map(float, rng.normal(0, 100, 3))) for f in range(12) for k in range(12 if f % 3 else 8)]
+    obs = spark.createDataFrame(rows, "frame_id long, obs_idx long, lat double, lon double, i double, j double, k double")
+    poles = places(spark, list(zip(rng.uniform(45, 85, 40), rng.uniform(-170, 35, 40), strict=True)), "pole_idx")
+    points = places(spark, list(zip(rng.uniform(45, 85, 50), rng.uniform(-180, 179, 50), strict=True)), "point_idx")
+    for small in (False, True):
+        if small:
+            for module, name, value in ((field, "FRAMES_AT_ONCE", 3), (field, "SETS_AT_ONCE", 1), (field, "CELLS", 500), (field, "ROWS_AT_ONCE", 40)):
+                monkeypatch.setattr(module, name, value)
+        fitted = field.fitted(obs, poles)
+        amplitudes = fitted.amplitudes()
+        got = fitted.predict(points).toPandas().sort_values(["frame_id", "point_idx"])[["lat", "lon", "i", "j", "k"]].to_numpy()
+        want = field.predict(points, poles, amplitudes).toPandas().sort_values(["frame_id", "point_idx"])[["lat", "lon", "i", "j", "k"]].to_numpy()
+        alone = field.predict(points, poles, amplitudes.where("frame_id = 7")).toPandas().sort_values("point_idx")[["i", "j", "k"]].to_numpy()
+        assert len(got) == 600 and fitted.factors.count() == 2
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9 * np.abs(want[:, 2:]).max())
+        assert want[350:400, 2:] == pytest.approx(alone, rel=1e-9, abs=1e-9 * np.abs(alone).max())
+    assert field.fitted(obs, poles).predict(points.limit(0)).collect() == []
+
+
+def test_factors_are_kept_by_what_they_follow_from(spark, tmp_path):
+    rng = np.random.default_rng(35)
+    stations = np.column_stack([rng.uniform(40, 80, 6), rng.uniform(-170, 30, 6), rng.normal(0, 100, (6, 3))]).tolist()
+    obs, poles, store = observations(spark, stations), places(spark, [(50, 40), (60, -50), (70, 10)], "pole_idx"), Store(spark, f"{tmp_path}/store")
+    first = field.fitted(obs, poles, store=store)
+    again = field.fitted(observations(spark, stations[::-1]).withColumn("i", F.col("i") * 2), poles, store=store)
+    assert (first.made, again.made, len(store.versions("factors"))) == (1, 0, 1)
+    fresh = [r.amp for r in field.fit(observations(spark, stations).withColumn("i", F.col("i") * 2), poles).orderBy("pole_idx").collect()]
+    assert [r.amp for r in again.amplitudes().orderBy("pole_idx").collect()] == pytest.approx(fresh)
+    others = ({"altitude": 10.0}, {"pole_altitude": 100e3}, {"cutoff": 0.2})
+    assert [field.fitted(obs, poles, store=store, **o).made for o in others] == [1, 1, 1]
+    assert field.fitted(obs, poles.where("pole_idx < 2"), store=store).made == 1
+    assert field.fitted(obs.where("obs_idx > 0"), poles, store=store).made == 1
+    assert field.fitted(obs.union(obs.limit(1)), poles, store=store).made == 1
+    assert field.fitted(obs.limit(0), poles, store=store).made == 0 and store.parts("factors").count() == 7
+
+
+def test_iteration_over_many_slices(spark):
+    """Subspace iteration with slices and blocks of rows joined in trees, and more columns than it began with."""
+    rng = np.random.default_rng(37)
+    n, m = 70, 50
+    stations = np.column_stack([rng.uniform(40, 80, n), rng.uniform(-170, 30, n), rng.normal(0, 100, (n, 3))])
+    pole_rows = list(zip(rng.uniform(45, 85, m), rng.uniform(-170, 35, m), strict=True))
+    grid_ = pd.DataFrame([(k, *p) for k, p in enumerate(pole_rows)], columns=["pole_idx", "lat", "lon"])
+    rows = [("s", n, k % 11, float(a), float(b), 1) for k, (a, b) in enumerate(stations[:, :2])]
+    sliced = spark.createDataFrame(rows, "set_id string, stations long, slice int, lat double, lon double, n long")
+    make = factors.Stations(grid_, 0.0, 110e3, 1e15)
+    (row,) = factors.factored(sliced, make, 0.1, slices=11, tasks=4, most_gram=10, width=3, block=30).collect()
+    basis = factors.matrix(row.basis, len(row.basis) // 8 // m)
+    t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, grid_, 110e3)
+    want = field.pseudo_inverse(t, 0.1) * 1e15**-1
+    assert basis @ basis.T @ (t * 1e15).T == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
+
+
 def test_pseudo_inverse_properties():
     """The identities of a truncated pseudo-inverse, on one column and on four."""
     rng = np.random.default_rng(12)
