@@ -1,6 +1,6 @@
-"""Contour polygons of scores: rotation, density on a grid of whole degrees, marching squares.
+"""Contour polygons of scores: rotation, density on a grid of degrees or parts of them, marching squares, rings and their holes.
 
-The density grid has 360 x 180 cells at most whatever the input, so all that follows the first aggregation is small.
+The density grid has 360 x 180 / cell^2 cells at most whatever the input, so all that follows the first aggregation is small.
 """
 
 from __future__ import annotations
@@ -28,31 +28,36 @@ def mirrored(scores: DataFrame) -> DataFrame:
     return scores.select("lon", "lat", "score").unionByName(scores.select(lon.alias("lon"), lat.alias("lat"), "score"))
 
 
-def density(scores: DataFrame, *, power: bool = True, bandwidth: float = BANDWIDTH, cell: int = 1) -> DataFrame:
+def cells_of(cell: float) -> tuple[int, int]:
+    """(columns, rows) of the grid with cells of so many degrees."""
+    high = round(HEIGHT / cell) if cell > 0 else 0
+    if not high or abs(high * cell - HEIGHT) > 1e-9:
+        raise ValueError("cell divides 180 degrees")
+    return 2 * high, high
+
+
+def density(scores: DataFrame, *, power: bool = True, bandwidth: float = BANDWIDTH, cell: float = 1) -> DataFrame:
     """(x, y, density): the weights of the rotated points in cells of so many degrees, smoothed by a Gaussian of bandwidth degrees, 3 of them wide.
 
-    cell divides 180. A cell's density is that of one degree squared.
+    cell divides 180 and may be a part of a degree. A cell's density is that of one degree squared. The Gaussian is the product of one along x and
+    one along y, so rows are spread along x, added up, and then spread along y: twice 6 bandwidths / cell rows for each cell and not the square of that.
     """
-    if cell < 1 or HEIGHT % cell:
-        raise ValueError("cell is a divisor of 180")
-    wide, high, sigma = WIDTH // cell, HEIGHT // cell, bandwidth / cell
+    (wide, high), sigma = cells_of(cell), bandwidth / cell
     lon, lat = rotations.rotate(F.col("lon"), rotations.shift(F.col("lat")))
     cells = (
         scores.select(lon.alias("lon"), lat.alias("lat"), weight(F.col("score"), power).alias("w"))
         .where("NOT isnan(lon) AND NOT isnan(lat) AND NOT isnan(w) AND w > 0")
-        .groupBy(F.least(F.floor(F.col("lon") / cell), F.lit(wide - 1)).alias("cx"), F.least(F.floor((F.col("lat") + 90.0) / cell), F.lit(high - 1)).alias("cy"))
+        .groupBy(F.least(F.floor(F.col("lon") / cell), F.lit(wide - 1)).alias("x"), F.least(F.floor((F.col("lat") + 90.0) / cell), F.lit(high - 1)).alias("y"))
         .agg(F.sum("w").alias("w"))
     )
     reach = math.ceil(3 * sigma)
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = cells.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-    kernel = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2.0 * sigma * sigma)) / (2.0 * math.pi * bandwidth * bandwidth)
-    return (
-        spread.select((F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"), (F.col("w") * kernel).alias("w"))
-        .where(f"x BETWEEN 0 AND {wide - 1} AND y BETWEEN 0 AND {high - 1}")
-        .groupBy("x", "y")
-        .agg(F.sum("w").alias("density"))
-    )
+
+    def spread(rows: DataFrame, name: str, most: int) -> DataFrame:
+        kernel = F.exp(-(F.col("d") * F.col("d")) / (2.0 * sigma * sigma)) / (math.sqrt(2.0 * math.pi) * bandwidth)
+        moved = rows.withColumn("d", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumns({name: F.col(name) + F.col("d"), "w": F.col("w") * kernel})
+        return moved.where(f"{name} BETWEEN 0 AND {most - 1}").groupBy("x", "y").agg(F.sum("w").alias("w"))
+
+    return spread(spread(cells, "x", wide), "y", high).withColumnRenamed("w", "density")
 
 
 def even_thresholds(top: Column, n: int) -> Column:
@@ -193,7 +198,7 @@ def ring_areas(found: DataFrame) -> DataFrame:
 
 
 def contours(
-    scores: DataFrame, thresholds: list[float] | int = 20, *, shares: list[float] | None = None, power: bool = True, mirror: bool = True, bandwidth: float = BANDWIDTH, cell: int = 1
+    scores: DataFrame, thresholds: list[float] | int = 20, *, shares: list[float] | None = None, power: bool = True, mirror: bool = True, bandwidth: float = BANDWIDTH, cell: float = 1
 ) -> DataFrame:
     """(value, coordinates): a multipolygon of [lon, lat] for each threshold above 0 that the density reaches; see segments and density.
 
@@ -202,7 +207,7 @@ def contours(
     grid = density(mirrored(scores) if mirror else scores, power=power, bandwidth=bandwidth, cell=cell)
 
     def place(p: Column) -> Column:
-        lon, lat = rotations.unrotate(p[0] * cell, p[1] * cell - 90.0)
+        lon, lat = rotations.unrotate(p[0] * float(cell), p[1] * float(cell) - 90.0)
         return F.array(lon, rotations.unshift(lat))
 
     placed = polygons(grid, thresholds, shares).withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, place)))

@@ -32,6 +32,8 @@ __all__ = ["FitError", "PoleError", "Fitted", "fit", "fit_single_pole", "fit_two
 
 MOST_POLES = 500_000
 MOST_GRAM = 4_000
+#: Transfer matrices are fitted times this, which brings them near 1.
+SCALE = 1e15
 FRAMES_AT_ONCE = 200
 SETS_AT_ONCE = 32
 ROWS_AT_ONCE = 200_000
@@ -200,6 +202,14 @@ def _field_rows(frames: list[dict], ids: pa.Array, lat: pa.Array, lon: pa.Array,
     return pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, k].T.reshape(-1)) for k in range(3))], ["frame_id", "point_idx", "lat", "lon", "i", "j", "k"])
 
 
+def pole_grid(poles: DataFrame) -> pd.DataFrame:
+    """The poles in order, for the rows of bases."""
+    grid = poles.select("pole_idx", "lat", "lon").orderBy("pole_idx").limit(MOST_POLES + 1).toPandas()
+    if not 0 < len(grid) <= MOST_POLES:
+        raise FitError(f"a fit needs 1 to {MOST_POLES} poles")
+    return grid
+
+
 def fitted(
     observations: DataFrame,
     poles: DataFrame,
@@ -208,7 +218,7 @@ def fitted(
     pole_altitude: float = POLE_ALTITUDE,
     cutoff: float = CUTOFF,
     slice_rows: int = 20_000,
-    scale: float = 1e15,
+    scale: float = SCALE,
     most_gram: int = MOST_GRAM,
     width: int = 96,
     store: Store | None = None,
@@ -217,18 +227,17 @@ def fitted(
 
     Frames with the same stations, each as often, share a factorisation, see operators.factors. With a store, factorisations are kept there
     by what they follow from (places of the stations and how often each occurs, poles, both altitudes, cutoff), and those that it has are not made
-    again. Observations at one place in a frame are added up first. The poles go to every task, MOST_POLES of them at most. A NaN in the
+    again. Observations at one place in a frame are added up first; where observations have a column n, a row is the sum of so many already. The poles go to every task, MOST_POLES of them at most. A NaN in the
     matrix or the values raises FitError. Rows without a place or a frame are left out.
     """
     spark = observations.sparkSession
-    grid = poles.select("pole_idx", "lat", "lon").orderBy("pole_idx").limit(MOST_POLES + 1).toPandas()
-    if not 0 < len(grid) <= MOST_POLES:
-        raise FitError(f"a fit needs 1 to {MOST_POLES} poles")
+    grid = pole_grid(poles)
     m, path = len(grid), folder(spark)
     make = Stations(grid, altitude, pole_altitude, scale)
     # repeated stations of a frame are summed first: their rows of T are the same
+    count = F.sum("n") if "n" in observations.columns else F.count("*")
     rows = observations.where("frame_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
-    rows = saved(rows.groupBy("frame_id", "lat", "lon").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "ijk")), f"{path}/rows")
+    rows = saved(rows.groupBy("frame_id", "lat", "lon").agg(count.alias("n"), *(F.sum(c).alias(c) for c in "ijk")), f"{path}/rows")
     place, setting = ("lat", "lon", "n"), hashlib.sha256(grid.to_numpy("<f8").tobytes() + repr((altitude, pole_altitude, cutoff, scale)).encode()).hexdigest()
     frames = rows.groupBy("frame_id").agg(F.count("*").alias("stations"), *(F.bit_xor(F.xxhash64(F.lit(k), *place)).alias(f"x{k}") for k in (1, 2, 3)))
     frames = frames.select("frame_id", "stations", F.sha2(F.concat_ws(":", "stations", "x1", "x2", "x3", F.lit(setting)), 256).alias("set_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores, sphere
-from telluric.operators import contours, factors, field, grid, scoring
+from telluric.operators import contours, derivative, factors, field, grid, scoring
 from telluric.plans import workload
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
 
@@ -19,6 +19,7 @@ from telluric.sources.schemas import POINT_GRID, POLE_GRID
 ONE, NEAR = (65.013, -70.017), (61.013, -95.017)
 TESLA = 1e15
 SMALL = 1e-10
+GAP = 21_600.0
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 6, scale: float = 1.0) -> DataFrame:
@@ -125,6 +126,12 @@ def fit_predict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("frame_id", "point_idx", "lat", "lon", "i", "j", "k", "score", scores.encode(F.col("score")).alias("code"))
 
 
+def derivative_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fast the components change at each station that was heard within six hours before, per minute."""
+    found = derivative.derivatives(workload.observations(spark, sf_dir, also=("ts",)), gap=GAP)
+    return _near(found.select("frame_id", "obs_idx", "i", "j", "k"), ["i", "j", "k"])
+
+
 def _fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions from amplitudes that are given by the poles' numbers."""
     poles = workload.poles(spark, sf_dir)
@@ -238,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_small_cutoff, pseudo_inverse, fit_predict_two_pole, fit_predict_grid,
-        predict_fixed_amps, fit_predict_single_pole, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
+        predict_fixed_amps, fit_predict_single_pole, derivative_vectors, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
         merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons, contour_rings,
     )
 }
@@ -461,6 +468,12 @@ ORACLE_SQL = {
         v AS (SELECT frame_id, point_idx, lat, lon, round(amp * t_i, 6) AS i, round(amp * t_j, 6) AS j, round(amp * t_k, 6) AS k FROM fit, pt),
         z AS (SELECT *, round({_field_score('i')} * ({_zone(_flat())}), 5) AS score FROM v)
         SELECT frame_id, point_idx, i, j, k, score, {_code('round(score, 2)')} AS code FROM z""",
+    "derivative_vectors": f"""WITH o AS ({OBS.replace('SELECT', 'SELECT ts,', 1)}),
+        a AS (SELECT lat, lon, ts, min(frame_id) AS frame_id, min(obs_idx) AS obs_idx, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM o GROUP BY lat, lon, ts),
+        b AS (SELECT *, last_value(ts) OVER w AS t0, last_value(i) OVER w AS i0, last_value(j) OVER w AS j0, last_value(k) OVER w AS k0 FROM a
+              WINDOW w AS (PARTITION BY lat, lon ORDER BY epoch_us(ts) RANGE BETWEEN {round(GAP * 1e6)} PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT *, (epoch_us(ts) - epoch_us(t0)) / {_d(60e6)} AS minutes FROM b WHERE t0 IS NOT NULL)
+        SELECT frame_id, obs_idx, round((i - i0) / minutes, 6) AS i, round((j - j0) / minutes, 6) AS j, round((k - k0) / minutes, 6) AS k FROM c""",
     "score_abs": f"SELECT obs_idx, round({_field_score('i')}, 6) AS score FROM ({OBS})",
     "score_derivative": f"SELECT obs_idx, round({_derivative_score('i')}, 6) AS score FROM ({OBS})",
     "approx_distance": f"SELECT point_idx, round({_flat()}, 4) AS distance FROM ({POINTS})",

@@ -25,8 +25,8 @@ def poles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.cast("long").alias("pole_idx"), (45.013 + (k * 53 % 397) / 10.0).alias("lat"), (-170.017 + (k * 71 % 2043) / 10.0).alias("lon"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, obs_idx, lat, lon, i, j, k) from events: a frame is a day, a station a user."""
+def observations(spark: SparkSession, sf_dir: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(frame_id, obs_idx, lat, lon, i, j, k) from events, and columns of theirs besides: a frame is a day, a station a user."""
     k, sign = F.col("user_id"), 1.0 - 2.0 * (F.col("event_id") % 2)
     return table(spark, sf_dir, "events").select(
         F.dayofmonth("ts").cast("long").alias("frame_id"),
@@ -36,4 +36,5 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sign * F.col("value")).alias("i"),
         (sign * F.col("value") * -0.5).alias("j"),
         (F.col("value") * 0.25).alias("k"),
+        *also,
     )

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ from compare import assert_same
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores
-from telluric.operators import contours, factors, field, grid, scoring
+from telluric.operators import contours, derivative, factors, field, grid, scoring
 from telluric.plans import queries
 from telluric.plans.engine import Engine, NotFitted
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
@@ -450,3 +451,111 @@ def test_stream_scores_every_frame(spark, tmp_path):
     query = score_frames(stream, places(spark, [(50, 40), (60, 50)], "pole_idx"), places(spark, [(55, 45)], "point_idx"), f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(120)
     assert sorted(r.frame_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def _events(spark, rows):
+    return spark.createDataFrame([(f, n, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=t)).to_pydatetime(), lat, lon, *v) for n, (f, t, lat, lon, v) in enumerate(rows)], "frame_id long, obs_idx long, ts timestamp, lat double, lon double, i double, j double, k double")
+
+
+def test_derivatives_by_station_and_gap(spark):
+    at = (50.0, 10.0)
+    rows = [(1, 0, *at, (1.0, 2.0, 3.0)), (1, 30, *at, (4.0, 0.0, None)), (2, 30, *at, (6.0, 0.0, None)), (2, 700, *at, (0.0, 0.0, 0.0)), (2, 760, *at, (9.0, 1.0, 0.0)), (1, 31, 60.0, 10.0, (5.0, 5.0, 5.0))]
+    got = [(r.frame_id, r.obs_idx, r.i, r.j, r.k) for r in derivative.derivatives(_events(spark, rows), gap=600).orderBy("obs_idx").collect()]
+    assert got == [(1, 1, pytest.approx(8.0), pytest.approx(-4.0), None), (2, 4, pytest.approx(9.0), pytest.approx(1.0), 0.0)]
+    assert [r.obs_idx for r in derivative.derivatives(_events(spark, rows), gap=700).orderBy("obs_idx").collect()] == [1, 3, 4]
+    assert derivative.derivatives(_events(spark, rows).limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        derivative.derivatives(_events(spark, rows), gap=60, block=30)
+
+
+def test_derivatives_dont_depend_on_blocks(spark):
+    rng = np.random.default_rng(41)
+    rows = [(1, int(t), float(40 + s), 0.0, (float(v), 0.0, 0.0)) for s, t, v in zip(rng.integers(0, 3, 300), rng.integers(0, 20_000, 300), rng.normal(size=300), strict=True)]
+    want: dict[tuple, list] = {}
+    for n, (_, t, lat, _, (i, _, _)) in enumerate(rows):
+        want.setdefault((lat, t), []).append((n, i))
+    for block in (100.0, 3_000.0, None):
+        got = {r.obs_idx: r.i for r in derivative.derivatives(_events(spark, rows), gap=100, unit=1, block=block).collect()}
+        own = {}
+        for (lat, t), found in want.items():
+            before = [u for (l, u) in want if l == lat and t - 100 <= u < t]
+            if before:
+                mean = lambda x: sum(i for _, i in x) / len(x)
+                own[min(n for n, _ in found)] = (mean(found) - mean(want[lat, max(before)])) / (t - max(before))
+        assert got == pytest.approx(own)
+
+
+def test_density_in_parts_of_a_degree(spark):
+    """Against the whole kernel, cell by cell; and rings of the same place and size whatever the cell."""
+    scored = spark.createDataFrame([(10.0, 65.0, 5.0), (12.0, 66.0, 7.0), (40.0, 70.0, 2.0)], "lon double, lat double, score double")
+    for cell in (0.25, 3.0):
+        wide, high = contours.cells_of(cell)
+        lon, lat = rotations.rotate(F.col("lon"), rotations.shift(F.col("lat")))
+        want = np.zeros((wide, high))
+        reach = math.ceil(6 / cell)
+        d = np.arange(-reach, reach + 1)
+        kernel = np.exp(-(d[:, None] ** 2 + d**2) * cell**2 / 8) / (8 * math.pi)
+        for x, y, w in scored.select(lon, lat, F.pow("score", F.lit(1.5))).collect():
+            a, b = int(x / cell), int((y + 90) / cell)
+            for i in d[(a + d >= 0) & (a + d < wide)]:
+                own = d[(b + d >= 0) & (b + d < high)]
+                want[a + i, b + own] += w * kernel[i + reach, own + reach]
+        got = np.zeros((wide, high))
+        for r in contours.density(scored, cell=cell).collect():
+            got[r.x, r.y] = r.density
+        assert got == pytest.approx(want, rel=1e-12, abs=1e-300)
+    level = [want.max() / 2]
+    sizes = {c: [r.area * c * c for r in contours.ring_areas(contours.polygons(contours.density(scored, cell=c), level)).collect()] for c in (0.25, 0.5, 1)}
+    assert sum(sizes[0.25]) == pytest.approx(sum(sizes[0.5]), rel=0.02) and sum(sizes[0.25]) == pytest.approx(sum(sizes[1]), rel=0.1)
+    for cell in (7, 0.7, 0, -1):
+        with pytest.raises(ValueError):
+            contours.density(scored, cell=cell)
+
+
+def test_a_frame_over_two_batches_is_fitted_once(spark, tmp_path):
+    """A frame that arrives in two files, out of order, equals its fit in one piece; what comes after its frame is gone is counted."""
+    from telluric.streaming.stream import LateRows, score_events
+
+    rng = np.random.default_rng(43)
+    rows = [(1, t, float(lat), float(lon), tuple(map(float, rng.normal(0, 100, 3)))) for t, lat, lon in ((5, 40, 50), (70, 50, 60), (20, 50, 60), (40, 45, 55), (65, 40, 50), (20, 50, 60), (400, 40, 50), (10, 60, 70), (900, 41, 51))]
+    obs = _events(spark, rows)
+    poles, points = places(spark, [(50, 40), (60, 50)], "pole_idx"), places(spark, [(55, 45)], "point_idx")
+    files = [obs.where("obs_idx < 3"), obs.where("obs_idx BETWEEN 3 AND 6"), obs.where("obs_idx = 7"), obs.where("obs_idx = 8")]
+    for n, part in enumerate(files):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    late = LateRows()
+    spark.streams.addListener(late)
+    for n in range(len(files)):
+        # the same checkpoint: each start goes on with one more file
+        (tmp_path / "seen").mkdir(exist_ok=True)
+        stream = spark.readStream.schema(obs.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/seen")
+        (tmp_path / "in" / str(n)).rename(tmp_path / "seen" / str(n))
+        query = score_events(stream, poles, points, f"{tmp_path}/out", f"{tmp_path}/check", frame="1 minute", late="2 minutes", kept=f"{tmp_path}/kept")
+        query.awaitTermination(180)
+    got = {r.frame_id: r.score for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == spark.read.parquet(f"{tmp_path}/out").count()
+    base = pd.Timestamp("2024-01-01", tz="UTC").timestamp()
+    want = {}
+    for frame in (0, 1, 6):
+        own = field.without_k(obs.where(f"obs_idx <> 7 AND floor((unix_seconds(ts) - {int(base)}) / 60) = {frame}")).withColumn("frame_id", F.lit(int(base) + 60 * frame).cast("long"))
+        found = scoring.zone_weighted(scoring.into_scores(field.predict(points, poles, field.fit(own, poles)))).first()
+        want[int(base) + 60 * frame] = found.score
+    assert got == pytest.approx(want)
+    for _ in range(100):  # listeners are told after the query
+        if late.dropped:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert sum(late.dropped.values()) == 1
+
+
+def test_engine_factors_the_same_stations_once(spark, tmp_path):
+    poles, points = places(spark, [(50, 40), (60, 50)], "pole_idx"), places(spark, [(55, 45), (65, 40)], "point_idx")
+    engine = Engine(spark, f"{tmp_path}/engine", poles, points)
+    obs = observations(spark, [(40, 50, 100, 300, 5), (50, 60, 200, 400, 6)])
+    for factor in (1.0, 2.0):
+        engine.fit_obs(obs.withColumns({c: F.col(c) * factor for c in "ij"}))
+    assert len(engine.state.versions("factors")) == 1
+    got = [(r.i, r.j, r.k) for r in engine.predict().orderBy("point_idx").collect()]
+    direct = field.predict(points, poles, field.fit(field.without_k(obs.withColumns({c: F.col(c) * 2 for c in "ij"})), poles)).orderBy("point_idx").collect()
+    assert got == [pytest.approx((r.i, r.j, r.k), rel=1e-9) for r in direct]
