@@ -245,15 +245,17 @@ def fitted(
     frames = saved(frames.join(firsts.select("set_id", "chunks"), "set_id").withColumn("chunk", F.pmod(F.xxhash64("frame_id"), F.col("chunks")).cast("int")), f"{path}/frames")
     firsts = saved(firsts, f"{path}/sets")
     part = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("stations") / slice_rows)).cast("int").alias("slice")
-    units, slices = firsts.agg(F.sum(F.ceil(F.col("stations") / slice_rows) * F.col("chunks")), F.max(F.ceil(F.col("stations") / slice_rows))).first()
+    units, slices, made = firsts.agg(F.sum(F.ceil(F.col("stations") / slice_rows) * F.col("chunks")), F.max(F.ceil(F.col("stations") / slice_rows)), F.count("*")).first()
     parts = min(20_000, 2 * (units or 1))
 
     known = store.parts("factors") if store else None
-    missing = firsts if known is None else saved(firsts.join(known, "set_id", "left_anti"), f"{path}/missing")
-    made = missing.count()
+    missing = firsts
+    if known is not None:
+        missing = saved(firsts.join(known, "set_id", "left_anti"), f"{path}/missing")
+        made = missing.count()
     if made or known is None:
         stations = rows.join(missing, "frame_id").select("set_id", "stations", part, "lat", "lon", "n")
-        new = factored(stations, make, cutoff, slices=int(slices or 1), tasks=parts, most_gram=most_gram, width=width)
+        new = factored(stations, make, cutoff, slice_rows=slice_rows, slices=int(slices or 1), tasks=parts, most_gram=most_gram, width=width)
         if store:
             known = store.add("factors", new)
         else:
@@ -290,14 +292,15 @@ def fit(observations: DataFrame, poles: DataFrame, **options) -> DataFrame:
     return fitted(observations, poles, **options).amplitudes()
 
 
-def _check_poles(poles: DataFrame, amplitudes: DataFrame) -> int:
-    """The number of poles; every frame has one amplitude for each of them, and for no other."""
-    n = poles.count()
+def check_poles(poles: DataFrame, amplitudes: DataFrame) -> tuple[int, int]:
+    """How many poles and frames there are; every frame has one amplitude for each pole, and for no other."""
+    m = poles.count()
     known = amplitudes.join(poles.select("pole_idx", F.lit(1).alias("known")), "pole_idx", "left")
-    wrong = known.groupBy("frame_id").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("known") == 1, F.col("pole_idx"))).alias("k")).where(f"n <> {n} OR k <> {n}").first()
+    sizes = known.groupBy("frame_id").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("known") == 1, F.col("pole_idx"))).alias("k"))
+    frames, wrong = sizes.agg(F.count("*"), F.first(F.when(F.expr(f"n <> {m} OR k <> {m}"), F.struct("frame_id", "n", "k")), ignorenulls=True)).first()
     if wrong:
-        raise PoleError(f"frame {wrong['frame_id']}: {wrong['n']} amplitudes, {wrong['k']} of them of the {n} poles")
-    return n
+        raise PoleError(f"frame {wrong['frame_id']}: {wrong['n']} amplitudes, {wrong['k']} of them of the {m} poles")
+    return m, frames
 
 
 def _at_once(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, frames: int, m: int, altitude: float, pole_altitude: float) -> DataFrame:
@@ -309,7 +312,7 @@ def _at_once(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, frames:
     blocks = max(1, -(-n * m // CELLS), -(-n * -(-frames // chunks) // ROWS_AT_ONCE))
     by = F.struct("point_idx", "lat", "lon")
     placed = points.groupBy(F.pmod(F.xxhash64("point_idx"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(by).alias("points"))
-    # pole by pole in the order of the grid, which _check_poles has made sure of
+    # pole by pole in the order of the grid, which check_poles has made sure of
     rows = amplitudes.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pole_idx", "amp"))), lambda x: x["amp"]).alias("amp"))
     given = rows.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("frame_id", "amp")).alias("frames"))
     parts = min(20_000, 2 * blocks * chunks)
@@ -336,8 +339,7 @@ def predict(points: DataFrame, poles: DataFrame, amplitudes: DataFrame, *, altit
     predicted at less cost by Fitted.predict.
     """
     amplitudes = saved(amplitudes.select("frame_id", "pole_idx", "amp"), f"{folder(points.sparkSession)}/amplitudes")
-    m = _check_poles(poles, amplitudes)
-    n = amplitudes.select("frame_id").distinct().count()
+    m, n = check_poles(poles, amplitudes)
     if n > 1 and m <= MOST_POLES:
         return _at_once(points, poles, amplitudes, n, m, altitude, pole_altitude)
     rows = transfer_rows(points, altitude, poles.join(amplitudes, "pole_idx"), pole_altitude, ["point_idx", "lat", "lon"], ["frame_id", "amp"])

@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telluric.functions import rotations, scores, sphere
-from telluric.operators import contours, derivative, factors, field, grid, scoring
+from telluric.operators import contours, derivative, factors, farfield, field, grid, scoring
 from telluric.plans import workload
+from telluric.sources import regions
 from telluric.sources.schemas import POINT_GRID, POLE_GRID
+from telluric.sources.scratch import folder
 
 #: One pole, and two that are near one another, for the closed forms.
 ONE, NEAR = (65.013, -70.017), (61.013, -95.017)
 TESLA = 1e15
 SMALL = 1e-10
 GAP = 21_600.0
+BOX = ((52.0, 63.5), (-130.0, -55.0))
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 6, scale: float = 1.0) -> DataFrame:
@@ -143,6 +146,23 @@ def predict_fixed_amps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_fixed(spark, sf_dir), ["lat", "lon", "i", "j", "k"], 4).drop("frame_id")
 
 
+def predict_far_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As predict_fixed_amps, by cells of poles."""
+    poles = workload.poles(spark, sf_dir)
+    amplitudes = poles.select(F.lit(1).cast("long").alias("frame_id"), "pole_idx", ((F.col("pole_idx") * 7919 % 2001 - 1000) * 1e11).alias("amp"))
+    found = farfield.predict_far(workload.points(spark, sf_dir), poles, amplitudes, nodes=14, level=3)
+    return _near(found, ["lat", "lon", "i", "j", "k"], 4).drop("frame_id")
+
+
+def predict_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict_fixed_amps for the points of a box, from points stored by cell: the files of other cells are not read."""
+    path, poles = f"{folder(spark)}/points", workload.poles(spark, sf_dir)
+    regions.write_cells(workload.points(spark, sf_dir), path)
+    amplitudes = poles.select(F.lit(1).cast("long").alias("frame_id"), "pole_idx", ((F.col("pole_idx") * 7919 % 2001 - 1000) * 1e11).alias("amp"))
+    found = field.predict(regions.read_region(spark, path, *BOX), poles, amplitudes)
+    return _near(found, ["lat", "lon", "i", "j", "k"], 4).drop("frame_id")
+
+
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field of one pole, fitted by frame, at all points."""
     return field.predict(workload.points(spark, sf_dir), _pole(spark, ONE), _single(spark, sf_dir))
@@ -245,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         grid_points, angular_distance, bearing, transfer_under, transfer_over, obs_zero_k, obs_flatten, fit_single_pole, fit_two_pole, fit_multi_pole, fit_small_cutoff, pseudo_inverse, fit_predict_two_pole, fit_predict_grid,
-        predict_fixed_amps, fit_predict_single_pole, derivative_vectors, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
+        predict_fixed_amps, predict_far_field, predict_region, fit_predict_single_pole, derivative_vectors, score_abs, score_derivative, approx_distance, auroral_weight, score_weighted, encode_scores,
         merge_max_scores, contour_rotate, contour_invert, contour_mirror, contour_weight, contour_density, contour_polygons, contour_rings,
     )
 }
@@ -442,6 +462,12 @@ def _predict_two_pole_sql() -> str:
         SELECT frame_id, point_idx, round(sum(amp * t_i), 4) AS i, round(sum(amp * t_j), 4) AS j, round(sum(amp * t_k), 4) AS k FROM amp JOIN k USING (pole_idx) GROUP BY frame_id, point_idx"""
 
 
+def _fixed_sql(where: str = "") -> str:
+    return f"""WITH p AS (SELECT * FROM ({POINTS}) {where}), s AS ({POLES}), a AS (SELECT point_idx, p.lat, p.lon, (pole_idx * 7919 % 2001 - 1000) * {_d(1e11)} AS amp, {_angles()} FROM p, s),
+        t AS (SELECT point_idx, lat, lon, amp, {_t(110e3, 110e3)} FROM a)
+        SELECT point_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, round(sum(amp * t_i), 4) AS i, round(sum(amp * t_j), 4) AS j, round(sum(amp * t_k), 4) AS k FROM t GROUP BY point_idx, lat, lon"""
+
+
 ORACLE_SQL = {
     "grid_points": f"""WITH p AS ({POINTS}), n AS (
             SELECT CAST(least(greatest(round((lat - 45) / {_d((85.0 - 45.0) / 36)}), 0), 36) AS BIGINT) * 130
@@ -460,9 +486,9 @@ ORACLE_SQL = {
     "fit_small_cutoff": " UNION ALL ".join(f"SELECT frame_id, CAST({n} AS BIGINT) AS pole_idx, amp_{c} AS amp FROM ({_two_pole_sql(SMALL)})" for n, c in enumerate("ab")),
     "pseudo_inverse": _inverse_rows_sql(),
     "fit_predict_two_pole": _predict_two_pole_sql(),
-    "predict_fixed_amps": f"""WITH p AS ({POINTS}), s AS ({POLES}), a AS (SELECT point_idx, p.lat, p.lon, (pole_idx * 7919 % 2001 - 1000) * {_d(1e11)} AS amp, {_angles()} FROM p, s),
-        t AS (SELECT point_idx, lat, lon, amp, {_t(110e3, 110e3)} FROM a)
-        SELECT point_idx, round(lat, 4) AS lat, round(lon, 4) AS lon, round(sum(amp * t_i), 4) AS i, round(sum(amp * t_j), 4) AS j, round(sum(amp * t_k), 4) AS k FROM t GROUP BY point_idx, lat, lon""",
+    "predict_fixed_amps": _fixed_sql(),
+    "predict_far_field": _fixed_sql(),
+    "predict_region": _fixed_sql(f"WHERE lat BETWEEN {BOX[0][0]} AND {BOX[0][1]} AND lon BETWEEN {BOX[1][0]} AND {BOX[1][1]}"),
     "fit_predict_single_pole": f"""WITH {SINGLE}, p AS ({POINTS}), pa AS (SELECT point_idx, p.lat, p.lon, {_angles()} FROM p, (SELECT {_d(ONE[0])} AS lat, {_d(ONE[1])} AS lon) AS s),
         pt AS (SELECT point_idx, lat, lon, {_t(110e3, 110e3)} FROM pa),
         v AS (SELECT frame_id, point_idx, lat, lon, round(amp * t_i, 6) AS i, round(amp * t_j, 6) AS j, round(amp * t_k, 6) AS k FROM fit, pt),

@@ -239,13 +239,25 @@ def test_iteration_over_many_slices(spark):
     rows = [("s", n, k % 11, float(a), float(b), 1) for k, (a, b) in enumerate(stations[:, :2])]
     sliced = spark.createDataFrame(rows, "set_id string, stations long, slice int, lat double, lon double, n long")
     make = factors.Stations(grid_, 0.0, 110e3, 1e15)
-    (row,) = factors.factored(sliced, make, 0.1, slices=11, tasks=4, most_gram=10, width=3, block=30).collect()
+    (row,) = factors.factored(sliced, make, 0.1, slice_rows=8, slices=11, tasks=4, most_gram=10, width=3, block=30).collect()
     basis = factors.matrix(row.basis, len(row.basis) // 8 // m)
     t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, grid_, 110e3)
     want = field.pseudo_inverse(t, 0.1) * 1e15**-1
     assert basis @ basis.T @ (t * 1e15).T == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
 
 
+def test_leading_eigenpairs_equal_all():
+    rng = np.random.default_rng(45)
+    u = np.linalg.qr(rng.normal(size=(600, 600)))[0]
+    for d in (2.0 ** -np.arange(600.0), 1.0 / (1 + np.arange(600.0)), np.ones(600)):
+        gram = u * np.maximum(d, 1e-18) @ u.T
+        values, vectors = factors.kept_space(gram, 0.1)
+        n = int((d >= 0.01 * (1 - 1e-9)).sum())
+        assert values[::-1][: n - 1] == pytest.approx(d[: n - 1]) and len(values) in (n - 1, n)
+        space = vectors @ vectors.T
+        assert space == pytest.approx(u[:, : len(values)] @ u[:, : len(values)].T, abs=1e-6)
+
+
 def test_pseudo_inverse_properties():
     """The identities of a truncated pseudo-inverse, on one column and on four."""
     rng = np.random.default_rng(12)
