@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telluric.functions import sphere, transfer
-from telluric.operators.factors import CELLS, FitError, Stations, binary, factored, grouped, in_tree, matrix, pseudo_inverse, summed, transfer_matrix
+from telluric.operators.factors import (
+    CELLS, FitError, Stations, bases_of, binary, factored, grouped, in_tree, matrix, nearest_sets, pseudo_inverse, summed, transfer_matrix, updated_grams, whole_grams,
+)
 from telluric.sources.schemas import CUTOFF, POINT_ALTITUDE, POLE_ALTITUDE, STATION_ALTITUDE
 from telluric.sources.scratch import folder, saved
 from telluric.sources.store import Store
@@ -119,7 +121,7 @@ class Fitted:
     """Fitted frames, as coordinates in the basis of each one's set of stations.
 
     frames: frame_id, set_id, chunk, side; factors: set_id, basis. grid has the poles in the order of the bases' rows; made is the number
-    of sets that were factored for this fit.
+    of sets that were factored for this fit, updated that of those whose Gram matrix came from a kept one.
     """
 
     frames: DataFrame
@@ -128,6 +130,7 @@ class Fitted:
     pole_altitude: float
     scale: float
     made: int = 0
+    updated: int = 0
 
     def _parts(self) -> int:
         return min(20_000, 2 * max(1, self.frames.select("set_id", "chunk").distinct().count()))
@@ -210,6 +213,33 @@ def pole_grid(poles: DataFrame) -> pd.DataFrame:
     return grid
 
 
+def setting_of(grid: pd.DataFrame, *numbers: float) -> str:
+    """What poles and numbers make a factorisation one's own."""
+    return hashlib.sha256(grid.to_numpy("<f8").tobytes() + repr(numbers).encode()).hexdigest()
+
+
+def _by_neighbours(store: Store, stations: DataFrame, make: Stations, setting: str, cutoff: float, changes: int, slices: int, tasks: int, path: str) -> tuple[DataFrame, int, DataFrame]:
+    """(set_id and basis of sets with many stations, how many of them were updated from a kept one, the stations of the other sets).
+
+    Their Gram matrices and stations are added to the store.
+    """
+    many = saved(stations.where(F.col("stations") >= make.columns()), f"{path}/many")
+    members = many.select("set_id", "lat", "lon", "n")
+    known, grams, fresh, updated = store.parts("members"), store.parts("grams"), many, 0
+    found = None
+    if known is not None and grams is not None:
+        own = F.col("setting") == setting
+        nearest = nearest_sets(members, known.where(own).select("set_id", "lat", "lon", "n").distinct(), changes, path)
+        updated = nearest.select("set_id").distinct().count()
+        found = updated_grams(nearest, grams.where(own).dropDuplicates(["set_id"]).select("set_id", "gram"), make, tasks)
+        fresh = many.join(nearest.select("set_id").distinct(), "set_id", "left_anti")
+    new = whole_grams(fresh, make, slices=slices, tasks=tasks)
+    new = saved(new if found is None else new.union(found), f"{path}/grams")
+    store.add("members", members.withColumn("setting", F.lit(setting)))
+    store.add("grams", new.withColumn("setting", F.lit(setting)))
+    return bases_of(new, make.columns(), cutoff), updated, stations.where(F.col("stations") < make.columns())
+
+
 def fitted(
     observations: DataFrame,
     poles: DataFrame,
@@ -222,6 +252,7 @@ def fitted(
     most_gram: int = MOST_GRAM,
     width: int = 96,
     store: Store | None = None,
+    changes: int = 0,
 ) -> Fitted:
     """Frames fitted at all poles by the truncated pseudo-inverse.
 
@@ -229,6 +260,10 @@ def fitted(
     by what they follow from (places of the stations and how often each occurs, poles, both altitudes, cutoff), and those that it has are not made
     again. Observations at one place in a frame are added up first; where observations have a column n, a row is the sum of so many already. The poles go to every task, MOST_POLES of them at most. A NaN in the
     matrix or the values raises FitError. Rows without a place or a frame are left out.
+
+    With a store and changes above 0, the Gram matrices of sets with as many stations as poles or more (poles up to
+    most_gram, cutoff of 1e-6 or more) are kept too: a set that differs from a kept one in at most changes stations gets its own by
+    adding and taking away their rows, without a pass over its other stations.
     """
     spark = observations.sparkSession
     grid = pole_grid(poles)
@@ -238,7 +273,7 @@ def fitted(
     count = F.sum("n") if "n" in observations.columns else F.count("*")
     rows = observations.where("frame_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
     rows = saved(rows.groupBy("frame_id", "lat", "lon").agg(count.alias("n"), *(F.sum(c).alias(c) for c in "ijk")), f"{path}/rows")
-    place, setting = ("lat", "lon", "n"), hashlib.sha256(grid.to_numpy("<f8").tobytes() + repr((altitude, pole_altitude, cutoff, scale)).encode()).hexdigest()
+    place, setting = ("lat", "lon", "n"), setting_of(grid, altitude, pole_altitude, scale, cutoff)
     frames = rows.groupBy("frame_id").agg(F.count("*").alias("stations"), *(F.bit_xor(F.xxhash64(F.lit(k), *place)).alias(f"x{k}") for k in (1, 2, 3)))
     frames = frames.select("frame_id", "stations", F.sha2(F.concat_ws(":", "stations", "x1", "x2", "x3", F.lit(setting)), 256).alias("set_id"))
     firsts = frames.groupBy("set_id", "stations").agg(F.min("frame_id").alias("frame_id"), F.ceil(F.count("*") / FRAMES_AT_ONCE).cast("int").alias("chunks"))
@@ -249,13 +284,18 @@ def fitted(
     parts = min(20_000, 2 * (units or 1))
 
     known = store.parts("factors") if store else None
-    missing = firsts
+    missing, updated = firsts, 0
     if known is not None:
         missing = saved(firsts.join(known, "set_id", "left_anti"), f"{path}/missing")
         made = missing.count()
     if made or known is None:
         stations = rows.join(missing, "frame_id").select("set_id", "stations", part, "lat", "lon", "n")
+        derived = None
+        if store and changes and m <= most_gram and cutoff >= 1e-6:
+            derived, updated, stations = _by_neighbours(store, stations, make, setting_of(grid, altitude, pole_altitude, scale), cutoff, changes, int(slices or 1), parts, path)
+            made -= updated
         new = factored(stations, make, cutoff, slice_rows=slice_rows, slices=int(slices or 1), tasks=parts, most_gram=most_gram, width=width)
+        new = new if derived is None else new.union(derived)
         if store:
             known = store.add("factors", new)
         else:
@@ -284,7 +324,7 @@ def fitted(
     found = grouped(seen, parts, *chunk, "slice").cogroup(grouped(cut, parts, *chunk, "slice")).applyInPandas(sides, kind)
     found = in_tree(found, ["frame_id"], summed("side"), kind, int(slices or 1), parts).drop("slice")
     frames = saved(found.join(frames, "frame_id").select("frame_id", *chunk, "side"), f"{path}/sides")
-    return Fitted(frames, factors, grid, pole_altitude, scale, made)
+    return Fitted(frames, factors, grid, pole_altitude, scale, made, updated)
 
 
 def fit(observations: DataFrame, poles: DataFrame, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telluric.operators import factors, farfield, field
 from telluric.sources import regions
+from telluric.sources.store import Store
 
 
 def test_far_field_of_many_poles(spark):
@@ -116,3 +117,28 @@ def test_given_pseudo_inverses(spark, cells, inverse, columns, error):
     for size in (20_000, 2):
         got = np.array([r.weights for r in factors.inverse_rows(rows, 0.05, slice_rows=size).orderBy("row").collect()]).T
         assert got == pytest.approx(want, rel=max(error, 1e-11))
+
+
+def test_sets_that_differ_by_a_few_stations_are_updated(spark, tmp_path):
+    rng = np.random.default_rng(57)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(40, 80, 40), rng.uniform(-170, 30, 40), strict=True)]
+    poles = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(45, 85, 9), rng.uniform(-170, 35, 9), strict=True))], "pole_idx long, lat double, lon double")
+    store = Store(spark, f"{tmp_path}/store")
+
+    def frames(*members):
+        rows = [(f, n, *at[k], *map(float, rng.normal(0, 100, 3))) for f, own in enumerate(members) for n, k in enumerate(own)]
+        return spark.createDataFrame(rows, "frame_id long, obs_idx long, lat double, lon double, i double, j double, k double")
+
+    first = field.fitted(frames(range(20)), poles, store=store, changes=2)
+    assert (first.made, first.updated) == (1, 0)
+    # one less, one more, one twice, three others (too many), a set of its own, and one of few stations
+    obs = frames(range(1, 20), range(21), [*range(20), 4], [*range(17), 21, 22, 23], range(20, 40), range(3))
+    second = field.fitted(obs, poles, store=store, changes=2)
+    assert (second.made, second.updated) == (3, 3)
+    want = field.fit(obs, poles).toPandas().sort_values(["frame_id", "pole_idx"])["amp"].to_numpy()
+    got = second.amplitudes().toPandas().sort_values(["frame_id", "pole_idx"])["amp"].to_numpy()
+    assert len(got) == 54 and got == pytest.approx(want, rel=1e-8, abs=1e-8 * np.abs(want).max())
+    # another cutoff is the same Gram matrix; the third set is one less than an updated one
+    third = field.fitted(frames(range(20), range(2, 20)), poles, store=store, changes=2, cutoff=0.2)
+    assert (third.made, third.updated) == (0, 2)
+    assert field.fitted(frames(range(20)), poles, store=store, changes=2, pole_altitude=100e3).updated == 0
