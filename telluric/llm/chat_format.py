@@ -97,7 +97,12 @@ def chat_format(conversations: DataFrame, *, block: int = 64, open_mark: str = "
     seen = saved(witnesses(prefix), f"{path}/witnesses")
     kept = saved(seen.join(confirmed(prefix, seen), "conv_id", "left_anti").select("conv_id", "n_turns"), f"{path}/maximal")
     line = F.concat(F.lit(open_mark), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(close_mark + "\n"))
-    lines = turns.select("conv_id", *BLOCKS, F.struct("k", line.alias("line")).alias("x"))
-    blocks = lines.join(kept, "conv_id").groupBy("conv_id", "n_turns", *BLOCKS).agg(F.sort_array(F.collect_list("x")).alias("x"))
-    texts = blocks.select("conv_id", "n_turns", F.struct(*BLOCKS, F.array_join(F.col("x.line"), "").alias("text")).alias("b"))
-    return texts.groupBy("conv_id", "n_turns").agg(F.array_join(F.sort_array(F.collect_list("b"))["text"], "").alias("text"))
+    lines = turns.select("conv_id", *BLOCKS, "k", line.alias("line"))
+    # what fits into a few blocks is put together at once, the rest block by block
+    short = F.col("n_turns") <= 4 * block
+    whole = lines.join(kept.where(short), "conv_id").groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct(*BLOCKS, "k", "line"))).alias("x"))
+    blocks = lines.join(kept.where(~short), "conv_id").groupBy("conv_id", "n_turns", *BLOCKS).agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("x"))
+    texts = blocks.select("conv_id", "n_turns", F.struct(*BLOCKS, F.array_join(F.col("x.line"), "").alias("line")).alias("b"))
+    texts = texts.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list("b")).alias("x"))
+    rendered = ["conv_id", "n_turns", F.array_join(F.col("x.line"), "").alias("text")]
+    return whole.select(*rendered).union(texts.select(*rendered))
