@@ -213,7 +213,8 @@ def periodic_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A run is a longest stretch of words in which words one period apart are the same, of at least length words and exponent (2 or
     more) times its smallest period. collapsed has the words, joined by one space, without those that some run holds beyond its first period.
     Null and empty texts have no words and no runs. Rows are judged one by one: ids may be of any type, null or repeated. Other
-    columns, whatever their names, are left aside. Empty tables give empty results.
+    columns, whatever their names, are left aside. Empty tables give empty results. A text is taken whole: one with runs of millions of words takes a task some
+    hundred bytes a word.
     """
     if length < 1 or exponent < 2:
         raise ValueError("runs have one word and two periods at least")

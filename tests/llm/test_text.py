@@ -154,7 +154,9 @@ def test_quality_of_odd_documents(spark):
     post = quality.posterior(np.array([(1,) * 7, (0,) * 7, (-1,) * 7]), share, rate)
     assert post[0] > 0.9 and post[1] < 0.05 and abs(post[2] - share[1:].sum()) < 1e-6
     long = spark.createDataFrame([(k, t) for k in (1, 1, 2) for t in ("word " * 200_000, "x" * 300_000, "Some sound words, said once. " * 3)], "doc_id long, text string")
-    assert quality.quality(long).count() == 9 and quality.sound(long).where("text LIKE 'word%'").count() in (0, 3)
+    # one word over and over is junk; one word of 300,000 letters gives no labeller anything to judge and stays, as sound sentences do
+    assert quality.quality(long).count() == 9
+    assert sorted(r.text[:4] for r in quality.sound(long).collect()) == ["Some"] * 3 + ["xxxx"] * 3
 
 
 def test_quality_estimates_accuracies():
