@@ -11,7 +11,9 @@ document enters by the witness of its worst sentence, the word that the present
 are chosen anew after each fit. The first function comes from words that toxic documents have significantly more often, near copies counted
 once, against a spread of others. Witnesses are positive examples where the function is positive
 and the word isn't as common in clean documents; in a clean sentence every word is a negative one, and those that the function
-scores highest are added in each round. Positive examples weigh by the number of their documents. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2) with landmarks from both sides. As the decision
+scores highest are added in each round. Positive examples weigh by the number of their documents. Virtual examples (DeCoste and
+Schölkopf, "Training Invariant Support Vector Machines", 2002) say that a letter put in changes nothing: positive words are positive
+with any letter at any place inside as well. A linear SVM is fitted on the Nyström features K(s, Z) K(Z, Z)^(-1/2) with landmarks from both sides. As the decision
 function is a sum of kernels with the landmarks, it folds into one weight for each character triple.
 
 Scoring. Every distinct word of a whole text is scored; a logistic function of the text's highest scores gives the
@@ -115,13 +117,29 @@ def kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks: int = 320, rounds: int = 1500) -> tuple[np.ndarray, float]:
+def gapped(words: dict[str, float], share: float = 0.5, letters: int = 8) -> dict[str, float]:
+    """Words with a letter put in, some letters for each place inside a word; those of one word weigh a share of it together."""
+    out: dict[str, float] = {}
+    for word, weight in words.items():
+        places = [(i, k) for i in range(1, len(word)) for k in range(letters)]
+        for i, k in places:
+            letter = chr(97 + xxhash.xxh32_intdigest(f"{k} {i} {word}".encode("utf-8", "surrogatepass")) % 26)
+            made = word[:i] + letter + word[i:]
+            out[made] = out.get(made, 0.0) + share * weight / len(places)
+    return out
+
+
+def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks: int = 320, rounds: int = 1500, virtual: int = 6_000) -> tuple[np.ndarray, float]:
     """(weight of each triple, bias) of the SVM on Nyström features, from words with their weights as examples.
 
-    The first of either side are the landmarks. Without examples of both sides the function is never positive.
+    The first of either side are the landmarks. At most so many virtual examples, spread by hash, are added to the positive ones.
+    Without examples of both sides the function is never positive.
     """
     if not positive or not negative:
         return np.zeros(ALPHABET**3), -1.0
+    made = gapped(positive)
+    spread = sorted(made.keys() - positive.keys() - negative.keys(), key=lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+    positive = positive | {w: made[w] for w in spread[:virtual]}
     half = landmarks // 2
     marks = describe([*list(positive)[:half], *list(negative)[: landmarks - min(half, len(positive))]])
     values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))

@@ -207,6 +207,22 @@ def test_toxicity_tolerates_gaps():
     assert not toxicity.fit_words({}, {})[0].any()
 
 
+def test_toxicity_of_words_with_a_letter_put_in():
+    rng = random.Random(4)
+    plain = sorted({"".join(rng.choice(("an", "er", "th", "on", "st", "ou", "le", "pi")) for _ in range(rng.randint(1, 4))) for _ in range(600)})
+    bad = ["worthless", "stupid", "pathetic", "disgusting"]
+    made = toxicity.gapped({"stupid": 2.0})
+    assert all(len(w) == 7 and w[0] == "s" and w[-1] == "d" for w in made) and sum(made.values()) == pytest.approx(1.0)
+    assert not toxicity.gapped({"x": 1.0, "": 1.0})
+    beta, bias = toxicity.fit_words(dict.fromkeys(bad, 1.0), dict.fromkeys(plain[::2], 1.0))
+    # letters put in that the fit has mostly not seen at that place
+    put_in = [w[:i] + c + w[i:] for w in bad for i in range(1, len(w)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert np.mean(toxicity.decide(put_in, beta, bias) > 0) > 0.95
+    assert np.mean(toxicity.decide(plain[1::2], beta, bias) > 0) < 0.02
+    few = toxicity.fit_words(dict.fromkeys(bad, 1.0), dict.fromkeys(plain[::2], 1.0), virtual=0)
+    assert toxicity.decide(put_in, *few).min() < toxicity.decide(put_in, beta, bias).min()
+
+
 def test_toxicity_scores_keep_the_label_ratio(spark):
     rng = np.random.default_rng(5)
     y = (np.arange(4000) % 10 == 0).astype(float)
