@@ -190,23 +190,32 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 class Layout:
-    """Which units a cell's entries are in: unit number and how many, and into how many parts a unit's queries are split."""
-
-    def __init__(self, loads: dict[tuple[int, int], int], block: int):
-        self.of: dict[int, tuple[int, int]] = {}
-        self.queries: dict[int, int] = {}
-        row, filled, unit = -1, 0, -1
-        for cell in sorted(c for c, role in loads if role == 0):
-            n = loads[cell, 0]
-            if cell >> 20 != row or filled + n > block:
-                unit, row, filled = unit + 1, cell >> 20, 0
-            many = max(1, -(-n // block))
-            self.of[cell] = unit, many
-            asked = -(-loads.get((cell, 1), 0) // many)
-            for k in range(many):
-                self.queries[unit + k] = self.queries.get(unit + k, 0) + asked
-            unit, filled = unit + many - 1, filled + n
-        self.parts = {u: max(1, -(-n // (4 * block))) for u, n in self.queries.items()}
+    """Which units a cell's entries are in: the first one and how many, and into how many parts a unit's queries are split.
+
+    cells are ascending numbers of cells that have entries, with how many and how often they are visited. All is kept in arrays: 28 bytes a
+    cell of a grid, and no grid has more than most_codes squared.
+    """
+
+    def __init__(self, cells: np.ndarray, entries: np.ndarray, visited: np.ndarray, block: int):
+        self.cells, self.first, self.many = cells, np.zeros(len(cells), np.int64), np.maximum(1, -(-entries // block)).astype(np.int32)
+        unit, filled = -1, 0
+        rows = np.flatnonzero(np.diff(cells >> 20, prepend=-1))
+        for begin, end in zip(rows.tolist(), [*rows[1:].tolist(), len(cells)], strict=True):
+            unit, filled = unit + 1, 0
+            for k, (n, many) in enumerate(zip(entries[begin:end].tolist(), self.many[begin:end].tolist(), strict=True), begin):
+                if filled and filled + n > block:
+                    unit, filled = unit + 1, 0
+                self.first[k] = unit
+                unit, filled = unit + many - 1, filled + n
+        queries = np.zeros(unit + 1, np.int64)
+        which, begins = np.repeat(np.arange(len(cells)), self.many), np.cumsum(self.many) - self.many
+        np.add.at(queries, self.first[which] + np.arange(len(which)) - begins[which], (-(-visited // self.many))[which])
+        self.parts = np.maximum(1, -(-queries // (4 * block))).astype(np.int32)
+
+    def of(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first unit, how many) of cells; those without entries have 0."""
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        return self.first[at], np.where(self.cells[at] == cells, self.many[at], 0)
 
 
 def _dealt(indexes: dict[int, Index], layout: Layout):
@@ -220,12 +229,12 @@ def _dealt(indexes: dict[int, Index], layout: Layout):
                 out: list[tuple] = []
                 for k, cells in zip(rows.tolist(), indexes[d].visited(x), strict=True):
                     visits = [d << 40 | i << 20 | j for i, j in cells]
-                    places = {u + e for c in visits if c in layout.of for u, many in [layout.of[c]] for e in range(many)}
-                    n = int(node[k])
-                    first, many = layout.of[visits[0]]
-                    own = first + n % many
-                    for u in places | {own}:
-                        parts = layout.parts[u]
+                    firsts, manies = (a.tolist() for a in layout.of(np.array(visits, np.int64)))
+                    places = {u + e for u, many in zip(firsts, manies, strict=True) for e in range(many)}
+                    n, many = int(node[k]), manies[0]
+                    own = firsts[0] + n % many
+                    for u in places:
+                        parts = int(layout.parts[u])
                         mine = n // many % parts
                         for part in range(parts) if u == own else (mine,):
                             out.append((u, part, 1 if u != own else 2 if part == mine else 0, visits, k))
@@ -317,9 +326,10 @@ def embedding_dedup(
         near = neighbours(nodes, {d: (ids[:queries], some[:queries]) for d, (ids, some) in made.items()}, cosine)
         indexes = {d: Index(some, codes[d], cosine, recall, near[d]) for d, (_, some) in made.items()}
         plain = nodes.select("node", "copies", "v", F.size("v").alias("size"))
-        # two rows for each cell of a grid at most, and no grid has more than most_codes squared
-        loads = plain.mapInArrow(_loads(indexes), "cell long, role int, n long").groupBy("cell", "role").agg(F.sum("n").alias("n")).collect()
-        layout = Layout({(r["cell"], r["role"]): r["n"] for r in loads}, block)
+        # one row of three numbers for each cell of a grid with entries at most, as arrays
+        loads = plain.mapInArrow(_loads(indexes), "cell long, role int, n long").groupBy("cell").agg(*(F.sum(F.when(F.col("role") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(("entries", "visited"))))
+        loads = loads.where("entries > 0").orderBy("cell").toArrow()
+        layout = Layout(*(loads[c].to_numpy() for c in ("cell", "entries", "visited")), block)
         kind = nodes.schema["v"].dataType.simpleString()
         dealt = plain.mapInArrow(_dealt(indexes, layout), f"unit long, part int, role int, visits array<long>, node long, copies long, v {kind}")
         found = saved(dealt.groupBy("unit", "part").applyInPandas(_verified(cosine), "a long, b long, n long"), f"{path}/found")

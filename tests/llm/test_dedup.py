@@ -11,7 +11,7 @@ from compare import assert_same
 
 from telluric.llm import queries
 from telluric.llm.components import components, forest
-from telluric.llm.embedding_dedup import Index, cells_in_order, embedding_dedup, neighbours
+from telluric.llm.embedding_dedup import Index, Layout, cells_in_order, embedding_dedup, neighbours
 from telluric.llm.exact_dedup import directory, exact_dedup, without_copies
 from telluric.llm.simhash_dedup import fingerprint, links, one_of_each, simhash_dedup, traverse
 
@@ -183,6 +183,25 @@ def test_embeddings_against_brute_force(spark, block):
     assert all(found[k].kept == (found[k].component_id == k) for k in range(len(x)))
 
 
+def test_layout_of_cells():
+    rng = np.random.default_rng(6)
+    cells = np.unique(rng.integers(0, 6, 300) << 20 | rng.integers(0, 90, 300))
+    entries, visited = rng.integers(1, 12, len(cells)), rng.integers(1, 400, len(cells))
+    entries[[5, 40]] = 95
+    layout = Layout(cells, entries, visited, 20)
+    filled, asked, row = {}, {}, {}
+    for k, cell in enumerate(cells.tolist()):
+        (first,), (many,) = layout.of(np.array([cell]))
+        assert many == -(-entries[k] // 20)
+        for u in range(first, first + many):
+            filled[u] = filled.get(u, 0) + entries[k] / many
+            asked[u] = asked.get(u, 0) + -(-visited[k] // many)
+            assert row.setdefault(u, cell >> 20) == cell >> 20
+    assert max(filled.values()) <= 20 and sorted(filled) == list(range(len(layout.parts)))
+    assert [layout.parts[u] for u in sorted(asked)] == [max(1, -(-asked[u] // 80)) for u in sorted(asked)]
+    assert layout.of(np.array([91, 7 << 20]))[1].tolist() == [0, 0]
+
+
 def test_embeddings_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1, 0]), (2, [1, 0]), (3, None), (4, [0, 0]), (5, [nan, 1]), (6, [inf, 1]), (7, []), (8, [0, 1]), (9, [1e-30, 0])]
