@@ -192,7 +192,7 @@ def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
 class Layout:
     """Which units a cell's entries are in: the first one and how many, and into how many parts a unit's queries are split.
 
-    cells are ascending numbers of cells that have entries, with how many and how often they are visited. All is kept in arrays: 28 bytes a
+    cells are ascending numbers of cells that have entries, with how many and how often they are visited. All is kept in arrays: 20 bytes a
     cell of a grid, and no grid has more than most_codes squared.
     """
 
