@@ -49,6 +49,16 @@ def test_angles(spark, a, b, theta, alpha):
     assert r.theta == pytest.approx(theta, abs=1e-4) and r.alpha == pytest.approx(alpha, abs=1e-4)
 
 
+def test_pairs_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """The pairs grow with the square of the input, the tasks that make them don't."""
+    monkeypatch.setattr(field, "PAIRS_AT_ONCE", 1)
+    monkeypatch.setattr(field, "MOST_TASKS", 7)
+    points, poles = places(spark, [(50 + k / 10, 20) for k in range(12)], "p"), places(spark, [(10, 30), (11, 31), (12, 32)], "s")
+    found = field.pairs(points, poles, ["p"], ["s"])
+    assert found.rdd.getNumPartitions() == 7
+    assert sorted((r.p, r.s) for r in found.collect()) == [(p, s) for p in range(12) for s in range(3)]
+
+
 def test_transfer_values(spark):
     points, poles = places(spark, [(50, 20), (51, 21)], "p"), places(spark, [(10, 30), (11, 31), (12, 32)], "s")
     r = 6371e3
