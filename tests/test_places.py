@@ -48,6 +48,50 @@ def test_far_field_of_few_poles_and_frames(spark, monkeypatch):
         farfield.predict_far(*frames[:2], frames[2].where("pole_idx > 0"))
 
 
+def test_far_field_looks_at_no_more_poles_where_there_are_more(spark):
+    """Leaves follow how close the poles are: near poles of a point don't grow with the poles."""
+    rng = np.random.default_rng(54)
+    near = []
+    for m in (10_000, 160_000):
+        lat, lon = rng.uniform(45, 85, m), rng.uniform(-170, 35, m)
+        level = farfield.leaf_level(spark.createDataFrame(pd.DataFrame({"lat": lat, "lon": lon})))
+        filled = [np.unique(farfield.cell_of(lat, lon, k)) for k in range(level + 1)]
+        many = dict(zip(*np.unique(farfield.cell_of(lat, lon, level), return_counts=True), strict=True))
+        blocks = np.unique(farfield.cell_of(lat[:50], lon[:50], level))
+        near.append(sum(many[c] for _, far, _, cells in farfield.interactions(blocks, filled, level, 3.0) if not far for c in cells.tolist()) / len(blocks))
+    assert max(near) < 8_000 and near[1] < 2 * near[0]
+
+
+def test_matrix_between_distant_places_has_limits_opposite_a_pole():
+    lat, lon = np.array([50.0, -40.0, -40.0000001, 10.0]), np.array([10.0, -150.0, -150.0, 30.0])
+    poles = pd.DataFrame({"lat": [40.0, 41.0], "lon": [30.0, 30.0]})
+    for altitude in (0.0, 110e3, 400e3):
+        got = farfield.distant_matrix((lat, lon), (poles["lat"].to_numpy(), poles["lon"].to_numpy()), altitude, 110e3).reshape(4, 3, 2)
+        want = factors.transfer_matrix(lat, lon, altitude, poles, 110e3).reshape(4, 3, 2)
+        size = np.abs(want[0]).max()
+        assert got[[0, 3]] == pytest.approx(want[[0, 3]], rel=1e-9) and got[:, :, 1] == pytest.approx(want[:, :, 1], rel=1e-9)
+        assert np.isfinite(got).all() and np.abs(got[1] - got[2]).max() < 1e-8 * size
+
+
+def test_predict_by_cells_equals_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(55)
+    poles = pd.DataFrame({"pole_idx": np.arange(300), "lat": rng.uniform(45, 85, 300), "lon": rng.uniform(-170, 35, 300)})
+    amplitudes = spark.createDataFrame(pd.DataFrame({"frame_id": 4, "pole_idx": np.arange(300), "amp": rng.normal(0, 1e11, 300)}))
+    rows = [(n, float(a), float(b)) for n, (a, b) in enumerate(zip(rng.uniform(45, 85, 40), rng.uniform(-180, 540, 40), strict=True))]
+    points = spark.createDataFrame([*rows, (40, None, 1.0), rows[0]], "point_idx long, lat double, lon double")
+    want = {r.point_idx: r for r in field.predict(points, spark.createDataFrame(poles), amplitudes).collect()}
+    monkeypatch.setattr(field, "FAR_PAIRS", 1_000)
+    monkeypatch.setattr(field, "FAR_POLES", 10)
+    monkeypatch.setattr(farfield, "POLES_OF_A_LEAF", 4)
+    found = field.predict(points, spark.createDataFrame(poles), amplitudes)
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.point_idx: r for r in found.collect()}
+    assert sorted(got) == sorted(want) == list(range(41)) and all(r.frame_id == 4 for r in got.values())
+    assert [got[40].i, got[40].j, got[40].k] == [want[40].i, want[40].j, want[40].k] == [None] * 3
+    a, b = ([[r.i, r.j, r.k] for n, r in sorted(x.items()) if n < 40] for x in (got, want))
+    assert np.abs(np.array(a) - b).max() <= 1e-9 * np.abs(b).max()
+
+
 @pytest.mark.parametrize("lat, lon", [((52.0, 63.5), (-130.0, -55.0)), ((-90.0, 90.0), (170.0, 190.0)), ((80.0, 90.0), (0.0, 360.0)), ((10.0, 10.0), (530.0, 545.0)), ((5.0, 4.0), (0.0, 1.0)), ((-20.0, 20.0), (179.0, 180.0))])
 def test_a_region_equals_a_filter(spark, tmp_path, lat, lon):
     rng = np.random.default_rng(53)
