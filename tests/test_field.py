@@ -268,6 +268,46 @@ def test_leading_eigenpairs_equal_all():
         assert space == pytest.approx(u[:, : len(values)] @ u[:, : len(values)].T, abs=1e-6)
 
 
+@pytest.mark.parametrize("columns", [12, 10_000])
+def test_krylov_space_in_few_passes(monkeypatch, columns):
+    """Values that fall slowly: subspace iteration with as many columns takes a hundred passes or more; with and without restarts."""
+    monkeypatch.setattr(factors, "KRYLOV_COLUMNS", columns)
+    rng, passes = np.random.default_rng(12), []
+    q = np.linalg.qr(rng.normal(size=(300, 300)))[0]
+    values = 0.97 ** np.arange(300)
+    gram = q * values @ q.T
+    got, vectors = factors.krylov_space(lambda x: passes.append(x.shape[1]) or gram @ x, 300, 0.5, 20)
+    kept = values >= 0.25
+    assert np.sort(got)[::-1] == pytest.approx(values[kept], rel=1e-9)
+    assert np.abs(vectors @ vectors.T - q[:, kept] @ q[:, kept].T).max() < 1e-8
+    assert columns == 12 or len(passes) < 40
+
+
+def test_fit_of_one_slice_in_passes(spark):
+    rng = np.random.default_rng(13)
+    stations = np.column_stack([rng.uniform(40, 80, 70), rng.uniform(-170, 30, 70), rng.normal(0, 100, (70, 3))])
+    pole_rows = list(zip(rng.uniform(45, 85, 50), rng.uniform(-170, 35, 50), strict=True))
+    t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+    want = field.pseudo_inverse(t, 0.1) @ stations[:, 2:].reshape(-1)
+    fitted = field.fitted(observations(spark, stations.tolist()), places(spark, pole_rows, "pole_idx"), most_gram=10, width=4)
+    assert [x.amp for x in fitted.amplitudes().orderBy("pole_idx").collect()] == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
+
+
+def test_few_poles_share_the_kernel(spark, monkeypatch):
+    """At two poles nothing is stored for each set: the plan has no table of projected kernels."""
+    rng = np.random.default_rng(14)
+    rows = [(f, k, float(40 + 2 * k), float(10 * k), *map(float, rng.normal(0, 100, 3))) for f in range(5) for k in range(4 + f)]
+    obs = spark.createDataFrame(rows, "frame_id long, obs_idx long, lat double, lon double, i double, j double, k double")
+    poles, points = places(spark, [(61.0, -95.0), (65.0, -70.0)], "pole_idx"), places(spark, [(50 + k, 3 * k) for k in range(20)], "point_idx")
+    fitted, asked = field.fitted(obs, poles), []
+    monkeypatch.setattr(field, "saved", lambda df, path: asked.append(path) or df)
+    got = fitted.predict(points).toPandas().sort_values(["frame_id", "point_idx"])[["i", "j", "k"]].to_numpy()
+    assert not asked and len(got) == 100
+    monkeypatch.setattr(field, "FEW_POLES", 0)
+    want = fitted.predict(points).toPandas().sort_values(["frame_id", "point_idx"])[["i", "j", "k"]].to_numpy()
+    assert asked and got == pytest.approx(want, rel=1e-9, abs=1e-9 * np.abs(want).max())
+
+
 def test_pseudo_inverse_properties():
     """The identities of a truncated pseudo-inverse, on one column and on four."""
     rng = np.random.default_rng(12)
