@@ -293,6 +293,43 @@ def test_fit_of_one_slice_in_passes(spark):
     assert [x.amp for x in fitted.amplitudes().orderBy("pole_idx").collect()] == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
 
 
+def test_sets_of_several_slices_go_in_passes(spark, monkeypatch):
+    """Subspace iteration would read a set's stations some dozens of times by all executors; up to PASS_SLICES slices one task makes fewer passes."""
+
+    def never(*_):
+        raise AssertionError("subspace iteration")
+
+    monkeypatch.setattr(factors._Iteration, "run", never)
+    rng = np.random.default_rng(15)
+    stations = np.column_stack([rng.uniform(40, 80, 70), rng.uniform(-170, 30, 70), rng.normal(0, 100, (70, 3))])
+    pole_rows = list(zip(rng.uniform(45, 85, 50), rng.uniform(-170, 35, 50), strict=True))
+    t = field.transfer_matrix(stations[:, 0], stations[:, 1], 0.0, pd.DataFrame(pole_rows, columns=["lat", "lon"]), 110e3)
+    want = field.pseudo_inverse(t, 0.1) @ stations[:, 2:].reshape(-1)
+    fitted = field.fitted(observations(spark, stations.tolist()), places(spark, pole_rows, "pole_idx"), most_gram=10, width=4, slice_rows=20)
+    assert [x.amp for x in fitted.amplitudes().orderBy("pole_idx").collect()] == pytest.approx(want, rel=1e-6, abs=1e-6 * np.abs(want).max())
+
+
+def test_passes_give_the_matrix_of_batches():
+    """Piece by piece in the same memory; where a station has a pole's place the general form decides, which raises here."""
+    rng = np.random.default_rng(16)
+    poles = pd.DataFrame({"lat": rng.uniform(45, 85, 3_000), "lon": rng.uniform(-170, 35, 3_000)})
+    stations = pd.DataFrame({"lat": rng.uniform(45, 85, 50), "lon": rng.uniform(-170, 35, 50)})
+    make = factors.Stations(poles, 0.0, 110e3, 1e15, cells=27_000)
+    want = np.concatenate([t for _, t in make.batches(stations)])
+    found = [(some, t.copy()) for some, t in make.passes(stations, cells=100_000)]
+    assert len(found) > 1 and [k for some, _ in found for k in range(*some.indices(50))] == list(range(50))
+    assert np.abs(np.concatenate([t for _, t in found]) - want).max() < 1e-9 * np.abs(want).max()
+    stations.loc[11, ["lat", "lon"]] = [50.0, 40.0]
+    poles.loc[2, ["lat", "lon"]] = [50.0, 40.0]
+    one = factors.transfer_matrix(np.array([50.0]), np.array([40.0]), 0.0, poles[2:3], 110e3)
+    if np.isfinite(one).all():
+        at = next(t[3 * (11 - some.start) : 3 * (12 - some.start), 2].copy() for some, t in make.passes(stations, cells=100_000) if some.start <= 11 < some.stop)
+        assert at == pytest.approx(one[:, 0] * 1e15)
+    else:
+        with pytest.raises(factors.FitError):
+            list(make.passes(stations, cells=100_000))
+
+
 def test_few_poles_share_the_kernel(spark, monkeypatch):
     """At two poles nothing is stored for each set: the plan has no table of projected kernels."""
     rng = np.random.default_rng(14)
