@@ -59,6 +59,36 @@ def test_pairs_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
     assert sorted((r.p, r.s) for r in found.collect()) == [(p, s) for p in range(12) for s in range(3)]
 
 
+def test_pairs_by_place_are_the_same_pairs_in_fewer_bytes(spark, monkeypatch, tmp_path):
+    """On a grid of tenths of a degree the pairs of neighbours take less than half the bytes; a point without a place keeps its pairs."""
+    points = places(spark, [(50 + k % 2 / 10, -100 + k * 91 % 401 / 10) for k in range(802)], "p")
+    points = points.union(spark.range(802, 803).selectExpr("id", "CAST(NULL AS DOUBLE)", "10.0D"))
+    poles = places(spark, [(47.013 + k % 3 / 10, -100.017 + k * 71 % 397 / 10) for k in range(300)], "s")
+    size = {}
+    monkeypatch.setattr(field, "PAIRS_BY_PLACE", 0)
+    monkeypatch.setattr(field, "PAIRS_AT_ONCE", 100_000)
+    for by_place in (False, True):
+        found = field.transfer_rows(points, 0.0, poles, 110e3, ["p"], ["s"], by_place=by_place)
+        found = found.withColumns({c: F.rint(F.col(c) * 1e21) / 1e6 for c in ("t_i", "t_j", "t_k")})
+        found.write.parquet(f"{tmp_path}/{by_place}")
+        size[by_place] = sum(f.stat().st_size for f in (tmp_path / str(by_place)).glob("*.parquet"))
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in (False, True))
+    assert b.count() == 803 * 300 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert size[True] < size[False] / 2, size
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_pairs_by_place_in_many_units_and_of_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(field, "PAIRS_BY_PLACE", -1)
+    monkeypatch.setattr(field, "PAIRS_AT_ONCE", 1)
+    monkeypatch.setattr(field, "MOST_TASKS", most)
+    points, poles = places(spark, [(50, 20)] * 5 + [(50 + k / 10, 20) for k in range(7)], "p"), places(spark, [(10, 30), (11, 31), (11, 31)], "s")
+    found = field.pairs(points, poles, ["p"], ["s"], by_place=True)
+    assert sorted((r.p, r.s) for r in found.collect()) == [(p, s) for p in range(12) for s in range(3)]
+    for a, b in ((points, poles.limit(0)), (points.limit(0), poles)):
+        assert field.pairs(a, b, ["p"], ["s"], by_place=True).isEmpty()
+
+
 def test_transfer_values(spark):
     points, poles = places(spark, [(50, 20), (51, 21)], "p"), places(spark, [(10, 30), (11, 31), (12, 32)], "s")
     r = 6371e3
